@@ -85,7 +85,7 @@ def clv_report(spark, sf_dir):
     , run AS (SELECT portfolio_id, 1000000 + sum(profit) OVER (PARTITION BY portfolio_id ORDER BY decision_at, bet_key, profit, stake ROWS UNBOUNDED PRECEDING) AS bank,
                decision_at, bet_key, profit, stake FROM ({_SETTLED}) s),
       peak AS (SELECT *, greatest(1000000, max(bank) OVER (PARTITION BY portfolio_id ORDER BY decision_at, bet_key, profit, stake ROWS UNBOUNDED PRECEDING)) AS top FROM run)
-    SELECT portfolio_id, round(greatest(0, max(CAST(top - bank AS DOUBLE) / CAST(top AS DOUBLE))), 9) AS maximum_drawdown, count(*) AS n_bets
+    SELECT portfolio_id, round(greatest(0, max(CAST(top - bank AS DOUBLE) / CAST(top AS DOUBLE))), 6) AS maximum_drawdown, count(*) AS n_bets
     FROM peak GROUP BY portfolio_id"""))
 def max_drawdown(spark, sf_dir):
     opened = bets(spark, sf_dir).withColumn("opening", F.lit(1_000_000).cast("decimal(20,4)"))
@@ -93,7 +93,7 @@ def max_drawdown(spark, sf_dir):
         opened.select("portfolio_id", "decision_at", "bet_key", "profit", "stake", "result", "opening"),
         ["portfolio_id"], ["decision_at", "bet_key", "profit", "stake"], starting="opening",
     )
-    return rounded(rows, "maximum_drawdown")
+    return rows.withColumn("maximum_drawdown", F.round("maximum_drawdown", 6))
 
 
 @query("rolling_turnover_3d", over({"b": v.bets}, f"""
