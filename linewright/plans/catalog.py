@@ -2,6 +2,7 @@
 
 from linewright.plans import (  # noqa: F401  (importing registers)
     board_queries,
+    decision_queries,
     history_queries,
     performance_queries,
 )
