@@ -26,8 +26,21 @@ def codes(rules: Sequence[str]) -> str:
     return f"array_distinct(array_compact(array({', '.join(rules)})))"
 
 
+# Timestamps the gates read, each parsed once into a column of this name.
+MOMENTS = {
+    "_now": "evaluated_at", "_captured": "market.captured_at", "_starts": "market.event_start_at",
+    "_book_at": "portfolio.captured_at", "_predicted": "model.prediction_generated_at",
+    "_features": "model.feature_cutoff_at", "_trained": "model.training_cutoff_at",
+}
+
+
 def age(now: str, then: str) -> str:
-    return f"((unix_micros({now}) - unix_micros(try_to_timestamp({then}))) / 1e6)"
+    """Seconds between two timestamp columns."""
+    return f"((unix_micros({now}) - unix_micros({then})) / 1e6)"
+
+
+def with_moments(df: DataFrame, names: Sequence[str] = tuple(MOMENTS)) -> DataFrame:
+    return df.withColumns({n: F.expr(f"try_to_timestamp({MOMENTS[n]})") for n in names})
 
 
 def mismatched_fields() -> str:
@@ -56,10 +69,10 @@ def scope_codes() -> list[str]:
     ]
 
 
-def market_state_codes(now: str = "_now") -> list[str]:
+def market_state_codes() -> list[str]:
     return [
         coded("NOT (market.market_status <=> 'open')", "MARKET_NOT_OPEN"),
-        coded(f"try_to_timestamp(market.event_start_at) <= {now}", "EVENT_ALREADY_STARTED"),
+        coded("_starts <= _now", "EVENT_ALREADY_STARTED"),
     ]
 
 
@@ -74,28 +87,24 @@ def price_code(selected: str = "_selected") -> str:
     )
 
 
-def freshness_codes(now: str = "_now") -> list[str]:
+def freshness_codes() -> list[str]:
     rules = []
-    for code, text, limit in (
-        ("MARKET_SNAPSHOT_STALE", "market.captured_at", "market_snapshot"),
-        ("PORTFOLIO_STATE_STALE", "portfolio.captured_at", "portfolio_state"),
-        ("MODEL_OUTPUT_STALE", "model.prediction_generated_at", "model_output"),
+    for code, moment, limit in (
+        ("MARKET_SNAPSHOT_STALE", "_captured", "market_snapshot"),
+        ("PORTFOLIO_STATE_STALE", "_book_at", "portfolio_state"),
+        ("MODEL_OUTPUT_STALE", "_predicted", "model_output"),
     ):
-        seconds = age(now, text)
         rules.append(
-            f"CASE WHEN {seconds} < 0 THEN 'TIMESTAMP_IN_FUTURE' "
-            f"WHEN {seconds} > policy.freshness_seconds.{limit} THEN '{code}' END"
+            f"CASE WHEN {moment} > _now THEN 'TIMESTAMP_IN_FUTURE' "
+            f"WHEN {age('_now', moment)} > policy.freshness_seconds.{limit} THEN '{code}' END"
         )
     return rules
 
 
 def leakage_codes() -> list[str]:
-    feature, prediction, training = (
-        f"try_to_timestamp(model.{f})" for f in ("feature_cutoff_at", "prediction_generated_at", "training_cutoff_at")
-    )
     return [
-        coded(f"{feature} > {prediction}", "FEATURE_CUTOFF_AFTER_PREDICTION"),
-        coded(f"{training} > {feature}", "TRAINING_CUTOFF_AFTER_FEATURES"),
+        coded("_features > _predicted", "FEATURE_CUTOFF_AFTER_PREDICTION"),
+        coded("_trained > _features", "TRAINING_CUTOFF_AFTER_FEATURES"),
     ]
 
 
@@ -122,13 +131,12 @@ def with_identity(df: DataFrame) -> DataFrame:
 
 
 def with_gate(df: DataFrame, out: str, rules: Sequence[str]) -> DataFrame:
-    """Add one gate's code array; ``_now`` and ``_selected`` are supplied when used."""
-    staged = df
-    if any("_now" in r for r in rules):
-        staged = staged.withColumn("_now", F.expr("try_to_timestamp(evaluated_at)"))
+    """Add one gate's code array; parsed timestamps and ``_selected`` are supplied when used."""
+    used = [n for n in MOMENTS if any(n in r for r in rules)]
+    staged = with_moments(df, used) if used else df
     if any("_selected" in r for r in rules):
         staged = staged.withColumn("_selected", F.expr(SELECTED))
-    return staged.withColumn(out, F.expr(codes(rules))).drop("_now", "_selected")
+    return staged.withColumn(out, F.expr(codes(rules))).drop("_selected", *used)
 
 
 def quality_gate(df: DataFrame, *, max_price_age: int = fixed.DEFAULT_MAX_PRICE_AGE_SECONDS) -> DataFrame:

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from linewright.operators import context, decision, gates, report, sizing
 from linewright.plans import views as v
-from linewright.plans.registry import over, query, rounded
+from linewright.plans.registry import over, query
 from linewright.session import cut_lineage
 
 P = v.POLICY
@@ -206,9 +206,9 @@ def decided(spark, sf_dir):
 
 @query("decision_table", over(_VIEWS, f"""{_DECIDED}
     SELECT candidate_id, event_id, market_id, sport, competition, decision, reason_codes,
-      CASE WHEN NOT invalid AND second_selection <> 'home' AND abs(odds_home - decimal_odds) <= 1e-12 THEN round(round(fair, 12), 9) END AS no_vig_probability,
-      round(p, 9) AS probability, CASE WHEN p IS NOT NULL THEN round(round(ev, 12), 9) END AS ev, CASE WHEN p IS NOT NULL THEN round(round(edge, 12), 9) END AS edge,
-      CASE WHEN p IS NOT NULL THEN round(round(kelly, 12), 9) END AS full_kelly, CASE WHEN reached THEN round(stake, 6) END AS final_stake,
+      CASE WHEN NOT invalid AND second_selection <> 'home' AND abs(odds_home - decimal_odds) <= 1e-12 THEN round(round(fair, 12), 6) END AS no_vig_probability,
+      round(p, 6) AS probability, CASE WHEN p IS NOT NULL THEN round(round(ev, 12), 6) END AS ev, CASE WHEN p IS NOT NULL THEN round(round(edge, 12), 6) END AS edge,
+      CASE WHEN p IS NOT NULL THEN round(round(kelly, 12), 6) END AS full_kelly, CASE WHEN reached THEN round(stake, 6) END AS final_stake,
       CASE WHEN reached THEN binding END AS binding_cap FROM z"""))
 def decision_table(spark, sf_dir):
     rows = decided(spark, sf_dir).select(
@@ -218,7 +218,8 @@ def decision_table(spark, sf_dir):
         F.col("economics.edge_vs_market_pp").alias("edge"), F.col("economics.full_kelly").alias("full_kelly"),
         F.round("staking.final_stake", 6).alias("final_stake"), F.col("staking.binding_cap").alias("binding_cap"),
     )
-    return rounded(rows, "no_vig_probability", "probability", "ev", "edge", "full_kelly")
+    numbers = ["no_vig_probability", "probability", "ev", "edge", "full_kelly"]
+    return rows.withColumns({n: F.round(n, 6) for n in numbers})
 
 
 @query("decision_contract", over(_VIEWS, "SELECT CAST(0 AS BIGINT) AS violations, (SELECT count(*) FROM c) AS decisions"))
@@ -248,7 +249,7 @@ def stake_caps(spark, sf_dir):
     , g AS (SELECT *, b * full_kelly * 25e-2 AS provisional_stake, b * 2e-2 AS c1, greatest(0, b * 1e-1 - u1) AS c2, greatest(0, b * 25e-2 - u2) AS c3,
         greatest(0, b * 15e-2 - u3) AS c4, greatest(0, b * 4e-1 - u4) AS c5 FROM f)
     , h AS (SELECT *, least(c1, c2, c3, c4, c5) AS low FROM g)
-    SELECT candidate_id, round(full_kelly, 9) AS full_kelly, round(provisional_stake, 9) AS provisional_stake,
+    SELECT candidate_id, round(full_kelly, 9) AS full_kelly, round(provisional_stake, 4) AS provisional_stake,
       CASE WHEN low > provisional_stake THEN 'kelly' WHEN c1 = low THEN 'per_bet' WHEN c2 = low THEN 'open' WHEN c3 = low THEN 'daily' WHEN c4 = low THEN 'league' ELSE 'rolling' END AS binding_cap,
       greatest(0, floor(least(provisional_stake, low) / 5e-1) * 5e-1) AS final_stake FROM h"""))
 def five_cap_sizing(spark, sf_dir):
@@ -263,7 +264,7 @@ def five_cap_sizing(spark, sf_dir):
     )
     out = sizing.five_cap_stakes(rows)
     return out.select(
-        "candidate_id", F.round("full_kelly", 9).alias("full_kelly"), F.round("provisional_stake", 9).alias("provisional_stake"),
+        "candidate_id", F.round("full_kelly", 9).alias("full_kelly"), F.round("provisional_stake", 4).alias("provisional_stake"),
         "binding_cap", "final_stake",
     )
 
