@@ -55,19 +55,22 @@ def ordered_scan(
     position: str | None = None,
     before: bool = False,
     block_rows: int | None = None,
+    rows: int | None = None,
 ) -> DataFrame:
     """Add ordered running columns to ``df``.
 
     ``sums`` / ``maxima`` / ``latest`` are running sum, running maximum and last
     non-null value up to the row (``before=True``: strictly before it).
     ``previous`` is the value on the preceding row; ``position`` a dense 0-based
-    index. ``order`` must be a total order within a group.
+    index. ``order`` must be a total order within a group. ``rows`` is an upper
+    bound on the row count when the caller knows one cheaply; otherwise the rows
+    are counted.
     """
     sums, maxima = dict(sums or {}), dict(maxima or {})
     latest, previous = dict(latest or {}), dict(previous or {})
     group, order = list(group), list(order)
     limit = block_rows or rows_per_block(df.sparkSession)
-    blocks = max(1, math.ceil(df.count() / limit))
+    blocks = max(1, math.ceil((df.count() if rows is None else rows) / limit))
 
     inputs = {**sums, **maxima, **latest, **previous}
     base = df.withColumns({f"_in_{name}": expr for name, expr in inputs.items()})
@@ -160,6 +163,7 @@ def asof_join(
     payload: str,
     tiebreak: Sequence[str] = (),
     block_rows: int | None = None,
+    rows: int | None = None,
 ) -> DataFrame:
     """Attach to each left row the newest right row of its key not after it.
 
@@ -182,7 +186,7 @@ def asof_join(
     merged = left_rows.unionByName(right_rows)
     carried = ordered_scan(
         merged, keys, ["_when", "_side", "_tie", "_row_key"],
-        latest={payload: F.col("_right")}, block_rows=block_rows,
+        latest={payload: F.col("_right")}, block_rows=block_rows, rows=rows,
     )
     return carried.where(F.col("_side") == 1).select("_left.*", payload)
 

@@ -126,10 +126,10 @@ def output_round(x: Column) -> Column:
 
 def floor_to_increment(amount: Column, increment: Column) -> Column:
     """Exact decimal floor to a multiple of ``increment``; never rounds up."""
-    exact = F.greatest(amount, F.lit(0.0)).cast("string").cast("decimal(38,12)")
-    step = increment.cast("string").cast("decimal(20,10)")
-    units = F.floor(exact / step)
-    return (units.cast("decimal(25,0)") * step).cast("double")
+    # Remainders of decimals are exact; quotients would be rounded to a shorter scale.
+    exact = F.greatest(amount, F.lit(0.0)).cast("string").cast("decimal(28,12)")
+    step = increment.cast("string").cast("decimal(28,12)")
+    return (exact - exact % step).cast("double")
 
 
 def floor_to_increment_float(amount: Column, increment: Column) -> Column:

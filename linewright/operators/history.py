@@ -104,6 +104,37 @@ def _least_squares(grams: pd.Series, moments: pd.Series) -> pd.Series:
     return pd.Series(list(solution))
 
 
+def _products(features: Sequence[str], target: str) -> tuple[list, list, list[str]]:
+    """Sums of products behind a least-squares fit, and their names."""
+    design = [F.lit(1.0), *[F.col(f) for f in features]]
+    upper = [(i, j) for i in range(len(design)) for j in range(i, len(design))]
+    gram = [F.sum(design[i] * design[j]).alias(f"g_{i}_{j}") for i, j in upper]
+    moments = [F.sum(d * F.col(target)).alias(f"m_{i}") for i, d in enumerate(design)]
+    return gram, moments, [f"g_{i}_{j}" for i, j in upper] + [f"m_{i}" for i in range(len(design))]
+
+
+def _coefficients(width: int, prefix: str = ""):
+    gram = F.array(*[F.col(f"{prefix}g_{min(i, j)}_{max(i, j)}") for i in range(width) for j in range(width)])
+    return _least_squares(gram, F.array(*[F.col(f"{prefix}m_{i}") for i in range(width)]))
+
+
+def _linear(features: Sequence[str], beta: str):
+    value = F.col(beta)[0]
+    for place, name in enumerate(features, start=1):
+        value = value + F.col(beta)[place] * F.col(name)
+    return value
+
+
+def fit_linear(df: DataFrame, group: Sequence[str], features: Sequence[str], *, target: str = "y") -> DataFrame:
+    """Final least-squares coefficients ``beta`` (intercept first) per group, on every row."""
+    gram, moments, _ = _products(features, target)
+    return df.groupBy(*group).agg(*gram, *moments).select(*group, _coefficients(len(features) + 1).alias("beta"))
+
+
+def predict_linear(df: DataFrame, fits: DataFrame, group: Sequence[str], features: Sequence[str]) -> DataFrame:
+    return attach(df, fits, group).withColumn("prediction", _linear(features, "beta")).drop("beta")
+
+
 def walk_forward_linear(
     df: DataFrame, group: Sequence[str], features: Sequence[str], config: WalkForward, *, target: str = "y",
     block_rows: int | None = None,
@@ -114,26 +145,14 @@ def walk_forward_linear(
     groups are fitted from one aggregation and one running total over folds.
     Adds ``fold`` and ``prediction`` (NULL on rows never predicted).
     """
-    design = [F.lit(1.0), *[F.col(f) for f in features]]
-    k = len(design)
-    upper = [(i, j) for i in range(k) for j in range(i, k)]
+    gram, moments, names = _products(features, target)
     numbered = df.withColumn("fold", fold_of(config))
-    per_fold = numbered.groupBy(*group, "fold").agg(
-        *[F.sum(design[i] * design[j]).alias(f"g_{i}_{j}") for i, j in upper],
-        *[F.sum(design[i] * F.col(target)).alias(f"m_{i}") for i in range(k)],
-    )
-    names = [f"g_{i}_{j}" for i, j in upper] + [f"m_{i}" for i in range(k)]
+    per_fold = numbered.groupBy(*group, "fold").agg(*gram, *moments)
     trained = ordered_scan(
         per_fold, group, ["fold"], sums={f"t_{n}": F.col(n) for n in names}, before=True, block_rows=block_rows
     ).where(F.col("fold") >= 0)
-    gram = F.array(*[F.col(f"t_g_{min(i, j)}_{max(i, j)}") for i in range(k) for j in range(k)])
-    moments = F.array(*[F.col(f"t_m_{i}") for i in range(k)])
-    fits = trained.select(*group, "fold", _least_squares(gram, moments).alias("_beta"))
-    joined = attach(numbered, fits, [*group, "fold"])
-    value = F.col("_beta")[0]
-    for place, name in enumerate(features, start=1):
-        value = value + F.col("_beta")[place] * F.col(name)
-    return joined.withColumn("prediction", value).drop("_beta")
+    fits = trained.select(*group, "fold", _coefficients(len(features) + 1, "t_").alias("_beta"))
+    return attach(numbered, fits, [*group, "fold"]).withColumn("prediction", _linear(features, "_beta")).drop("_beta")
 
 
 def walk_forward_estimator(

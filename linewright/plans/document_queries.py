@@ -30,7 +30,7 @@ def error_codes(column: str = "errors"):
 
 
 def flat(spark, sf_dir):
-    return v.view(spark, sf_dir, v.candidates(v.SPARK))
+    return v.view(spark, sf_dir, v.candidates(v.SPARK), spread="orders")
 
 
 _MODEL_CODES = [

@@ -7,6 +7,7 @@ from linewright import fixed_values as fixed
 from linewright.operators import calibration, history, metrics, scoring
 from linewright.plans import views as v
 from linewright.plans.registry import over, query, r, rounded
+from linewright.session import cut_lineage
 
 CONFIG = history.WalkForward(
     min_train_size=20, test_size=10, min_residual_history=20, min_calibration_history=30, minimum_validation_sample=100
@@ -105,7 +106,7 @@ def residual_prefix_cdf(spark, sf_dir):
       'avg(CASE WHEN b.residual < a.threshold - 1e-12 THEN 1e0 ELSE 0e0 END) AS under_share')}
     FROM oos a JOIN oos b ON a.grp = b.grp GROUP BY a.grp, a.event_id, a.threshold"""))
 def line_probability(spark, sf_dir):
-    rows = predicted(spark, sf_dir).where("prediction IS NOT NULL")
+    rows = cut_lineage(predicted(spark, sf_dir).where("prediction IS NOT NULL"))
     residuals = rows.select("grp", (F.col("y") - F.col("prediction")).alias("residual"))
     out = scoring.line_probability(rows.select("grp", "event_id", "prediction", "line"), residuals, ["grp"], "event_id")
     return rounded(
@@ -157,16 +158,15 @@ def walk_forward_platt(spark, sf_dir):
     SELECT grp, event_id, round(sr, 6) AS selected_raw, round(sc, 6) AS selected_calibrated, round(1 - live, 6) AS push,
       round(sc - 1 / o1 / (1 / o1 + 1 / o2), 6) AS edge_probability_points, round(sc * o1 + (1 - live) - 1, 6) AS expected_value_with_push FROM sided"""))
 def exact_line_scores(spark, sf_dir):
-    rows = predicted(spark, sf_dir)
+    rows = cut_lineage(predicted(spark, sf_dir))
     sample = rows.where("prediction IS NOT NULL").select("grp", (F.col("y") - F.col("prediction")).alias("residual"))
     calibrators = calibration.platt_fit(history.priced_history(rows, ["grp"], CONFIG), ["grp"])
-    # The final model trains on every row: one fit per group from two-way sums.
-    final = rows.groupBy("grp").agg(F.regr_slope("y", "x").alias("_s"), F.regr_intercept("y", "x").alias("_i"))
-    asked = history.attach(v.view(spark, sf_dir, v.history(v.SPARK)), final, ["grp"]).select(
-        "grp", "event_id", "line", (F.col("_i") + F.col("_s") * F.col("x")).alias("prediction"),
-        F.when(F.col("event_id") % 2 == 0, "over").otherwise("under").alias("selection"),
-        F.when(F.col("event_id") % 2 == 0, F.col("over_odds")).otherwise(F.col("under_odds")).alias("odds"),
-        F.when(F.col("event_id") % 2 == 0, F.col("under_odds")).otherwise(F.col("over_odds")).alias("opposing_odds"),
+    final = history.fit_linear(rows, ["grp"], ["x"])
+    even = F.col("event_id") % 2 == 0
+    asked = history.predict_linear(v.view(spark, sf_dir, v.history(v.SPARK)), final, ["grp"], ["x"]).select(
+        "grp", "event_id", "line", "prediction", F.when(even, "over").otherwise("under").alias("selection"),
+        F.when(even, F.col("over_odds")).otherwise(F.col("under_odds")).alias("odds"),
+        F.when(even, F.col("under_odds")).otherwise(F.col("over_odds")).alias("opposing_odds"),
     )
     scores = scoring.exact_line_scores(scoring.line_probability(asked, sample, ["grp"], "event_id"), calibrators, ["grp"])
     numbers = ["selected_raw", "selected_calibrated", "push", "edge_probability_points", "expected_value_with_push"]
@@ -186,9 +186,9 @@ def exact_line_scores(spark, sf_dir):
     FROM walked GROUP BY grp"""))
 def validation_scorecard(spark, sf_dir):
     """Out-of-sample evidence of the whole chain, with the validation window's bounds."""
-    rows = calibration.walk_forward_platt(
+    rows = cut_lineage(calibration.walk_forward_platt(
         priced(spark, sf_dir), ["grp"], ["pos"], minimum_history=CONFIG.min_calibration_history
-    )
+    ))
     card = metrics.calibration_status(
         metrics.scorecard(rows, "calibrated", "market_p", "outcome", ["grp"]), CONFIG.minimum_validation_sample
     )

@@ -50,9 +50,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    used = [t for t in TABLES if "{" + t + "}" in sql]
-    return spark.sql(sql, **{t: table(spark, sf_dir, t) for t in used})
+def view(spark: SparkSession, sf_dir: str, sql: str, *, spread: str | None = None) -> DataFrame:
+    """Run a view. ``spread`` names the driving table of CPU-heavy work after it."""
+    used = {t: table(spark, sf_dir, t) for t in TABLES if "{" + t + "}" in sql}
+    if spread:
+        used[spread] = spread_out(used[spread])
+    return spark.sql(sql, **used)
+
+
+def spread_out(scan: DataFrame) -> DataFrame:
+    """Use all cores on an input of fewer file splits than cores; otherwise leave it alone."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
 def duck(sql: str) -> str:
@@ -308,11 +317,11 @@ def _policy_struct() -> str:
 
 
 def model_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, candidates(SPARK)).select("candidate_id", F.expr(_MODEL).alias("model"))
+    return view(spark, sf_dir, candidates(SPARK), spread="orders").select("candidate_id", F.expr(_MODEL).alias("model"))
 
 
 def market_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, candidates(SPARK)).select(
+    return view(spark, sf_dir, candidates(SPARK), spread="orders").select(
         "candidate_id", F.expr(_MARKET).alias("market"), "evaluated_at", "portfolio_id", "correlation_key",
         F.lit("base").alias("policy_id"),
     )
@@ -320,7 +329,7 @@ def market_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def paired_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model and market of one candidate built from its single source row: no join needed."""
-    return view(spark, sf_dir, candidates(SPARK)).select(
+    return view(spark, sf_dir, candidates(SPARK), spread="orders").select(
         "candidate_id", F.expr(_MODEL).alias("model"), F.expr(_MARKET).alias("market"), "evaluated_at",
         "portfolio_id", "correlation_key", F.expr(_policy_struct()).alias("policy"),
     )
