@@ -12,7 +12,7 @@ def read_documents(spark: SparkSession, path: str, *, whole_files: bool = False)
     One object per line, or per file with ``whole_files``. Text that is not JSON
     or not an object is rejected with a reason; blank lines are skipped.
     """
-    text = spark.read.option("wholetext", whole_files).text(path).withColumn("file", F.col("_metadata.file_path"))
+    text = spark.read.text(path, wholetext=whole_files).withColumn("file", F.col("_metadata.file_path"))
     text = text.where(F.trim("value") != "")
     parsed = text.withColumn("document", F.try_parse_json("value"))
     shape = F.substring(F.schema_of_variant("document"), 1, 6)

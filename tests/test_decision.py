@@ -14,7 +14,7 @@ TYPES = {
 }
 
 
-def decide(spark, cases):
+def decided(spark, cases):
     """cases: list of {document.path: value}; ``context: None`` removes the context."""
     rows = []
     for i, case in enumerate(cases):
@@ -30,7 +30,11 @@ def decide(spark, cases):
         df = df.withColumn(kind, F.when(F.col(f"{kind}_t").isNotNull(), F.col(kind))).drop(f"{kind}_t", f"{kind}_v")
     table = cut_lineage(decision.decide(decision.with_contract_gate(df)))
     assert table.where(F.expr(decision.output_violation())).isEmpty()
-    return table.orderBy("i").collect()
+    return table
+
+
+def decide(spark, cases):
+    return decided(spark, cases).orderBy("i").collect()
 
 
 UNCALIBRATED = {"model.calibration_status": "uncalibrated", "model.calibration_method": "none", "model.probability_calibrated": None}
