@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linewright.functions import pricing
-from linewright.functions.ordered import attach
 
 
 def market_totals(outcomes: DataFrame, keys: Sequence[str], odds: str = "decimal_odds") -> DataFrame:
@@ -30,10 +29,10 @@ def no_vig_board(outcomes: DataFrame, keys: Sequence[str], odds: str = "decimal_
     quotes never has to fit one task; the join is split by the adaptive planner
     when a key is hot and broadcast by it when the totals turn out small.
     """
-    totals = market_totals(outcomes, keys, odds)
+    # Plain equality: a row without a market id belongs to no market, and the
+    # totals keep the partitioning of their aggregation.
     return (
-        attach(outcomes, totals, keys)
-        .where(F.col("market_sum").isNotNull())
+        outcomes.join(market_totals(outcomes, keys, odds), list(keys))
         .withColumn("raw_implied", 1.0 / F.col(odds))
         .withColumn("no_vig_probability", F.col("raw_implied") / F.col("market_sum"))
     )

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linewright.functions import stats
-from linewright.functions.ordered import attach
 
 
 def reliability(df: DataFrame, p: str, y: str, by: Sequence[str] = ()) -> DataFrame:
@@ -39,39 +38,28 @@ def scoring_rules(df: DataFrame, p: str, y: str, by: Sequence[str] = ()) -> Data
 def scorecard(df: DataFrame, p: str, market_p: str, y: str, by: Sequence[str] = ()) -> DataFrame:
     """Brier, log loss and ECE of model and market, with the Brier skill score.
 
-    One aggregation by (segment, model bin, market bin) carries everything; both
-    bin sets are then summed from its at most 100 rows per segment.
+    One aggregation with map-side sums: a bin's weight times |mean p - mean y| is
+    |sum (p - y)| / N, so each bin is one conditional sum.
     """
     m, k, yc = F.col(p), F.col(market_p), F.col(y)
+    binned = df.withColumns({"_bm": stats.calibration_bin(m), "_bk": stats.calibration_bin(k)})
+    bins = range(len(stats.ECE_EDGES) + 1)
+    gap = lambda bin_col, value, i: F.sum(F.when(F.col(bin_col) == i, value - yc).otherwise(0.0))
     sums = {
-        "_n": F.count(F.lit(1)), "_y": F.sum(yc), "_m": F.sum(m), "_k": F.sum(k),
+        "_n": F.count(F.lit(1)),
         "_mb": F.sum(stats.brier_term(m, yc)), "_kb": F.sum(stats.brier_term(k, yc)),
         "_ml": F.sum(stats.clipped_log_loss_term(m, yc)), "_kl": F.sum(stats.clipped_log_loss_term(k, yc)),
+        **{f"_mg{i}": gap("_bm", m, i) for i in bins}, **{f"_kg{i}": gap("_bk", k, i) for i in bins},
     }
-    cells = (
-        df.withColumns({"_bm": stats.calibration_bin(m), "_bk": stats.calibration_bin(k)})
-        .groupBy(*by, "_bm", "_bk").agg(*[e.alias(n) for n, e in sums.items()])
-    )
-    # A bin's weight times |mean p - mean y| is |sum p - sum y| / N.
-    per_model = cells.groupBy(*by, "_bm").agg(F.sum(F.col("_m") - F.col("_y")).alias("_gap"))
-    per_market = cells.groupBy(*by, "_bk").agg(F.sum(F.col("_k") - F.col("_y")).alias("_gap"))
-    model_gap = per_model.groupBy(*by).agg(F.sum(F.abs("_gap")).alias("_mgap"))
-    market_gap = per_market.groupBy(*by).agg(F.sum(F.abs("_gap")).alias("_kgap"))
-    totals = cells.groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("_n", "_mb", "_kb", "_ml", "_kl")])
-    if by:
-        joined = attach(attach(totals, model_gap, by), market_gap, by)
-    else:
-        one = F.lit(1).alias("_one")
-        joined = (
-            totals.select("*", one).join(model_gap.select("*", one), "_one").join(market_gap.select("*", one), "_one").drop("_one")
-        )
+    totals = binned.groupBy(*by).agg(*[e.alias(name) for name, e in sums.items()])
     n = F.col("_n")
-    return joined.select(
+    error = lambda tag: sum((F.abs(F.col(f"_{tag}g{i}")) for i in bins), F.lit(0.0)) / n
+    return totals.select(
         *by, n.alias("sample_size"),
         (F.col("_mb") / n).alias("model_brier_score"), (F.col("_kb") / n).alias("market_brier_score"),
         F.when(F.col("_kb") > 0, 1.0 - F.col("_mb") / F.col("_kb")).otherwise(F.lit(float("nan"))).alias("brier_skill_score"),
         (F.col("_ml") / n).alias("model_log_loss"), (F.col("_kl") / n).alias("market_log_loss"),
-        (F.col("_mgap") / n).alias("model_ece"), (F.col("_kgap") / n).alias("market_ece"),
+        error("m").alias("model_ece"), error("k").alias("market_ece"),
     )
 
 

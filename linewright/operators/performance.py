@@ -14,19 +14,25 @@ from linewright.session import cut_lineage
 SETTLED = ["WIN", "LOSS"]
 
 
-def _summary() -> list[Column]:
+def _sums() -> dict[str, Column]:
+    """What a summary is made of: sums and counts that add up over parts."""
     y = F.when(F.col("result") == "WIN", 1.0).otherwise(0.0)
     p = F.when((F.col("p") > 0) & (F.col("p") < 1), F.col("p"))
     taken, closing = F.col("odds_taken").try_cast("double"), F.col("closing_odds").try_cast("double")
     clv = F.try_divide(taken, closing) - 1.0
+    return {
+        "_n": F.count(F.lit(1)), "_stake": F.sum("stake"), "_profit": F.sum("profit"),
+        "_brier": F.sum(stats.brier_term(p, y)), "_loss": F.sum(stats.log_loss_term(p, y)), "_judged": F.count(p),
+        "_clv": F.sum(clv), "_closed": F.count(clv),
+    }
+
+
+def _measures() -> list[Column]:
+    stake, profit = F.col("_stake").cast("double"), F.col("_profit").cast("double")
     return [
-        F.count(F.lit(1)).alias("bets"),
-        F.sum("stake").cast("double").alias("stake"),
-        F.sum("profit").cast("double").alias("profit"),
-        F.try_divide(F.sum("profit").cast("double"), F.sum("stake").cast("double")).alias("roi"),
-        F.avg(stats.brier_term(p, y)).alias("brier"),
-        F.avg(stats.log_loss_term(p, y)).alias("log_loss"),
-        F.avg(clv).alias("avg_price_clv"),
+        F.col("_n").alias("bets"), stake.alias("stake"), profit.alias("profit"), F.try_divide(profit, stake).alias("roi"),
+        F.try_divide("_brier", F.col("_judged")).alias("brier"), F.try_divide("_loss", F.col("_judged")).alias("log_loss"),
+        F.try_divide("_clv", F.col("_closed")).alias("avg_price_clv"),
     ]
 
 
@@ -40,7 +46,7 @@ def settled_summary(bets: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     Log loss leaves out probabilities outside (0, 1); CLV leaves out odds that
     do not parse or divide.
     """
-    return settled(bets).groupBy(*by).agg(*_summary())
+    return settled(bets).groupBy(*by).agg(*[e.alias(n) for n, e in _sums().items()]).select(*by, *_measures())
 
 
 def with_buckets(bets: DataFrame) -> DataFrame:
@@ -56,21 +62,26 @@ def with_buckets(bets: DataFrame) -> DataFrame:
 def segmented(bets: DataFrame, dimensions: Sequence[str], *, minimum_sample: int) -> DataFrame:
     """The summary by each dimension on its own, with small-sample and version-mixing flags.
 
-    Each bet contributes once per dimension; the exploded copies are aggregated
-    map-side, so only (dimension, value) partial sums are shuffled. Versions are
-    compared by minimum and maximum: they mix exactly when those differ.
+    Each bet contributes once per dimension and is summed map-side per (dimension,
+    value, model version); the versions of a segment are then the rows of that
+    small table, which sums up to the segment.
     """
     pairs = F.explode(F.array(*[
         F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("segment")) for d in dimensions
     ]))
-    versions = [F.min("model_version").alias("_first"), F.max("model_version").alias("_last")]
-    return (
+    sums = _sums()
+    per_version = (
         settled(bets).withColumn("_pair", pairs)
-        .groupBy(F.col("_pair.dimension"), F.col("_pair.segment"))
-        .agg(*_summary(), *versions)
-        .withColumn("small_sample", F.col("bets") < minimum_sample)
-        .withColumn("mixed_versions", F.col("_first") != F.col("_last"))
-        .drop("_first", "_last")
+        .groupBy(F.col("_pair.dimension").alias("dimension"), F.col("_pair.segment").alias("segment"), "model_version")
+        .agg(*[e.alias(n) for n, e in sums.items()])
+    )
+    return (
+        per_version.groupBy("dimension", "segment")
+        .agg(*[F.sum(n).alias(n) for n in sums], F.count(F.lit(1)).alias("_versions"))
+        .select(
+            "dimension", "segment", *_measures(), (F.col("_n") < minimum_sample).alias("small_sample"),
+            (F.col("_versions") > 1).alias("mixed_versions"),
+        )
     )
 
 

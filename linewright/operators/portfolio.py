@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linewright.functions.ordered import attach
+from linewright.session import cut_lineage
 
 
 def exposure_rollup(positions: DataFrame, *, as_of: str, amount: str = "stake", time: str = "decision_at") -> DataFrame:
@@ -13,7 +14,8 @@ def exposure_rollup(positions: DataFrame, *, as_of: str, amount: str = "stake",
 
     One row per (portfolio, league, correlation group), as the portfolio contract
     wants it. ``as_of`` is a timestamp literal; later positions are not counted.
-    Three levels come from one pre-aggregated table, so positions shuffle once.
+    All three levels come from one pre-aggregated table, written once, so the
+    positions are read and shuffled once.
     """
     now = F.lit(as_of).cast("timestamp")
     moment, value = F.col(time).cast("timestamp"), F.col(amount)
@@ -25,6 +27,7 @@ def exposure_rollup(positions: DataFrame, *, as_of: str, amount: str = "stake",
         F.sum(F.when(moment >= now - F.expr("INTERVAL '3' DAY"), value).otherwise(value * 0)).alias("_rolling"),
         F.sum(F.when(is_open, 1).otherwise(0)).alias("_positions"),
     )
+    base = cut_lineage(base)
     book = base.groupBy("portfolio_id").agg(
         F.sum("_open").alias("open_amount"), F.sum("_daily").alias("daily_turnover_amount"),
         F.sum("_rolling").alias("rolling_3d_turnover_amount"), F.sum("_positions").alias("open_positions_count"),

@@ -249,7 +249,7 @@ def stake_caps(spark, sf_dir):
     , g AS (SELECT *, b * full_kelly * 25e-2 AS provisional_stake, b * 2e-2 AS c1, greatest(0, b * 1e-1 - u1) AS c2, greatest(0, b * 25e-2 - u2) AS c3,
         greatest(0, b * 15e-2 - u3) AS c4, greatest(0, b * 4e-1 - u4) AS c5 FROM f)
     , h AS (SELECT *, least(c1, c2, c3, c4, c5) AS low FROM g)
-    SELECT candidate_id, round(full_kelly, 9) AS full_kelly, round(provisional_stake, 4) AS provisional_stake,
+    SELECT candidate_id, full_kelly, provisional_stake,
       CASE WHEN low > provisional_stake THEN 'kelly' WHEN c1 = low THEN 'per_bet' WHEN c2 = low THEN 'open' WHEN c3 = low THEN 'daily' WHEN c4 = low THEN 'league' ELSE 'rolling' END AS binding_cap,
       greatest(0, floor(least(provisional_stake, low) / 5e-1) * 5e-1) AS final_stake FROM h"""))
 def five_cap_sizing(spark, sf_dir):
@@ -263,10 +263,8 @@ def five_cap_sizing(spark, sf_dir):
         F.lit(0.5).alias("increment"),
     )
     out = sizing.five_cap_stakes(rows)
-    return out.select(
-        "candidate_id", F.round("full_kelly", 9).alias("full_kelly"), F.round("provisional_stake", 4).alias("provisional_stake"),
-        "binding_cap", "final_stake",
-    )
+    # Per-row arithmetic is the same in both engines: no rounding needed.
+    return out.select("candidate_id", "full_kelly", "provisional_stake", "binding_cap", "final_stake")
 
 
 @query("drawdown_control", over(_VIEWS, f"""{_ASOF}{_CONTEXT}
