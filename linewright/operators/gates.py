@@ -40,7 +40,9 @@ def age(now: str, then: str) -> str:
 
 
 def with_moments(df: DataFrame, names: Sequence[str] = tuple(MOMENTS)) -> DataFrame:
-    return df.withColumns({n: F.expr(f"try_to_timestamp({MOMENTS[n]})") for n in names})
+    """Text without a zone is not a usable moment (NULL): the session's zone must not decide."""
+    zoned = lambda text: f"CASE WHEN {text} RLIKE '(Z|[+-][0-9][0-9]:?[0-9][0-9])$' THEN try_to_timestamp({text}) END"
+    return df.withColumns({n: F.expr(zoned(MOMENTS[n])) for n in names})
 
 
 def mismatched_fields() -> str:

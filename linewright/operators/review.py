@@ -14,6 +14,8 @@ from linewright import fixed_values as fixed
 from linewright.functions.canonical import canonical_text, digest, document_text
 from linewright.functions.ordered import attach, latest_per_key, ordered_scan
 from linewright.operators import contracts
+from linewright.schemas import HUMAN_REVIEW
+from linewright.session import cut_lineage
 
 PREVIOUS, RECORD = "previous_record_sha256", "record_sha256"
 _NO_PREVIOUS = f'"{PREVIOUS}":null'
@@ -97,7 +99,7 @@ def intake(reviews: DataFrame, log: DataFrame | None, *, arrival: str, log_id: s
     with ``seq`` and hashes. Returns the records to append and the rejects with
     their ``rejection``. A log whose chain is broken takes nothing.
     """
-    fields = [f for f in fixed_review_fields() if f in reviews.columns]
+    fields = [f for f in HUMAN_REVIEW.names if f in reviews.columns]
     as_struct = reviews.withColumn("_doc", F.struct(*fields))
     checked = contracts.contract_errors(as_struct, "_doc", contracts.human_review, "_errors")
     faulted = checked.withColumn(
@@ -110,6 +112,8 @@ def intake(reviews: DataFrame, log: DataFrame | None, *, arrival: str, log_id: s
         faulted = attach(faulted, broken, [log_id]).withColumn(
             "rejection", F.when(F.col("rejection").isNull() & F.col("_broken"), "log chain is broken").otherwise(F.col("rejection"))
         ).drop("_broken")
+    # Judged once; accepted and rejected rows both read it.
+    faulted = cut_lineage(faulted)
     passed = duplicates(faulted.where(F.col("rejection").isNull()), log, arrival=arrival).withColumn(
         "rejection", F.when(F.col("duplicate"), F.concat(F.lit("duplicate review_id: "), F.col("review_id")))
     ).drop("duplicate")
@@ -126,12 +130,6 @@ def intake(reviews: DataFrame, log: DataFrame | None, *, arrival: str, log_id: s
     return build_chain(numbered, log_id, "seq", fields, tails), rejected
 
 
-def fixed_review_fields() -> list[str]:
-    from linewright.schemas import HUMAN_REVIEW
-
-    return HUMAN_REVIEW.names
-
-
 # ---- review packets -------------------------------------------------------------------------------
 
 

@@ -33,7 +33,7 @@ _SCHEMA = """CASE WHEN model_probability_changed THEN 'review schema validation
 
 
 def review_rows(spark, sf_dir):
-    return v.view(spark, sf_dir, reviews(v.SPARK)).withColumn("packet_sha256", F.sha2(F.col("prediction_id"), 256))
+    return v.view(spark, sf_dir, reviews(v.SPARK), spread="orders").withColumn("packet_sha256", F.sha2(F.col("prediction_id"), 256))
 
 
 @query("review_policy", over({"q": reviews}, f"SELECT arrival, {_FAULT} AS fault FROM q"))

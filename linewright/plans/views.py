@@ -26,7 +26,8 @@ class Dialect:
 
     def iso(self, expr: str) -> str:
         if self.name == "spark":
-            return f"date_format({expr}, \"yyyy-MM-dd'T'HH:mm:ss'Z'\")"
+            # Plain text of a zone-less timestamp: the session's zone plays no part.
+            return f"concat(substring(CAST({expr} AS STRING), 1, 10), 'T', substring(CAST({expr} AS STRING), 12, 8), 'Z')"
         return f"strftime({expr}, '%Y-%m-%dT%H:%M:%SZ')"
 
     def text(self, expr: str) -> str:
@@ -39,7 +40,7 @@ class Dialect:
 
     def epoch(self, expr: str) -> str:
         if self.name == "spark":
-            return f"unix_seconds(CAST({expr} AS TIMESTAMP))"
+            return f"timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {expr})"
         return f"CAST(floor(epoch({expr})) AS BIGINT)"
 
 
@@ -338,7 +339,7 @@ def paired_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def portfolio_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, portfolios(SPARK)).select(
         "portfolio_id", "correlation_key", F.expr(_PORTFOLIO).alias("portfolio"),
-        F.col("captured").cast("timestamp").alias("portfolio_at"),
+        F.expr("try_to_timestamp(captured_at)").alias("portfolio_at"),
     )
 
 
