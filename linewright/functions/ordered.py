@@ -43,6 +43,15 @@ def attach(df: DataFrame, side: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.join(renamed, condition, "left").drop(*[f"_side_{k}" for k in keys])
 
 
+def small_side(side: DataFrame, *, most: int = 10_000) -> DataFrame:
+    """Ask for a broadcast only when a bounded look shows at most ``most`` rows.
+
+    For sides whose key may be the same on most rows (a policy, a model version);
+    a larger side stays a shuffled join, split on hot keys by adaptive execution.
+    """
+    return F.broadcast(side) if side.limit(most + 1).count() <= most else side
+
+
 def ordered_scan(
     df: DataFrame,
     group: Sequence[str],

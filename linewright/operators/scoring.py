@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from linewright import fixed_values as fixed
 from linewright.functions import pricing, stats
-from linewright.functions.ordered import attach, ordered_scan
+from linewright.functions.ordered import attach, ordered_scan, small_side
 
 
 def line_probability(
@@ -61,7 +61,7 @@ def exact_line_scores(
     """
     side = F.lower(F.trim(F.col(selection)))
     is_over = side == "over"
-    known = attach(priced, calibrators.select(*keys, "intercept", "coefficient"), keys).where(side.isin("over", "under"))
+    known = attach(priced, small_side(calibrators.select(*keys, "intercept", "coefficient")), keys).where(side.isin("over", "under"))
     conditional = stats.platt(F.col("raw"), F.col("intercept"), F.col("coefficient"))
     staged = known.withColumn("_conditional", conditional).withColumn("_live", 1.0 - F.col("push"))
     staged = staged.withColumns({
