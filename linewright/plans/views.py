@@ -95,7 +95,11 @@ def priced(d: Dialect) -> str:
 
 
 def bets(d: Dialect) -> str:
-    """Bet log. Money is exact decimal, so sums do not depend on row order."""
+    """Bet log. Money is exact decimal, so sums do not depend on row order.
+
+    Probabilities are over 997: their squares do not end on exact halves, where
+    two engines round apart.
+    """
     return f"""
     SELECT l_orderkey AS market_id, concat('S', l_linenumber, '-', l_partkey) AS selection,
            concat('P', c_nationkey) AS portfolio_id, n_name AS competition,
@@ -109,7 +113,7 @@ def bets(d: Dialect) -> str:
            CAST(CASE l_returnflag
                 WHEN 'A' THEN CAST(l_extendedprice AS DECIMAL(12,2)) * CAST((5 + 10 * l_quantity) / 1e2 AS DECIMAL(6,2))
                 WHEN 'R' THEN -CAST(l_extendedprice AS DECIMAL(12,2)) ELSE 0 END AS DECIMAL(20,4)) AS profit,
-           (50 + (l_orderkey * 7919 + l_partkey * 31 + l_linenumber) % 900) / 1e3 AS p,
+           (50 + (l_orderkey * 7919 + l_partkey * 31 + l_linenumber) % 900) / 997e0 AS p,
            (10 + (l_orderkey * 17 + l_partkey) % 80) / 1e2 AS market_p,
            l_shipdate AS decision_at, {d.seconds('l_shipdate', 'o_orderdate')} AS lead_seconds,
            l_orderkey * 1000000000 + l_partkey * 10000 + l_suppkey * 10 + l_linenumber AS bet_key
@@ -122,7 +126,7 @@ def scored(d: Dialect) -> str:
     """Labelled rows with a model probability; the market side is a spread of prices."""
     return """
     SELECT doc_id, lang AS segment, quality AS y,
-           (1 + n_chars * 37 % 998) / 1e3 AS p, (300 + doc_id % 400) / 1e3 AS market_p
+           (1 + n_chars * 37 % 998) / 1003e0 AS p, (300 + doc_id % 400) / 997e0 AS market_p
     FROM {labels} JOIN {documents} USING (doc_id)"""
 
 
