@@ -1,13 +1,13 @@
 """Benchmark decontamination: a prefix-filtered set join, in SQL functions alone.
 
 A document holds a window of benchmark words only if it holds all the window's
-shingles, so one of them, the rarest, is a sufficient prefix. Shingles are
-ranked by how often they stand in the whole corpus; a window with a shingle
-that stands nowhere is out at once. Document shingles join the prefixes, the
-prefix's place in the window gives the one place where the window could start
-(positional bound), which must leave room for its length, and the words there
-are compared. Benchmark-sized sides are broadcast below a checked number of
-words and joined by shuffle beyond it.
+shingles, so one of them, the rarest, is a sufficient prefix. One pass over the
+corpus keeps the places of all benchmark shingles; their counts rank them, and
+a window with a shingle that stands nowhere is out at once. The places of the
+prefixes alone go on: a prefix's offset in its window gives the one place where
+the window could start (positional bound), which must leave room for its length
+in the text, and there the words are compared. Sides as large as the benchmark
+or as the candidates are broadcast below a checked size, joined by shuffle beyond it.
 """
 
 from __future__ import annotations
@@ -15,16 +15,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linewright.llm.common import spaced_words, stored, text_of
+from linewright.llm.common import spaced_words, stored, text_key, text_of
 
 WINDOW = 13
-SHINGLE = 3
-#: Benchmark words (counted over all windows) up to which the windows are broadcast: about 64 MB.
+SHINGLE = 4
+#: Benchmark words (counted over all windows) up to which shingles and windows are broadcast: about 64 MB.
 BROADCAST_WORDS = 4_000_000
+#: Candidate places up to which their lists are broadcast: about 40 MB.
+BROADCAST_PLACES = 1_000_000
 
 
 def word_array(text: Column) -> Column:
-    return F.filter(F.split(spaced_words(text), " "), lambda w: w != "")
+    joined = spaced_words(text)
+    return F.when(joined == "", F.array().cast("array<string>")).otherwise(F.split(joined, " "))
 
 
 def benchmark_windows(benchmark: DataFrame, text: str, item: str, window: int) -> DataFrame:
@@ -51,7 +54,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, keep: list[str], tex
     with null ids hit but are not listed. Repeated rows get a row each; an empty
     table or benchmark gives no hits; other columns of either table play no part.
     """
-    spark = docs.sparkSession
     found = benchmark_windows(benchmark, item_text, item, window)
     # Ids of windows are fixed by writing them before anything refers to them.
     windows = stored(found.groupBy("words").agg(F.collect_set("item").alias("items")).withColumn("win", F.monotonically_increasing_id()), "windows")
@@ -67,61 +69,61 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, keep: list[str], tex
     total = windows.agg(F.sum(F.size("words"))).first()[0] or 0
     near = F.broadcast if total <= BROADCAST_WORDS else (lambda side: side)
 
-    # One struct holds the kept columns, so that no name of theirs can clash.
-    body = docs.select(F.struct(*keep).alias("_kept"), word_array(text_of(text)).alias("_w")).withColumn("_row", F.monotonically_increasing_id())
-
-    def shingles(*columns: str) -> DataFrame:
-        places = body.select(*columns, "_w", F.posexplode_outer("_w").alias("_at", "_word"))
-        if len(lengths) <= 1:
-            return places.withColumn("_key", shingle_keys(F.col("_w"), F.col("_at"), (lengths or [shingle])[0])).drop("_word")
-        keys = F.array(*[shingle_keys(F.col("_w"), F.col("_at"), n) for n in lengths])
-        return places.select(*columns, "_w", "_at", F.posexplode(keys).alias("_nth", "_key"))
-
-    wanted = pieces.select(F.col("key").alias("_key")).distinct()
-    counts = shingles().select("_key").join(near(wanted), "_key").groupBy("_key").agg(F.count("*").alias("places"))
-    ranked = pieces.join(counts.withColumnRenamed("_key", "key"), "key", "left").withColumn("places", F.coalesce("places", F.lit(0).cast("long")))
-    prefix = ranked.groupBy("win").agg(F.min(F.struct("places", "key", "offset")).alias("p"), F.first("words").alias("words")).where("p.places > 0")
-    prefixes = stored(prefix.groupBy(F.col("p.key").alias("_key")).agg(F.collect_list(F.struct(F.col("p.offset").alias("offset"), "words", "win")).alias("_windows")), "prefixes")
-
-    first = "_at is null or _at = 0" if len(lengths) <= 1 else "(_at is null or _at = 0) and _nth = 0"
-    if total <= BROADCAST_WORDS:
-        joined = shingles("_row", "_kept").join(F.broadcast(prefixes), "_key", "left")
-        checked = joined.withColumn(
-            "_hits",
-            F.expr(
-                """CASE WHEN _windows IS NOT NULL THEN transform(
-                     filter(_windows, x -> _at >= x.offset AND _at - x.offset + size(x.words) <= size(_w)
-                                       AND slice(_w, _at - x.offset + 1, size(x.words)) = x.words),
-                     x -> struct(_at - x.offset AS start, size(x.words) AS n, x.win AS win)) END"""
-            ),
-        )
-        rows = checked.where(f"size(_hits) > 0 or ({first})").select("_row", "_kept", F.size("_w").cast("long").alias("n_words"), "_hits")
+    # Rows of one text have one result, so places are kept by the text's key.
+    words = docs.select(text_key(text).alias("id"), word_array(text_of(text)).alias("w"))
+    at = {n: F.expr(f"if(size(w) >= {n}, sequence(0, size(w) - {n}), cast(array() AS array<int>))") for n in lengths}
+
+    def placed(n: int) -> Column:
+        return F.transform(at[n], lambda i: F.struct(i.alias("at"), shingle_keys(F.col("w"), i, n).alias("key")))
+
+    size = F.size("w").alias("n")
+    if len(lengths) == 1:
+        length = lengths[0]
+        keys = F.transform(at[length], lambda i: shingle_keys(F.col("w"), i, length))
+        places = words.select("id", size, keys.alias("keys")).select("id", "n", F.posexplode("keys").alias("at", "key"))
+    elif lengths:
+        places = words.select("id", size, F.concat(*map(placed, lengths)).alias("all")).select("id", "n", F.inline("all"))
     else:
-        # Candidate places find their way back to the words by row, each row's in one list no longer than its text.
-        places = shingles("_row").select("_row", "_at", "_key").join(prefixes, "_key")
-        lists = places.select("_row", "_at", F.explode("_windows").alias("x")).where("_at >= x.offset").groupBy("_row").agg(F.collect_list(F.struct(F.expr("_at - x.offset").alias("start"), F.col("x.words").alias("words"), F.col("x.win").alias("win"))).alias("_places"))
-        rows = body.join(lists, "_row", "left").select(
-            "_row",
-            "_kept",
-            F.size("_w").cast("long").alias("n_words"),
-            F.expr("transform(filter(_places, x -> slice(_w, x.start + 1, size(x.words)) = x.words), x -> struct(x.start AS start, size(x.words) AS n, x.win AS win))").alias("_hits"),
-        )
-    per_row = rows.groupBy("_row").agg(F.first("_kept").alias("_kept"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("_hits")).alias("hits"))
+        places = words.where("false").select("id", size, F.lit(0).alias("at"), F.lit(0).cast("long").alias("key"))
+    wanted = pieces.select("key").distinct()
+    matches = stored(places.join(near(wanted), "key"), "matches")
+
+    counts = matches.groupBy("key").agg(F.count("*").alias("places"))
+    ranked = pieces.join(counts, "key", "left").withColumn("places", F.coalesce("places", F.lit(0).cast("long")))
+    prefix = ranked.groupBy("win").agg(F.min(F.struct("places", "key", "offset")).alias("p"), F.first("words").alias("words")).where("p.places > 0")
+    prefixes = stored(prefix.select(F.col("p.key").alias("key"), F.col("p.offset").alias("offset"), "win", F.size("words").alias("length")), "prefixes")
+    starts = matches.join(near(prefixes), "key").where("at >= offset AND at - offset + length <= n")
+    lists = starts.select("id", "win", F.expr("at - offset").alias("start")).distinct().join(near(windows.select("win", "words")), "win")
+    candidates = stored(lists.groupBy("id").agg(F.collect_list(F.struct("start", "words", "win")).alias("places")), "candidates")
+    count = candidates.agg(F.sum(F.size("places"))).first()[0] or 0
+
+    # One struct holds the kept columns, so that no name of theirs can clash.
+    whole = docs.select(F.struct(*keep).alias("_kept"), text_key(text).alias("id"), word_array(text_of(text)).alias("_w"))
+    side = F.broadcast(candidates) if count <= BROADCAST_PLACES else candidates
+    checked = whole.join(side, "id", "left").select(
+        "_kept",
+        "id",
+        F.size("_w").cast("long").alias("n_words"),
+        F.expr(
+            """CASE WHEN places IS NOT NULL THEN transform(
+                 filter(places, x -> slice(_w, x.start + 1, size(x.words)) = x.words),
+                 x -> struct(x.start AS start, size(x.words) AS n, x.win AS win)) END"""
+        ).alias("hits"),
+    )
     base = stored(
-        per_row.select(
-            "_row",
+        checked.select(
             "_kept",
-            F.greatest("n_words", F.lit(0).cast("long")).alias("n_words"),
-            F.expr("cast(size(array_distinct(flatten(transform(hits, x -> sequence(x.start, x.start + x.n - 1))))) AS long)").alias("n_hit"),
+            "id",
+            "n_words",
+            F.expr("CASE WHEN hits IS NULL THEN 0L ELSE cast(size(array_distinct(flatten(transform(hits, x -> sequence(x.start, x.start + x.n - 1))))) AS long) END").alias("n_hit"),
             F.expr("array_distinct(transform(hits, x -> x.win))").alias("wins"),
         ),
         "hits",
     )
-    listed = base.where("size(wins) > 0").select("_row", F.explode("wins").alias("win")).join(windows.select("win", "items"), "win")
-    items = listed.select("_row", F.explode("items").alias("item")).groupBy("_row").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    none = F.array().cast("array<string>")
-    listed_items = F.coalesce("items", none)
-    return base.join(items, "_row", "left").select(
+    listed = base.where("size(wins) > 0").select("id", F.explode("wins").alias("win")).distinct().join(near(windows.select("win", "items")), "win")
+    items = listed.select("id", F.explode("items").alias("item")).groupBy("id").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    listed_items = F.coalesce("items", F.array().cast("array<string>"))
+    return base.join(items, "id", "left").select(
         *[F.col(f"_kept.`{c}`").alias(c) for c in keep],
         "n_words",
         "n_hit",

@@ -57,6 +57,7 @@ def plain_contamination(docs, items, window):
 @pytest.mark.parametrize("most", [decontaminate.BROADCAST_WORDS, 0])
 def test_contamination(spark, monkeypatch, most):
     monkeypatch.setattr(decontaminate, "BROADCAST_WORDS", most)
+    monkeypatch.setattr(decontaminate, "BROADCAST_PLACES", most)
     rng = random.Random(1)
     vocabulary = ["The", "of", "Ä", "x9", "and", "é"]
     items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(12)))) for i in range(12)] + [(90, None), (91, ""), (92, "of"), (5, "the the the the")]
