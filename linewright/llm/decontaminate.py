@@ -69,7 +69,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, keep: list[str], tex
     total = windows.agg(F.sum(F.size("words"))).first()[0] or 0
     near = F.broadcast if total <= BROADCAST_WORDS else (lambda side: side)
 
-    # Rows of one text have one result, so places are kept by the text's key.
+    # Rows of one text have one result, so places are kept by the text's key. The outer generators keep the optimiser
+    # from testing the arrays first, which would split the text anew for each of its words.
     words = docs.select(text_key(text).alias("id"), word_array(text_of(text)).alias("w"))
     at = {n: F.expr(f"if(size(w) >= {n}, sequence(0, size(w) - {n}), cast(array() AS array<int>))") for n in lengths}
 
@@ -80,9 +81,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, keep: list[str], tex
     if len(lengths) == 1:
         length = lengths[0]
         keys = F.transform(at[length], lambda i: shingle_keys(F.col("w"), i, length))
-        places = words.select("id", size, keys.alias("keys")).select("id", "n", F.posexplode("keys").alias("at", "key"))
+        places = words.select("id", size, keys.alias("keys")).select("id", "n", F.posexplode_outer("keys").alias("at", "key"))
     elif lengths:
-        places = words.select("id", size, F.concat(*map(placed, lengths)).alias("all")).select("id", "n", F.inline("all"))
+        places = words.select("id", size, F.concat(*map(placed, lengths)).alias("all")).select("id", "n", F.inline_outer("all"))
     else:
         places = words.where("false").select("id", size, F.lit(0).alias("at"), F.lit(0).cast("long").alias("key"))
     wanted = pieces.select("key").distinct()
