@@ -178,8 +178,13 @@ def asof_join(
 
     The right row arrives as one struct column ``payload`` (null if none). Both
     sides are merged in time order and the last right row is carried forward, so
-    no pairs of rows are formed.
+    no pairs of rows are formed. Right rows without a time or with a NULL key
+    match nothing, and neither do left rows with a NULL key.
     """
+    usable = F.col(right_time).isNotNull()
+    for key in keys:
+        usable = usable & F.col(key).isNotNull()
+    right = right.where(usable)
     moment = F.col(left_time)
     left_rows = left.select(
         *keys, moment.alias("_when"), F.lit(1).alias("_side"),

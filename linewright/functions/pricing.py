@@ -125,13 +125,16 @@ def output_round(x: Column) -> Column:
 
 
 def floor_to_increment(amount: Column, increment: Column) -> Column:
-    """Exact decimal floor to a multiple of ``increment``; never rounds up."""
+    """Exact decimal floor to a multiple of ``increment``; never rounds up.
+
+    NULL for an increment of zero and for amounts that 26 digits before the point cannot hold.
+    """
     # Remainders of decimals are exact; quotients would be rounded to a shorter scale.
-    exact = F.greatest(amount, F.lit(0.0)).cast("string").cast("decimal(28,12)")
-    step = increment.cast("string").cast("decimal(28,12)")
-    return (exact - exact % step).cast("double")
+    exact = F.greatest(amount, F.lit(0.0)).cast("string").try_cast("decimal(38,12)")
+    step = increment.cast("string").try_cast("decimal(38,12)")
+    return (exact - F.try_mod(exact, step)).cast("double")
 
 
 def floor_to_increment_float(amount: Column, increment: Column) -> Column:
-    floored = F.floor(amount / increment) * increment
+    floored = F.floor(F.try_divide(amount, increment)) * increment
     return F.when(increment > 0, floored).otherwise(amount)

@@ -53,9 +53,9 @@ def with_position(df: DataFrame, group: Sequence[str], order: Sequence[str], *,
 def chronology_breaks(
     df: DataFrame, group: Sequence[str], order: Sequence[str], time: str, *, block_rows: int | None = None
 ) -> DataFrame:
-    """Rows whose time is not strictly after the row before it; must be empty."""
+    """Rows without a time, or whose time is not strictly after the row before it; must be empty."""
     seen = ordered_scan(df, group, order, previous={"previous_time": F.col(time)}, block_rows=block_rows)
-    return seen.where(F.col(time) <= F.col("previous_time"))
+    return seen.where(F.col(time).isNull() | (F.col(time) <= F.col("previous_time")))
 
 
 def training_faults(

@@ -58,10 +58,10 @@ def edge_board(df: DataFrame, *, minimum_ev: float, minimum_edge: float) -> Data
     return df.withColumns({
         "break_even_probability": pricing.implied_probability(d),
         "ev": pricing.expected_value(p, d),
-        "edge_vs_break_even_pp": pricing.edge(p, 1.0 / d),
+        "edge_vs_break_even_pp": pricing.edge(p, F.try_divide(F.lit(1.0), d)),
         "edge_vs_market_pp": pricing.edge(p, m),
         "full_kelly": pricing.full_kelly(p, d),
-        "break_even_odds": 1.0 / p,
+        "break_even_odds": F.try_divide(F.lit(1.0), p),
         "minimum_qualifying_odds": pricing.minimum_odds(p, target),
         "economic_status": pricing.economic_status(p, d, m, target, need),
     })

@@ -64,3 +64,17 @@ def test_bins_logit_and_sigmoid(spark):
     assert got == {"a": 2, "b": 3, "c": 9, "d": 0, "e": 1}
     z = values(spark, low=stats.sigmoid(F.lit(-800.0)), high=stats.sigmoid(F.lit(800.0)), top=stats.logit(F.lit(1.0)), bad=stats.logit(F.lit(1.5)))
     assert z["low"] == 0.0 and z["high"] == 1.0 and z["top"] == pytest.approx(math.log((1 - 1e-6) / 1e-6)) and z["bad"] is None
+
+
+def test_floor_survives_zero_steps_and_large_amounts(spark):
+    rows = spark.createDataFrame([(10.7, 0.0), (1e19, 0.5), (1e30, 1.0), (10.7, 0.5)], "amount double, step double")
+    got = [r[0] for r in rows.select(pricing.floor_to_increment(F.col("amount"), F.col("step"))).collect()]
+    assert got == [None, 1e19, None, 10.5]
+
+
+def test_edge_board_survives_zero_prices(spark):
+    from linewright.operators import markets
+
+    rows = spark.createDataFrame([(0.0, 2.0, 0.5), (0.5, 0.0, 0.5)], "p double, odds double, market_p double")
+    got = markets.edge_board(rows, minimum_ev=0.03, minimum_edge=0.01).collect()
+    assert got[0]["break_even_odds"] is None and got[1]["edge_vs_break_even_pp"] is None
