@@ -21,8 +21,8 @@ WINDOW = 13
 SHINGLE = 4
 #: Benchmark words (counted over all windows) up to which shingles and windows are broadcast: about 64 MB.
 BROADCAST_WORDS = 4_000_000
-#: Candidate places up to which their lists are broadcast: about 40 MB.
-BROADCAST_PLACES = 1_000_000
+#: Candidate places up to which their lists are broadcast: at about 270 bytes each some 110 MB.
+BROADCAST_PLACES = 400_000
 
 
 def word_array(text: Column) -> Column:
