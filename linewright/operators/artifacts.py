@@ -15,17 +15,23 @@ def sample_hash(df: DataFrame, key: Sequence[str], position: str, value: str, *,
     """One hash per key over its values in position order.
 
     A tree of hashes: ``fan`` neighbouring texts are joined and hashed per node,
-    level by level, so no key's sample is ever gathered in one place. The number
-    of levels is the logarithm of the longest sample.
+    level by level, so no key's sample is ever gathered in one place. A key that is
+    down to its one node keeps that hash while longer samples go on, so its hash
+    depends on its own values alone. Positions count from 0 without gaps.
     """
     key = list(key)
     level = df.select(*key, F.col(position).cast("long").alias("_p"), F.col(value).cast("string").alias("_t"))
     top = df.agg(F.max(F.col(position))).first()[0]
     top = int(top) if top is not None else 0
+    hashed = False
     while True:
         node = F.floor(F.col("_p") / fan).cast("long")
         texts = F.transform(F.array_sort(F.collect_list(F.struct("_p", "_t"))), lambda s: s["_t"])
-        level = level.groupBy(*key, node.alias("_n")).agg(digest(F.array_join(texts, ",")).alias("_t"))
+        joined = digest(F.array_join(texts, ","))
+        if hashed:
+            joined = F.when((F.count(F.lit(1)) == 1) & (F.min("_p") == 0), F.min("_t")).otherwise(joined)
+        level = level.groupBy(*key, node.alias("_n")).agg(joined.alias("_t"))
+        hashed = True
         level = level.withColumnRenamed("_n", "_p")
         top //= fan
         if top == 0:

@@ -273,7 +273,9 @@ def content_address(spark, sf_dir):
     , a AS (SELECT grp, pos // 64 AS n, sha256(string_agg(CAST(t AS VARCHAR), ',' ORDER BY pos)) AS t FROM p GROUP BY ALL)
     , b AS (SELECT grp, n // 64 AS n, sha256(string_agg(t, ',' ORDER BY a.n)) AS t FROM a GROUP BY grp, a.n // 64)
     , d AS (SELECT grp, n // 64 AS n, sha256(string_agg(t, ',' ORDER BY b.n)) AS t FROM b GROUP BY grp, b.n // 64)
-    SELECT grp, CASE WHEN (SELECT max(pos) FROM p) >= 4096 THEN d.t ELSE b.t END AS artifact_sha256 FROM b JOIN d USING (grp) WHERE b.n = 0 AND d.n = 0"""))
+    , m AS (SELECT grp, max(pos) AS last FROM p GROUP BY grp)
+    SELECT grp, CASE WHEN last < 64 THEN a.t WHEN last < 4096 THEN b.t ELSE d.t END AS artifact_sha256
+    FROM m JOIN a USING (grp) JOIN b USING (grp) JOIN d USING (grp) WHERE a.n = 0 AND b.n = 0 AND d.n = 0"""))
 def residual_artifact_hash(spark, sf_dir):
     from linewright.plans.history_queries import series
 

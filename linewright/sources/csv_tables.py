@@ -10,26 +10,32 @@ from pyspark.sql import functions as F
 from linewright import fixed_values as fixed
 
 
-def _read_text_columns(spark: SparkSession, path: str, required: Sequence[str]) -> DataFrame:
-    """All columns as text; every file must carry the required header names."""
-    rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    missing = sorted(set(required) - set(rows.columns))
+def _read_text_columns(spark: SparkSession, path: str, required: Sequence[str], multi_line: bool) -> DataFrame:
+    """All columns as text; every file must carry the same header, with the required names.
+
+    A file whose header has other names or another order ends the job when it is read.
+    ``multi_line`` allows line breaks inside quotes and makes each file one task;
+    without it large files are split.
+    """
+    reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
+    header = reader.csv(path).schema
+    missing = sorted(set(required) - set(header.names))
     if missing:
         raise ValueError(f"CSV is missing required columns: {missing}")
-    return rows
+    return reader.schema(header).option("enforceSchema", False).csv(path)
 
 
 def _filled(name: str):
     return F.nullif(F.trim(F.coalesce(F.col(name), F.lit(""))), F.lit(""))
 
 
-def read_market_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_market_csv(spark: SparkSession, path: str, *, multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
     """Two-outcome market rows as nested snapshots, and the rejected rows with a reason.
 
     Sport is upper-cased; a blank line or venue is NULL; all three odds must
     exceed one.
     """
-    rows = _read_text_columns(spark, path, fixed.MARKET_CSV_REQUIRED)
+    rows = _read_text_columns(spark, path, fixed.MARKET_CSV_REQUIRED, multi_line)
     if "venue" not in rows.columns:
         rows = rows.withColumn("venue", F.lit(None).cast("string"))
     must = [c for c in fixed.MARKET_CSV_REQUIRED if c != "line"]
@@ -60,7 +66,8 @@ def read_market_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
 
 
 def read_training_csv(
-    spark: SparkSession, path: str, *, features: Sequence[str], target: str, line: str, over_odds: str, under_odds: str, timestamp: str
+    spark: SparkSession, path: str, *, features: Sequence[str], target: str, line: str, over_odds: str, under_odds: str, timestamp: str,
+    multi_line: bool = True,
 ) -> DataFrame:
     """Features as doubles, target, line, two odds, timestamp text and its instant.
 
@@ -68,7 +75,7 @@ def read_training_csv(
     """
     if not features:
         raise ValueError("at least one feature column is required")
-    rows = _read_text_columns(spark, path, [*features, target, line, over_odds, under_odds, timestamp])
+    rows = _read_text_columns(spark, path, [*features, target, line, over_odds, under_odds, timestamp], multi_line)
     if rows.isEmpty():
         raise ValueError("CSV contains no data rows")
     number = lambda c, n: F.col(c).try_cast("double").alias(n)
@@ -79,9 +86,9 @@ def read_training_csv(
     )
 
 
-def read_bet_log(spark: SparkSession, path: str) -> DataFrame:
+def read_bet_log(spark: SparkSession, path: str, *, multi_line: bool = True) -> DataFrame:
     """Bet log with exact money; ``stake_eur`` / ``profit_loss_eur`` fall back to the plain names."""
-    rows = _read_text_columns(spark, path, ["result"])
+    rows = _read_text_columns(spark, path, ["result"], multi_line)
     have = set(rows.columns)
 
     def money(*names: str):

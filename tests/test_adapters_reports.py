@@ -62,8 +62,8 @@ def test_report_texts_and_audit(spark):
 
     df = decided(spark, [{}, {"context.starters.home.status": "projected"}])
     texts = {r.decision: r for r in report.report_text(df).collect()}
-    assert "EV: +21.0% | Edge: +10.7 pp | Minimum price: 1.88" in texts["BET"].report
-    assert "Stake: EUR 1000.00 / 2.0%" in texts["BET"].report and texts["BET"].compact.startswith("PICK\nMLB")
+    assert "EV: +17.8% | Edge: +7.5 pp | Minimum price: 2.27" in texts["BET"].report
+    assert "Stake: CAD 600.00 / 2.5%" in texts["BET"].report and texts["BET"].compact.startswith("PICK\nMLB")
     assert texts["WATCH"].report.endswith("Recheck: MLB_STARTER_UNCONFIRMED") and texts["WATCH"].compact is None
     shown = spark.range(1).select(report.price_up(F.lit(2.0196)).alias("a"), report.price_up(F.lit(2.02)).alias("b"), report.stake_down(F.lit(9.999)).alias("c")).first()
     assert tuple(shown) == ("2.02", "2.02", "9.99")

@@ -43,28 +43,30 @@ UNCALIBRATED = {"model.calibration_status": "uncalibrated", "model.calibration_m
 def test_golden_candidate_both_tiers(spark):
     done, loose = decide(spark, [{}, UNCALIBRATED])
     assert (done.decision, list(done.reason_codes)) == ("BET", ["QUALIFIED"])
-    assert done.market.market_sum == 1.025974025974 and done.market.no_vig_probability == 0.443037974684
-    assert done.economics.ev == pytest.approx(0.21, abs=1e-12) and done.economics.edge_vs_market_pp == 0.106962025316
-    assert done.economics.minimum_qualifying_odds == 1.872727272727
-    assert done.model.sizing_probability == 0.533955696203 and done.economics.full_kelly == 0.145585443038
-    assert done.staking.provisional_stake == pytest.approx(1819.818037974686, abs=1e-9)
+    odds, p, fair = 2.56, 0.46, 5 / 13
+    assert done.market.market_sum == 65 / 64 and done.market.no_vig_probability == round(fair, 12)
+    assert done.economics.ev == pytest.approx(p * odds - 1, abs=1e-12) and done.economics.edge_vs_market_pp == round(p - fair, 12)
+    assert done.economics.minimum_qualifying_odds == round(1.04 / p, 12)
+    for row, weight, fraction in ((done, 0.8, 0.3), (loose, 0.4, 0.12)):
+        sized = weight * p + (1 - weight) * fair
+        kelly = (sized * odds - 1) / (odds - 1)
+        assert row.model.sizing_probability == round(sized, 12) and row.economics.full_kelly == round(kelly, 12)
+        assert row.staking.provisional_stake == pytest.approx(24000 * fraction * kelly, abs=1e-7)
     assert done.staking.caps.asDict() == pytest.approx({
-        "kelly": 1819.818037974686, "per_bet": 1000, "open": 3000, "daily": 9500, "league": 5000, "rolling_3d": 13000,
-        "correlation": 2000, "available_balance": 40000,
+        "kelly": done.staking.provisional_stake, "per_bet": 600, "open": 2880 - 1100, "daily": 7200 - 1500, "league": 4320 - 900,
+        "rolling_3d": 10800 - 4200, "correlation": 1200 - 150, "available_balance": 15500,
     })
-    assert (done.staking.final_stake, done.staking.binding_cap) == (1000.0, "per_bet")
-    assert loose.model.sizing_probability == 0.480474683544 and loose.economics.full_kelly == 0.047536919831
-    assert loose.staking.provisional_stake == pytest.approx(237.684599156118, abs=1e-9)
-    assert (loose.staking.final_stake, loose.staking.binding_cap) == (237.0, "kelly")
+    assert (done.staking.final_stake, done.staking.binding_cap) == (600.0, "per_bet")
+    assert (loose.staking.final_stake, loose.staking.binding_cap) == (114.0, "kelly")
     assert done.human_approval_required and len(done.decision_id) == 64 and done.decision_id != loose.decision_id
 
 
 CASES = [
     ({"market.period": "first_five"}, "BLOCKED", ["DOMAIN_MISMATCH"]),
-    ({"model.probability_calibrated": 0.44}, "PASS", ["EV_BELOW_MINIMUM", "PRICE_BELOW_MINIMUM", "EDGE_BELOW_MINIMUM"]),
-    ({"market.captured_at": "2026-07-23T17:00:00+03:00"}, "BLOCKED", ["MARKET_SNAPSHOT_STALE"]),
-    ({"market.captured_at": "2026-07-23T18:05:01+03:00"}, "BLOCKED", ["TIMESTAMP_IN_FUTURE"]),
-    ({"portfolio.exposures.open_amount": 5000.0}, "BLOCKED", ["NO_RISK_CAPACITY"]),
+    ({"model.probability_calibrated": 0.39}, "PASS", ["EV_BELOW_MINIMUM", "PRICE_BELOW_MINIMUM", "EDGE_BELOW_MINIMUM"]),
+    ({"market.captured_at": "2025-04-11T13:15:59-05:00"}, "BLOCKED", ["MARKET_SNAPSHOT_STALE"]),
+    ({"market.captured_at": "2025-04-11T13:20:01-05:00"}, "BLOCKED", ["TIMESTAMP_IN_FUTURE"]),
+    ({"portfolio.exposures.open_amount": 2950.0}, "BLOCKED", ["NO_RISK_CAPACITY"]),
     ({"context.starters.home.status": "changed"}, "BLOCKED", ["MLB_STARTER_CHANGED"]),
     ({"context.starters.home.status": "projected"}, "WATCH", ["MLB_STARTER_UNCONFIRMED"]),
     ({"context": None}, "BLOCKED", ["MLB_CONTEXT_MISSING"]),
@@ -74,23 +76,23 @@ CASES = [
      ["EVENT_ID_MISMATCH", "MARKET_ID_MISMATCH", "SELECTION_MISMATCH"]),
     ({"portfolio.league": "X"}, "BLOCKED", ["DOMAIN_MISMATCH"]),
     ({"market.correlation_group": None, "portfolio.correlation_group": None}, "BLOCKED", ["UNKNOWN_CORRELATION"]),
-    ({"market.market_status": "suspended", "market.event_start_at": "2026-07-23T18:05:00+03:00"}, "BLOCKED",
+    ({"market.market_status": "suspended", "market.event_start_at": "2025-04-11T13:20:00-05:00"}, "BLOCKED",
      ["MARKET_NOT_OPEN", "EVENT_ALREADY_STARTED"]),
     ({"market.selection": "Draw", "model.selection": "Draw"}, "BLOCKED", ["MARKET_INCOMPLETE"]),
-    ({"market.decimal_odds": 2.21}, "BLOCKED", ["SELECTED_PRICE_MISMATCH"]),
-    ({"model.feature_cutoff_at": "2026-07-23T18:00:01+03:00"}, "BLOCKED", ["FEATURE_CUTOFF_AFTER_PREDICTION"]),
-    ({"model.training_cutoff_at": "2026-07-23T17:59:00+03:00"}, "BLOCKED", ["TRAINING_CUTOFF_AFTER_FEATURES"]),
+    ({"market.decimal_odds": 2.6}, "BLOCKED", ["SELECTED_PRICE_MISMATCH"]),
+    ({"model.feature_cutoff_at": "2025-04-11T13:12:01-05:00"}, "BLOCKED", ["FEATURE_CUTOFF_AFTER_PREDICTION"]),
+    ({"model.training_cutoff_at": "2025-04-11T13:08:00-05:00"}, "BLOCKED", ["TRAINING_CUTOFF_AFTER_FEATURES"]),
     ({"model.calibration_status": "unknown"}, "BLOCKED", ["CALIBRATION_STATUS_NOT_ALLOWED", "CALIBRATION_PROVENANCE_UNKNOWN"]),
     # A failed threshold outranks the context.
-    ({"model.probability_calibrated": 0.44, "context": None}, "PASS", ["EV_BELOW_MINIMUM", "PRICE_BELOW_MINIMUM", "EDGE_BELOW_MINIMUM"]),
-    ({"portfolio.drawdown_fraction": 0.20}, "BLOCKED", ["DRAWDOWN_PAUSE"]),
-    ({"portfolio.drawdown_fraction": 0.15}, "WATCH", ["DRAWDOWN_REVIEW"]),
-    ({"portfolio.drawdown_fraction": 0.10}, "BET", ["QUALIFIED", "DRAWDOWN_WARNING"]),
+    ({"model.probability_calibrated": 0.39, "context": None}, "PASS", ["EV_BELOW_MINIMUM", "PRICE_BELOW_MINIMUM", "EDGE_BELOW_MINIMUM"]),
+    ({"portfolio.drawdown_fraction": 0.18}, "BLOCKED", ["DRAWDOWN_PAUSE"]),
+    ({"portfolio.drawdown_fraction": 0.12}, "WATCH", ["DRAWDOWN_REVIEW"]),
+    ({"portfolio.drawdown_fraction": 0.08}, "BET", ["QUALIFIED", "DRAWDOWN_WARNING"]),
     ({"portfolio.stake_increment": 5000.0}, "PASS", ["STAKE_BELOW_MINIMUM"]),
     ({"context.environment.roof_matches_model": False, "context.bullpen.home": "stale"}, "BLOCKED", ["MLB_ENVIRONMENT_MISMATCH"]),
     ({"context.environment.roof_matches_model": None, "context.bullpen.home": "stale"}, "WATCH",
      ["MLB_BULLPEN_UNAVAILABLE", "MLB_ENVIRONMENT_UNCONFIRMED"]),
-    ({"context.captured_at": "2026-07-23T17:49:00+03:00"}, "WATCH", ["MLB_CONTEXT_STALE"]),
+    ({"context.captured_at": "2025-04-11T12:59:00-05:00"}, "WATCH", ["MLB_CONTEXT_STALE"]),
     ({"context.settlement.pitcher_rule": "listed"}, "BLOCKED", ["MLB_LISTED_PITCHER_MISMATCH"]),
     ({"context.event_id": "X"}, "BLOCKED", ["MLB_CONTEXT_EVENT_MISMATCH"]),
     ({"context.lineups.away": "late"}, "BLOCKED", ["INPUT_SCHEMA_INVALID"]),
@@ -105,14 +107,14 @@ def test_every_gate(spark):
     text_odds = by_case[json.dumps({"market.decimal_odds": "2.2"})]
     assert text_odds.decimal_odds is None and text_odds.market.market_sum is None
     assert by_case[json.dumps({"evaluated_at": "yesterday"})].evaluated_at == "1970-01-01T00:00:00+00:00"
-    low = by_case[json.dumps({"model.probability_calibrated": 0.44})]
+    low = by_case[json.dumps({"model.probability_calibrated": 0.39})]
     assert low.staking.final_stake is None and low.context.status == "VALID"
 
 
 def test_doubling_the_bankroll_doubles_a_kelly_stake(spark):
     one, two = decide(spark, [
         UNCALIBRATED | {"portfolio.stake_increment": 0.01},
-        UNCALIBRATED | {"portfolio.stake_increment": 0.01, "portfolio.bankroll": 100000.0},
+        UNCALIBRATED | {"portfolio.stake_increment": 0.01, "portfolio.bankroll": 48000.0},
     ])
     assert two.staking.provisional_stake == pytest.approx(2 * one.staking.provisional_stake, rel=1e-12)
 

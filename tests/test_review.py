@@ -80,6 +80,9 @@ def test_sample_hash_depends_on_values_and_order(spark):
     assert h(base, 4) == h(list(reversed(base)), 4)
     swapped = [("v", 299 - i, x) for _, i, x in base]
     assert h(swapped, 4) != h(base, 4) and h(base[:-1], 4) != h(base, 4)
+    short = [("u", i, float(i)) for i in range(5)]
+    both = artifacts.sample_hash(spark.createDataFrame(base + short, "k string, pos long, x double"), ["k"], "pos", "x", fan=8)
+    assert {r.k: r.artifact_sha256 for r in both.collect()} == {"v": h(base, 8), "u": h(short, 8)}
     assert h(base[:3], 4096) == hashlib.sha256(b"0.0,1.0,2.0").hexdigest()
 
 

@@ -71,6 +71,21 @@ def test_bet_log_metrics(spark, tmp_path):
     assert (r.stake, r.profit, r.roi) == (10.0, -10.0, -1.0)
 
 
+@pytest.mark.parametrize("multi_line", [True, False])
+def test_every_csv_file_has_the_same_header(spark, tmp_path, multi_line):
+    rows = [{"result": "WIN", "stake_eur": "10", "profit_loss_eur": "9"}] * 3
+    for n in (1, 2):
+        (tmp_path / f"same{n}").mkdir()
+        write(tmp_path / f"same{n}" / "a.csv", rows)
+    write(tmp_path / "same1" / "b.csv", rows)
+    logs = csv_tables.read_bet_log(spark, str(tmp_path / "same1"), multi_line=multi_line)
+    assert [tuple(map(float, r)) for r in logs.select("stake", "profit").distinct().collect()] == [(10.0, 9.0)] and logs.count() == 6
+    for other in ({"result": "WIN", "profit_loss_eur": "9", "stake_eur": "10"}, {"result": "WIN", "stake_eur": "10"}):
+        write(tmp_path / "same2" / "b.csv", [other])
+        with pytest.raises(Exception, match="(?i)header"):
+            csv_tables.read_bet_log(spark, str(tmp_path / "same2"), multi_line=multi_line).select("stake", "profit").collect()
+
+
 def test_json_documents_and_stream(spark, tmp_path):
     lines = tmp_path / "in"
     lines.mkdir()
