@@ -104,7 +104,7 @@ def intake(reviews: DataFrame, log: DataFrame | None, *, arrival: str, log_id: s
     checked = contracts.contract_errors(as_struct, "_doc", contracts.human_review, "_errors")
     faulted = checked.withColumn(
         "rejection",
-        F.when(F.size("_errors") > 0, F.concat(F.lit("review schema validation failed: "), F.col("_errors")[0]["code"])).otherwise(policy_fault()),
+        F.when(F.size("_errors") > 0, F.concat(F.lit("review schema validation failed: "), F.array_join(F.transform("_errors", lambda e: e["code"]), ", "))).otherwise(policy_fault()),
     ).drop("_doc", "_errors")
     if log is not None:
         sound = verify_chain(log, log_id, "seq", fields)

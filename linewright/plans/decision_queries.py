@@ -279,16 +279,57 @@ def scan_summary(spark, sf_dir):
     return out.withColumn("total_stake", F.round("total_stake", 6))
 
 
+_PERCENT = lambda x, sign="": f"printf('%{sign}.1f%%', round(round({x} * 100, 6), 1))"
+_POINTS = "printf('%+.1f pp', round(round(edge * 100, 6), 1))"
+_NEED = f"printf('%.2f', ceil(round((1 + {P['minimum_ev']:e}) / p * 100, 6)) / 100)"
+_STAKE = "printf('%.2f', floor(round(stake * 100, 6)) / 100)"
+_ODDS = "printf('%.2f', decimal_odds)"
+_WHY = "replace(reason_codes, ',', ', ')"
+_TOO_SHORT = "; ".join(f"{path}: text is too short" for path in ("model.settlement_rules", "model.validation_domain.settlement_rules", "market.settlement_rules"))
+_INPUT_ERRORS = [
+    _case("candidate_id % 61 = 0 AND calibration_status = 'validated'", "model.brier_score: value has the wrong type"),
+    _case("candidate_id % 47 = 0", "model.prediction_generated_at: not a timestamp with a zone"),
+    _case("candidate_id % 41 = 0", "model.probability_raw: number is out of range"),
+    _case("candidate_id % 43 = 0", _TOO_SHORT), _case("pk IS NULL", "portfolio.$: document is missing"),
+]
+_CONFLICTS = [
+    f"'mismatched fields: ' || nullif(replace({_codes(*_FIELDS)}, ',', ', '), '')",
+    _case("league IS DISTINCT FROM competition", "portfolio league mismatch"),
+    _case("correlation_group IS DISTINCT FROM correlation_key", "portfolio correlation group mismatch"),
+    f"CASE {_PRICE} WHEN 'MARKET_INCOMPLETE' THEN 'market selection must occur exactly once' WHEN 'SELECTED_PRICE_MISMATCH' THEN 'selected outcome odds mismatch' END",
+]
+_RESOLUTION = f"CASE WHEN invalid THEN concat_ws('; ', {', '.join(_INPUT_ERRORS)}) WHEN hard <> '' THEN concat_ws('; ', {', '.join(_CONFLICTS)}) ELSE '' END"
+
+
+def _lines(*lines: str) -> str:
+    """Text of several lines, each a list of SQL texts."""
+    return "concat(" + ", chr(10), ".join(lines) + ")"
+
+
+_FULL_BET = _lines(
+    "'BET'", "'Event: ', event_id", "'Market / selection: ', market_id, ' — home'", f"'Book / odds: ', portfolio_id, ' @ ', {_ODDS}",
+    f"'Model: m 1 | P ', {_PERCENT('p')}", f"'Market no-vig P: ', {_PERCENT('fair')}, ' | Break-even P: ', {_PERCENT('1 / decimal_odds')}",
+    f"'EV: ', {_PERCENT('ev', '+')}, ' | Edge: ', {_POINTS}, ' | Minimum price: ', {_NEED}",
+    f"'Stake: EUR ', {_STAKE}, ' / ', {_PERCENT('stake / bankroll')}", "'Risk: Kelly fraction ', fraction, ', binding cap ', binding",
+    f"'Rule: ', {_NEED}, ' or better'", f"'Reason: ', {_WHY}",
+)
+_COMPACT_BET = _lines(
+    "'PICK'", "sport, ' — ', event_id", "'Bet: home'", f"'Odds: ', {_ODDS}, ' @ ', portfolio_id", f"'Stake: ', {_STAKE}, ' (EUR)'",
+    f"'Model P: ', {_PERCENT('p')}, ' | No-vig P: ', {_PERCENT('fair')}", f"'EV: ', {_PERCENT('ev', '+')}, ' | Edge: ', {_POINTS}",
+    f"'Rule: ', {_NEED}", f"'Reason: ', {_WHY}",
+)
+
+
 @query("decision_report", over(_VIEWS, f"""{_DECIDED}
-    SELECT candidate_id, CASE decision
-      WHEN 'PASS' THEN concat('PASS', chr(10), 'Current price: ', printf('%.2f', decimal_odds), chr(10), 'EV: ', printf('%+.1f%%', round(round(ev * 100, 6), 1)), chr(10), 'Primary reason: ', replace(reason_codes, ',', ', '))
-      WHEN 'BET' THEN concat('BET', chr(10), 'Event: ', event_id, chr(10), 'Market / selection: ', market_id, ' — home') END AS report
-    FROM z WHERE decision IN ('PASS', 'BET')"""))
+    SELECT candidate_id, CASE decision WHEN 'BET' THEN {_FULL_BET}
+      WHEN 'WATCH' THEN {_lines("'WATCH'", f"'Current price: ', {_ODDS}", f"'Required price: ', {_NEED}", f"'Recheck: ', {_WHY}")}
+      WHEN 'PASS' THEN {_lines("'PASS'", f"'Current price: ', {_ODDS}", f"'EV: ', {_PERCENT('ev', '+')}", f"'Primary reason: ', {_WHY}")}
+      ELSE {_lines("'BLOCKED'", f"'Missing or conflicting input: ', {_WHY}", f"'Resolution: ', {_RESOLUTION}")} END AS report,
+      CASE decision WHEN 'BET' THEN {_COMPACT_BET} END AS compact FROM z"""))
 def decision_report(spark, sf_dir):
-    """Whole PASS texts and the heads of BET texts."""
-    rows = report.report_text(cut_lineage(decided(spark, sf_dir).drop("audit", "decision_id"))).where("decision IN ('PASS', 'BET')")
-    head = F.when(F.col("decision") == "BET", F.substring_index("report", "\n", 3)).otherwise(F.col("report"))
-    return rows.select("candidate_id", head.alias("report"))
+    """Full texts of all four decisions and the compact texts of bets."""
+    rows = report.report_text(cut_lineage(decided(spark, sf_dir).drop("audit", "decision_id")))
+    return rows.select("candidate_id", "report", "compact")
 
 
 @query("decision_audit_hashes")

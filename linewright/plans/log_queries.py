@@ -28,8 +28,8 @@ _FAULT = """CASE WHEN approved_stake > proposed_stake THEN 'approved_stake may n
   WHEN human_decision = 'approved' AND system_decision <> 'BET' THEN 'approved requires system_decision BET'
   WHEN human_decision = 'approved' AND approved_stake <= 0 THEN 'approved decision requires a positive approved_stake'
   WHEN human_decision <> 'approved' AND approved_stake <> 0 THEN 'non-approved decisions require approved_stake 0' END"""
-_SCHEMA = """CASE WHEN model_probability_changed THEN 'review schema validation failed: schema.model_probability_changed.const'
-  WHEN arrival % 27 = 0 THEN 'review schema validation failed: schema.reviewed_at.format' END"""
+_SCHEMA = """'review schema validation failed: ' || nullif(concat_ws(', ', CASE WHEN model_probability_changed THEN 'schema.model_probability_changed.const' END,
+  CASE WHEN arrival % 27 = 0 THEN 'schema.reviewed_at.format' END), '')"""
 
 
 def review_rows(spark, sf_dir):
