@@ -55,8 +55,6 @@ FUTURE_PRICE_ALLOWANCE_SECONDS = -5
 DEFAULT_MAX_PRICE_AGE_SECONDS = 300
 PLATT_INVERSE_PENALTY = 1e6
 OUTPUT_DECIMALS = 12
-DEFAULT_MINIMUM_EV = 0.03
-DEFAULT_MINIMUM_EDGE = 0.015
 # Interior edges of ten equal bins exactly as evenly spaced doubles come out.
 ECE_EDGES = [
     0.1, 0.2, 0.30000000000000004, 0.4, 0.5,

@@ -618,18 +618,18 @@ def minimum_snapshot(doc: VariantDoc) -> str:
 
 def packet_market(doc: VariantDoc) -> str:
     """Market side of a review packet."""
-    out = [_code(doc.is_kind(f"event.{f}", "missing"), f"missing event.{f}") for f in fixed.PACKET_EVENT_REQUIRED]
-    out += [_code(doc.is_kind(f"market.{f}", "missing"), f"missing market.{f}") for f in fixed.PACKET_MARKET_REQUIRED]
+    out = [_code(doc.is_kind(f"event.{f}", "missing"), f"packet.missing.event.{f}") for f in fixed.PACKET_EVENT_REQUIRED]
+    out += [_code(doc.is_kind(f"market.{f}", "missing"), f"packet.missing.market.{f}") for f in fixed.PACKET_MARKET_REQUIRED]
     pair = f"coalesce(size({doc.items('event.participants')}), -1)"
-    out.append(_code(f"{pair} <> 2", "event.participants must contain exactly two participants"))
-    out.append(_code(f"NOT coalesce({doc.number('market.odds_decimal')} > 1, false)", "market.odds_decimal must be greater than 1"))
-    out.append(_code(f"coalesce(size({doc.items('market.outcomes')}), 0) < 2", "market.outcomes must contain at least two outcomes"))
+    out.append(_code(f"{pair} <> 2", "packet.participants.two"))
+    out.append(_code(f"NOT coalesce({doc.number('market.odds_decimal')} > 1, false)", "packet.odds.above_one"))
+    out.append(_code(f"coalesce(size({doc.items('market.outcomes')}), 0) < 2", "packet.outcomes.two"))
     agrees = f"({comparable(doc, 'event_id')} <=> {comparable(doc, 'event.event_id')})"
     out.append(_code(
         f"NOT {doc.is_kind('event_id', 'missing')} AND NOT {agrees}",
-        "top-level event_id conflicts with event.event_id",
+        "packet.event_id.conflict",
     ))
     return (
-        f"CASE WHEN NOT {doc.is_kind('event', 'object')} THEN array('event must be an object') "
-        f"WHEN NOT {doc.is_kind('market', 'object')} THEN array('market must be an object') ELSE {_codes(out)} END"
+        f"CASE WHEN NOT {doc.is_kind('event', 'object')} THEN array('packet.event.object') "
+        f"WHEN NOT {doc.is_kind('market', 'object')} THEN array('packet.market.object') ELSE {_codes(out)} END"
     )

@@ -27,11 +27,11 @@ _NO_PREVIOUS = f'"{PREVIOUS}":null'
 def policy_fault() -> Column:
     """First broken rule of a human decision, NULL if none."""
     return F.expr("""CASE
-      WHEN approved_stake > proposed_stake THEN 'approved_stake may not exceed proposed_stake'
-      WHEN system_decision = 'BLOCKED' AND human_decision = 'approved' THEN 'a BLOCKED system decision cannot be approved'
-      WHEN human_decision = 'approved' AND system_decision <> 'BET' THEN 'approved requires system_decision BET'
-      WHEN human_decision = 'approved' AND approved_stake <= 0 THEN 'approved decision requires a positive approved_stake'
-      WHEN human_decision <> 'approved' AND approved_stake <> 0 THEN 'non-approved decisions require approved_stake 0' END""")
+      WHEN approved_stake > proposed_stake THEN 'stake.above_proposed'
+      WHEN system_decision = 'BLOCKED' AND human_decision = 'approved' THEN 'approval.of_blocked'
+      WHEN human_decision = 'approved' AND system_decision <> 'BET' THEN 'approval.needs_bet'
+      WHEN human_decision = 'approved' AND approved_stake <= 0 THEN 'approval.needs_stake'
+      WHEN human_decision <> 'approved' AND approved_stake <> 0 THEN 'stake.without_approval' END""")
 
 
 def duplicates(reviews: DataFrame, log: DataFrame | None, *, arrival: str) -> DataFrame:
@@ -104,18 +104,18 @@ def intake(reviews: DataFrame, log: DataFrame | None, *, arrival: str, log_id: s
     checked = contracts.contract_errors(as_struct, "_doc", contracts.human_review, "_errors")
     faulted = checked.withColumn(
         "rejection",
-        F.when(F.size("_errors") > 0, F.concat(F.lit("review schema validation failed: "), F.array_join(F.transform("_errors", lambda e: e["code"]), ", "))).otherwise(policy_fault()),
+        F.when(F.size("_errors") > 0, F.concat(F.lit("contract: "), F.array_join(F.transform("_errors", lambda e: e["code"]), ", "))).otherwise(policy_fault()),
     ).drop("_doc", "_errors")
     if log is not None:
         sound = verify_chain(log, log_id, "seq", fields)
         broken = sound.where(~(F.col("hash_ok") & F.col("link_ok"))).select(log_id).distinct().withColumn("_broken", F.lit(True))
         faulted = attach(faulted, broken, [log_id]).withColumn(
-            "rejection", F.when(F.col("rejection").isNull() & F.col("_broken"), "log chain is broken").otherwise(F.col("rejection"))
+            "rejection", F.when(F.col("rejection").isNull() & F.col("_broken"), "log.chain_broken").otherwise(F.col("rejection"))
         ).drop("_broken")
     # Judged once; accepted and rejected rows both read it.
     faulted = cut_lineage(faulted)
     passed = duplicates(faulted.where(F.col("rejection").isNull()), log, arrival=arrival).withColumn(
-        "rejection", F.when(F.col("duplicate"), F.concat(F.lit("duplicate review_id: "), F.col("review_id")))
+        "rejection", F.when(F.col("duplicate"), F.concat(F.lit("review_id.repeated: "), F.col("review_id")))
     ).drop("duplicate")
     rejected = faulted.where(F.col("rejection").isNotNull()).unionByName(passed.where(F.col("rejection").isNotNull()))
     accepted = passed.where(F.col("rejection").isNull()).drop("rejection")

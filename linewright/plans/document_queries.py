@@ -159,17 +159,17 @@ def quality_gate(spark, sf_dir):
 # ---- review packets -----------------------------------------------------------------------------------
 
 _PACKET = [
-    _case(f"{_K} % 37 = 0", "missing event.competition"),
-    _case(f"{_K} % 31 = 0", "event.participants must contain exactly two participants"),
-    _case(f"{_K} % 41 = 0", "market.odds_decimal must be greater than 1"),
-    _case(f"{_K} % 29 = 0", "market.outcomes must contain at least two outcomes"),
-    _case(f"{_K} % 43 = 0", "top-level event_id conflicts with event.event_id"),
+    _case(f"{_K} % 37 = 0", "packet.missing.event.competition"),
+    _case(f"{_K} % 31 = 0", "packet.participants.two"),
+    _case(f"{_K} % 41 = 0", "packet.odds.above_one"),
+    _case(f"{_K} % 29 = 0", "packet.outcomes.two"),
+    _case(f"{_K} % 43 = 0", "packet.event_id.conflict"),
 ]
 
 
 @query("review_packet", over({"c": v.candidates}, f"""
     SELECT candidate_id, market_errors, model_decision, CASE WHEN market_errors = '' AND model_decision <> 'BLOCKED' THEN 'HUMAN_REVIEW_REQUIRED' ELSE 'BLOCKED' END AS gate, notes
-    FROM (SELECT candidate_id, CASE WHEN {_NO_EVENT} THEN 'event must be an object' ELSE {_codes(*_PACKET)} END AS market_errors,
+    FROM (SELECT candidate_id, CASE WHEN {_NO_EVENT} THEN 'packet.event.object' ELSE {_codes(*_PACKET)} END AS market_errors,
       CASE WHEN {_codes(*_VERDICT_CODES)} <> '' THEN 'BLOCKED' WHEN calibration_status = 'validated' THEN 'VALIDATED' ELSE 'UNCALIBRATED' END AS model_decision,
       CASE WHEN candidate_id % 3 = 0 THEN competition END AS notes FROM c) t"""))
 def review_packet(spark, sf_dir):

@@ -23,12 +23,12 @@ def reviews(d):
     FROM {orders}"""
 
 
-_FAULT = """CASE WHEN approved_stake > proposed_stake THEN 'approved_stake may not exceed proposed_stake'
-  WHEN system_decision = 'BLOCKED' AND human_decision = 'approved' THEN 'a BLOCKED system decision cannot be approved'
-  WHEN human_decision = 'approved' AND system_decision <> 'BET' THEN 'approved requires system_decision BET'
-  WHEN human_decision = 'approved' AND approved_stake <= 0 THEN 'approved decision requires a positive approved_stake'
-  WHEN human_decision <> 'approved' AND approved_stake <> 0 THEN 'non-approved decisions require approved_stake 0' END"""
-_SCHEMA = """'review schema validation failed: ' || nullif(concat_ws(', ', CASE WHEN model_probability_changed THEN 'schema.model_probability_changed.const' END,
+_FAULT = """CASE WHEN approved_stake > proposed_stake THEN 'stake.above_proposed'
+  WHEN system_decision = 'BLOCKED' AND human_decision = 'approved' THEN 'approval.of_blocked'
+  WHEN human_decision = 'approved' AND system_decision <> 'BET' THEN 'approval.needs_bet'
+  WHEN human_decision = 'approved' AND approved_stake <= 0 THEN 'approval.needs_stake'
+  WHEN human_decision <> 'approved' AND approved_stake <> 0 THEN 'stake.without_approval' END"""
+_SCHEMA = """'contract: ' || nullif(concat_ws(', ', CASE WHEN model_probability_changed THEN 'schema.model_probability_changed.const' END,
   CASE WHEN arrival % 27 = 0 THEN 'schema.reviewed_at.format' END), '')"""
 
 
@@ -49,7 +49,7 @@ def duplicate_reviews(spark, sf_dir):
 
 _INTAKE = f"""
     , f AS (SELECT *, coalesce({_SCHEMA}, {_FAULT}) AS fault FROM q)
-    , d AS (SELECT *, CASE WHEN arrival > min(arrival) OVER (PARTITION BY review_id) THEN concat('duplicate review_id: ', review_id) END AS again FROM f WHERE fault IS NULL)"""
+    , d AS (SELECT *, CASE WHEN arrival > min(arrival) OVER (PARTITION BY review_id) THEN concat('review_id.repeated: ', review_id) END AS again FROM f WHERE fault IS NULL)"""
 
 
 @query("review_rejects", over({"q": reviews}, f"""{_INTAKE}

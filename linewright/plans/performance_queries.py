@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from linewright.functions.ordered import attach
 from linewright.operators import metrics, performance, portfolio, snapshots
 from linewright.operators.markets import market_totals
 from linewright.plans import views as v
@@ -57,26 +58,20 @@ def bankroll_return(spark, sf_dir):
 
 @query("clv_report", over({"b": v.bets, "o": v.outcomes}, f"""
     , f AS (SELECT market_id, sum(1e0 / decimal_odds) AS s FROM o GROUP BY market_id HAVING count(*) >= 2)
-    SELECT bet_key, b.odds_taken, {r('1 / b.closing_odds - 1 / b.odds_taken AS raw_clv_pp', 'b.odds_taken / b.closing_odds - 1 AS price_clv',
-      '1 / b.closing_odds / (f.s + 1 / b.closing_odds - 1 / b.odds_taken) - 1 / b.odds_taken / f.s AS no_vig_clv_pp',
-      '1 / b.closing_odds / (f.s + 1 / b.closing_odds - 1 / b.odds_taken) - 1 / b.odds_taken AS probability_clv')}
-    FROM b LEFT JOIN f ON b.market_id = f.market_id WHERE b.closing_odds > 1"""))
+    , m AS (SELECT b.*, f.s, CASE WHEN closing_odds > 1 THEN 1 / closing_odds END AS closing FROM b LEFT JOIN f ON b.market_id = f.market_id)
+    SELECT bet_key, odds_taken, {r('closing - 1 / odds_taken AS raw_clv_pp', 'odds_taken * closing - 1 AS price_clv',
+      'closing / (s + closing - 1 / odds_taken) - 1 / odds_taken / s AS no_vig_clv_pp',
+      'closing / (s + closing - 1 / odds_taken) - 1 / odds_taken AS probability_clv')}
+    FROM m"""))
 def clv_report(spark, sf_dir):
-    """Closing market: the taken price moved, the other outcomes as quoted."""
-    sums = market_totals(v.view(spark, sf_dir, v.outcomes(v.SPARK)), ["market_id"]).select("market_id", "market_sum")
-    rows = performance.clv_report(
-        bets(spark, sf_dir).where("closing_odds > 1").withColumn("_moved", F.expr("1 / closing_odds - 1 / odds_taken"))
-        .withColumn("entry_no_vig", F.lit(None).cast("double")).withColumn("closing_no_vig", F.lit(None).cast("double")),
-        sums, ["market_id"],
-    ).drop("no_vig_clv_pp", "probability_clv", "entry_no_vig", "closing_no_vig")
-    rows = rows.withColumns({
-        "entry_no_vig": F.expr("1 / odds_taken / market_sum"),
-        "closing_no_vig": F.expr("1 / closing_odds / (market_sum + _moved)"),
-    })
-    rows = rows.withColumns({
-        "no_vig_clv_pp": performance.pricing.no_vig_clv(F.col("entry_no_vig"), F.col("closing_no_vig")),
-        "probability_clv": performance.pricing.probability_clv(F.col("closing_no_vig"), F.col("odds_taken")),
-    })
+    """Closing market: the taken price moved, the other outcomes as quoted. No closing price, no comparison."""
+    sums = market_totals(v.view(spark, sf_dir, v.outcomes(v.SPARK)), ["market_id"])
+    entry = attach(bets(spark, sf_dir), sums.select("market_id", F.col("market_sum").alias("entry_sum")), ["market_id"])
+    entry = entry.withColumns({
+        "entry_no_vig": F.expr("try_divide(try_divide(1D, odds_taken), entry_sum)"),
+        "closing_no_vig": F.expr("try_divide(try_divide(1D, closing_odds), entry_sum + try_divide(1D, closing_odds) - try_divide(1D, odds_taken))"),
+    }).withColumn("closing_no_vig", F.expr("if(closing_odds > 1, closing_no_vig, NULL)"))
+    rows = performance.clv_report(entry, sums.select("market_id", "market_sum"), ["market_id"])
     numbers = ["raw_clv_pp", "price_clv", "no_vig_clv_pp", "probability_clv"]
     return rounded(rows, *numbers).select("bet_key", "odds_taken", *numbers)
 

@@ -143,7 +143,7 @@ def test_minimum_snapshot_and_packet_checks(spark):
     ]
     assert simple[2] == ["invalid_timestamp.market.snapshot_at", "invalid_market.outcomes"]
     packet = [list(r.errors) for r in contracts.contract_errors(df, "doc", contracts.packet_market).orderBy("i").collect()]
-    assert packet[0] == [] and packet[1] == ["event must be an object"]
+    assert packet[0] == [] and packet[1] == ["packet.event.object"]
     assert packet[3] == [
-        "event.participants must contain exactly two participants", "top-level event_id conflicts with event.event_id",
+        "packet.participants.two", "packet.event_id.conflict",
     ]

@@ -24,11 +24,11 @@ def table(spark, reviews):
 def test_policy_messages(spark):
     cases = [
         ({}, None),
-        ({"approved_stake": 125.0}, "approved_stake may not exceed proposed_stake"),
-        ({"system_decision": "BLOCKED"}, "a BLOCKED system decision cannot be approved"),
-        ({"system_decision": "WATCH"}, "approved requires system_decision BET"),
-        ({"approved_stake": 0.0}, "approved decision requires a positive approved_stake"),
-        ({"human_decision": "rejected"}, "non-approved decisions require approved_stake 0"),
+        ({"approved_stake": 125.0}, "stake.above_proposed"),
+        ({"system_decision": "BLOCKED"}, "approval.of_blocked"),
+        ({"system_decision": "WATCH"}, "approval.needs_bet"),
+        ({"approved_stake": 0.0}, "approval.needs_stake"),
+        ({"human_decision": "rejected"}, "stake.without_approval"),
         ({"human_decision": "watch", "approved_stake": 0.0}, None),
     ]
     df = table(spark, [("L", changed(REVIEW, c)) for c, _ in cases])
@@ -43,7 +43,9 @@ def test_intake_chains_rejects_and_continues(spark, folder, small_blocks):
     first = [("A", changed(REVIEW, {"review_id": f"a{i}", "reason": 'say "previous_record_sha256":null é'})) for i in range(60)]
     first += [("B", changed(REVIEW, {"review_id": "b0"})), ("A", changed(REVIEW, {"review_id": "a3"})), ("B", changed(REVIEW, {"review_id": "b1", "approved_stake": 125.0}))]
     accepted, rejected = review.intake(table(spark, first), None, arrival="arrival")
-    assert {r.rejection for r in rejected.collect()} == {"duplicate review_id: a3", "approved_stake may not exceed proposed_stake"}
+    assert {r.rejection for r in rejected.collect()} == {"review_id.repeated: a3", "stake.above_proposed"}
+    _, faulty = review.intake(table(spark, [("A", changed(REVIEW, {"model_probability_changed": True, "reason": ""}))]), None, arrival="arrival")
+    assert faulty.first().rejection == "contract: schema.model_probability_changed.const, schema.reason.minLength"
     path = f"{folder}/log"
     keep = ["log_id", "seq", *HUMAN_REVIEW.names, review.PREVIOUS, review.RECORD]
     stores.append_review_log(accepted.select(*keep), path)
@@ -59,7 +61,7 @@ def test_intake_chains_rejects_and_continues(spark, folder, small_blocks):
         assert r[review.RECORD] == last
     more = table(spark, [("A", changed(REVIEW, {"review_id": "a60"})), ("A", changed(REVIEW, {"review_id": "a5"})), ("C", changed(REVIEW, {"review_id": "c"}))])
     added, refused = review.intake(more, log, arrival="arrival")
-    assert [r.rejection for r in refused.collect()] == ["duplicate review_id: a5"]
+    assert [r.rejection for r in refused.collect()] == ["review_id.repeated: a5"]
     added = {r.review_id: r for r in added.collect()}
     assert (added["a60"].seq, added["a60"][review.PREVIOUS]) == (60, last) and added["c"][review.PREVIOUS] is None
     stores.append_review_log(spark.createDataFrame([tuple(r[k] for k in keep) for r in added.values()], schema), path)
@@ -71,7 +73,7 @@ def test_intake_chains_rejects_and_continues(spark, folder, small_blocks):
     bad = review.verify_chain(tampered, "log_id", "seq", fields).where("NOT (hash_ok AND link_ok)").collect()
     assert [(r.log_id, r.seq, r.hash_ok, r.link_ok) for r in bad] == [("A", 7, False, True)]
     _, broken = review.intake(table(spark, [("A", changed(REVIEW, {"review_id": "new"}))]), tampered, arrival="arrival")
-    assert [r.rejection for r in broken.collect()] == ["log chain is broken"]
+    assert [r.rejection for r in broken.collect()] == ["log.chain_broken"]
 
 
 def test_sample_hash_depends_on_values_and_order(spark):
