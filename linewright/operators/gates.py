@@ -145,11 +145,14 @@ def quality_gate(df: DataFrame, *, max_price_age: int = fixed.DEFAULT_MAX_PRICE_
     """Mechanical candidate gate over ``event``, ``market`` (nested shape), ``model`` and ``now`` text.
 
     Adds ``errors`` and ``status`` (VALID / BLOCKED); zone-less timestamps count as UTC.
+    Without an event the ``status`` beside it, if there is one, is the event's.
     """
+    own, beside = "event" in df.columns, "status" in df.columns
+    state = "if(event IS NULL, status, event.status)" if own and beside else "event.status" if own else "status" if beside else "NULL"
     utc = lambda text: f"try_to_timestamp(if({text} RLIKE '(Z|[+-][0-9][0-9]:?[0-9][0-9])$', {text}, concat({text}, 'Z')))"
     seconds = f"((unix_micros({utc('now')}) - unix_micros({utc('market.snapshot_at')})) / 1e6)"
     rules = [
-        coded("NOT (event.status <=> 'scheduled')", "event_not_scheduled"),
+        coded(f"NOT ({state} <=> 'scheduled')", "event_not_scheduled"),
         "CASE WHEN _age IS NULL THEN 'invalid_or_missing_price_timestamp' "
         f"WHEN _age < {fixed.FUTURE_PRICE_ALLOWANCE_SECONDS} THEN 'price_timestamp_in_future' "
         f"WHEN _age > {max_price_age} THEN concat('stale_price:', CAST(_age AS BIGINT), 's') END",

@@ -139,7 +139,7 @@ def snapshot_check(spark, sf_dir):
 
 
 _QUALITY = [
-    _case(f"{_K} % 8 = 0", "event_not_scheduled"),
+    _case(f"{_K} % 8 = 0 AND NOT {_NO_EVENT}", "event_not_scheduled"),
     f"""CASE WHEN {_K} % 47 = 0 THEN 'invalid_or_missing_price_timestamp' WHEN date_diff('second', captured, evaluated) < -5 THEN 'price_timestamp_in_future'
         WHEN date_diff('second', captured, evaluated) > 300 THEN concat('stale_price:', date_diff('second', captured, evaluated), 's') END""",
     _case(f"{_K} % 29 = 0", "incomplete_outcome_set"), _case(f"{_K} % 23 = 0 AND {_K} % 29 <> 0", "invalid_outcome_odds"),
@@ -150,8 +150,7 @@ _QUALITY = [
 @query("quality_gate", over({"c": v.candidates}, f"""
     SELECT candidate_id, codes, CASE WHEN codes = '' THEN 'VALID' ELSE 'BLOCKED' END AS status FROM (SELECT *, {_codes(*_QUALITY)} AS codes FROM c) t"""))
 def quality_gate(spark, sf_dir):
-    sql = _NESTED.replace("if(candidate_id % 59 = 0, NULL, named_struct('event_id'", "if(false, NULL, named_struct('event_id'")
-    rows = flat(spark, sf_dir).select("candidate_id", F.col("evaluated_at").alias("now"), F.expr(sql).alias("d")).select("candidate_id", "now", "d.*")
+    rows = flat(spark, sf_dir).select("candidate_id", F.col("evaluated_at").alias("now"), F.expr(_NESTED).alias("d")).select("candidate_id", "now", "d.*")
     out = gates.quality_gate(rows)
     return out.select("candidate_id", F.array_join("errors", ",").alias("codes"), "status")
 
