@@ -25,9 +25,18 @@ def rows_per_block(spark: SparkSession) -> int:
     return int(spark.conf.get(ROWS_PER_BLOCK_CONF, str(DEFAULT_ROWS_PER_BLOCK)))
 
 
-def range_blocks(df: DataFrame, keys: Sequence[str], blocks: int) -> DataFrame:
-    """Number the range partitions of ``keys``: equal-sized, in key order."""
-    return df.repartitionByRange(blocks, *keys).withColumn(BLOCK, F.spark_partition_id())
+def range_blocks(df: DataFrame, keys: Sequence[str], blocks: int, block_rows: int) -> DataFrame:
+    """Number blocks of at most ``block_rows`` rows in key order.
+
+    The range shuffle has no more partitions than ``spark.sql.shuffle.partitions``,
+    so its bounds stay small on the driver; a partition holds several blocks, cut
+    from its sorted rows. Numbers grow with the keys and have gaps.
+    """
+    most = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.repartitionByRange(max(1, min(blocks, most)), *keys).sortWithinPartitions(*keys)
+    row = F.monotonically_increasing_id()
+    in_partition = row.bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.withColumn(BLOCK, row - in_partition + F.floor(in_partition / block_rows))
 
 
 def attach(df: DataFrame, side: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -86,7 +95,7 @@ def ordered_scan(
     # One block holds everything that exists, so the plain window is already bounded.
     single = blocks == 1
     if not single:
-        base = range_blocks(base, [*group, *order], blocks)
+        base = range_blocks(base, [*group, *order], blocks, limit)
     within = Window.partitionBy(*group, *([] if single else [BLOCK])).orderBy(*order)
     frame = within.rowsBetween(Window.unboundedPreceding, -1 if before else 0)
 

@@ -30,6 +30,10 @@ _LIMIT = math.log((1 - fixed.PROBABILITY_CLIP) / fixed.PROBABILITY_CLIP)
 _ORDER = 12
 _REACH = 0.65
 _INTERVALS = 64
+# Finest intervals; a fit still too steep for them counts as not converged.
+_FINEST = _INTERVALS * 8**5
+# Last Newton step, relative, at which a fit counts as converged.
+_SETTLED = 1e-6
 _EXACT_ROWS = 1_000
 _CHUNK = 256
 _MOMENTS = [f"t{k}" for k in range(_ORDER)]
@@ -69,8 +73,8 @@ def _cell_sums(score: str, outcome: str) -> list:
     ]
 
 
-def _fit_rows(x: np.ndarray, w: np.ndarray, sy: np.ndarray, sxy: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Penalised logistic fits, one per row of ``w``, by Newton steps with halving."""
+def _fit_rows(x: np.ndarray, w: np.ndarray, sy: np.ndarray, sxy: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Penalised logistic fits, one per row of ``w``, by Newton steps with halving; and which of them converged."""
     penalty = 1.0 / fixed.PLATT_INVERSE_PENALTY
     beta = start.copy()
 
@@ -82,6 +86,7 @@ def _fit_rows(x: np.ndarray, w: np.ndarray, sy: np.ndarray, sxy: np.ndarray, sta
         return p, loss + 0.5 * penalty * b[:, 1] ** 2
 
     active = np.arange(len(beta))
+    size = np.zeros(len(beta))
     p, loss = parts(beta, active)
     for _ in range(200):
         if not len(active):
@@ -103,9 +108,10 @@ def _fit_rows(x: np.ndarray, w: np.ndarray, sy: np.ndarray, sxy: np.ndarray, sta
             new_p[worse], new_loss[worse] = parts((b + shrink[:, None] * step)[worse], active[worse])
         moved = shrink[:, None] * step
         beta[active] = b + moved
-        still = np.abs(moved).max(1) > 1e-11 * (1 + np.abs(beta[active]).max(1))
+        size[active] = np.abs(moved).max(1) / (1 + np.abs(beta[active]).max(1))
+        still = size[active] > 1e-11
         active, p, loss = active[still], new_p[still], new_loss[still]
-    return beta
+    return beta, np.isfinite(beta).all(1) & (size <= _SETTLED)
 
 
 def _start(sy: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -116,10 +122,12 @@ def _start(sy: np.ndarray, n: np.ndarray) -> np.ndarray:
 def platt_fit(
     df: DataFrame, group: Sequence[str], *, raw: str = "raw", outcome: str = "outcome", intervals: int = _INTERVALS
 ) -> DataFrame:
-    """Intercept, slope, sample size and positive rate per group; groups with one class are left out.
+    """Intercept, slope, sample size, positive rate and ``converged`` per group; groups with one class are left out.
 
     One pass with map-side partial sums; each group is then solved from its few
-    occupied intervals.
+    occupied intervals. Groups too steep for the intervals, and they alone, are
+    fitted again on eight times as many, down to ``_FINEST``. A fit that did not
+    settle has NULL coefficients and ``converged`` false.
     """
     group = list(group)
     scored = df.where(F.col(raw).isNotNull()).select(*group, stats.logit(F.col(raw)).alias("_x"), F.col(outcome).alias("_y"))
@@ -133,18 +141,29 @@ def platt_fit(
         x = _nodes(cells["_cell"].to_numpy(), intervals)
         w = (t @ _TO_WEIGHTS).reshape(1, -1)
         one = np.array([sy])
-        beta = _fit_rows(x, w, one, np.array([cells["sxy"].sum()]), _start(one, np.array([n])))[0]
+        fits, settled = _fit_rows(x, w, one, np.array([cells["sxy"].sum()]), _start(one, np.array([n])))
+        beta = fits[0] if settled[0] else (None, None)
         row = {g: cells[g].iloc[0] for g in group}
-        return pd.DataFrame([row | dict(zip(names, [beta[0], beta[1], int(round(n)), sy / n]))])
+        return pd.DataFrame([row | dict(zip(names, [beta[0], beta[1], int(round(n)), sy / n, bool(settled[0])]))])
 
-    names = ["intercept", "coefficient", "training_sample_size", "positive_rate"]
-    types = [T.DoubleType(), T.DoubleType(), T.LongType(), T.DoubleType()]
+    names = ["intercept", "coefficient", "training_sample_size", "positive_rate", "converged"]
+    types = [T.DoubleType(), T.DoubleType(), T.LongType(), T.DoubleType(), T.BooleanType()]
     schema = T.StructType([*[df.schema[g] for g in group], *[T.StructField(n, t) for n, t in zip(names, types)]])
     fitted = cut_lineage(sums.groupBy(*group).applyInPandas(solve, schema))
-    steepest = fitted.agg(F.max(F.abs("coefficient"))).first()[0]
-    if steepest is not None and steepest * _half_width(intervals) > _REACH:
-        return platt_fit(df, group, raw=raw, outcome=outcome, intervals=intervals * 8)
-    return fitted
+    too_steep = ~F.col("converged") | (F.abs("coefficient") * _half_width(intervals) > _REACH)
+    steep = fitted.where(too_steep).select(*group)
+    if steep.isEmpty():
+        return fitted
+    if intervals >= _FINEST:
+        unsettled = {c: F.when(~too_steep, F.col(c)) for c in ("intercept", "coefficient")}
+        return fitted.withColumns({**unsettled, "converged": ~too_steep})
+    finer = platt_fit(_of_groups(df, steep, group), group, raw=raw, outcome=outcome, intervals=intervals * 8)
+    return fitted.where(~too_steep).unionByName(finer)
+
+
+def _of_groups(df: DataFrame, groups: DataFrame, group: list[str]) -> DataFrame:
+    """The rows of ``df`` whose group is one of ``groups`` (null-safe)."""
+    return attach(df, groups.withColumn("_listed", F.lit(True)), group).where("_listed").drop("_listed")
 
 
 def walk_forward_platt(
@@ -154,24 +173,32 @@ def walk_forward_platt(
     """Calibrate row i by a fit on rows 0..i-1 of its group.
 
     Adds ``calibrated``; rows with less than ``minimum_history`` rows before them,
-    or only one class before them, are left out. Rows are cut into blocks by
-    position; each block starts from the summed state of all earlier blocks.
+    or only one class before them, are left out. ``converged`` is false, and
+    ``calibrated`` NULL, where the fit did not settle. Rows are cut into blocks by
+    position; each block starts from the summed state of all earlier blocks. Only
+    groups with a fit too steep for the intervals are fitted again on finer ones.
     """
     group = list(group)
     indexed = ordered_scan(df.where(F.col(raw).isNotNull()), group, order, position="_index")
     indexed = cut_lineage(indexed.withColumn("_block", F.floor(F.col("_index") / block_rows).cast("long")))
     slim = indexed.select(*group, "_block", "_index", stats.logit(F.col(raw)).alias("_x"), F.col(outcome).cast("double").alias("_y"))
     fits = _block_fits(slim, group, minimum_history, intervals)
+    done = None
     while True:
-        steepest = fits.agg(F.max("_reach")).first()[0]
-        if steepest is None or steepest <= _REACH:
+        reach = fits.groupBy(*group).agg(F.max("_reach").alias("_reach"))
+        steep = cut_lineage(reach.where(F.col("_reach") > _REACH).select(*group))
+        if intervals >= _FINEST or steep.isEmpty():
             break
+        settled = attach(fits, steep.withColumn("_listed", F.lit(True)), group).where("_listed IS NULL").drop("_listed")
+        done = settled if done is None else done.unionByName(settled)
         intervals *= 8
+        slim = cut_lineage(_of_groups(slim, steep, group))
         fits = _block_fits(slim, group, minimum_history, intervals)
-    joined = attach(indexed, fits.drop("_reach"), [*group, "_index"]).where(F.col("_slope").isNotNull())
-    return joined.withColumn("calibrated", stats.platt(F.col(raw), F.col("_intercept"), F.col("_slope"))).drop(
-        "_index", "_block", "_intercept", "_slope"
-    )
+    fits = fits if done is None else done.unionByName(fits)
+    fits = fits.withColumn("converged", F.col("converged") & (F.col("_reach") <= _REACH)).drop("_reach")
+    joined = attach(indexed, fits, [*group, "_index"]).where(F.col("converged").isNotNull())
+    calibrated = F.when(F.col("converged"), stats.platt(F.col(raw), F.col("_intercept"), F.col("_slope")))
+    return joined.withColumn("calibrated", calibrated).drop("_index", "_block", "_intercept", "_slope")
 
 
 def _block_fits(slim: DataFrame, group: list[str], minimum_history: int, intervals: int) -> DataFrame:
@@ -207,6 +234,7 @@ def _block_fits(slim: DataFrame, group: list[str], minimum_history: int, interva
         sxy_before = past["sxy"].sum() + np.concatenate([[0.0], np.cumsum(x * y)[:-1]])
         nodes = _nodes(used, intervals)
         out = np.full((len(index), 2), np.nan)
+        fitted, settled = np.zeros(len(index), bool), np.zeros(len(index), bool)
         reach = np.zeros(len(index))
         start = None
         for lo in range(0, len(index), _CHUNK):
@@ -226,17 +254,19 @@ def _block_fits(slim: DataFrame, group: list[str], minimum_history: int, interva
                     grown[np.arange(1, hi - lo), slot[lo : hi - 1]] = local[lo : hi - 1]
                     w = ((base[None] + np.cumsum(grown, axis=0))[ok] @ _TO_WEIGHTS).reshape(len(pick), -1)
                 begin = _start(sy_before[pick], n[ok]) if start is None else np.repeat(start[None], len(pick), axis=0)
-                out[pick] = _fit_rows(points, w, sy_before[pick], sxy_before[pick], begin)
-                start = out[pick[-1]]
+                out[pick], settled[pick] = _fit_rows(points, w, sy_before[pick], sxy_before[pick], begin)
+                fitted[pick] = True
+                start = out[pick[-1]] if settled[pick[-1]] else None
                 if not exact:
-                    reach[pick] = np.abs(out[pick, 1]) * half
+                    reach[pick] = np.where(settled[pick], np.abs(out[pick, 1]) * half, np.inf)
             np.add.at(base, slot[lo:hi], local[lo:hi])
-        result = pd.DataFrame({"_index": index, "_intercept": out[:, 0], "_slope": out[:, 1], "_reach": reach})
+        result = pd.DataFrame({"_index": index, "_intercept": out[:, 0], "_slope": out[:, 1], "_reach": reach, "converged": settled})
         for place_, name in enumerate(group):
             result.insert(place_, name, key[place_])
-        return result[np.isfinite(result["_slope"])]
+        return result[fitted]
 
     fields = [*[slim.schema[g] for g in group], T.StructField("_index", T.LongType())]
     fields += [T.StructField(n, T.DoubleType()) for n in ("_intercept", "_slope", "_reach")]
+    fields.append(T.StructField("converged", T.BooleanType()))
     fits = slim.groupBy(*group, "_block").cogroup(state.groupBy(*group, "_block")).applyInPandas(fit_block, T.StructType(fields))
     return cut_lineage(fits)

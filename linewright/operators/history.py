@@ -212,6 +212,38 @@ def _local_counter(time: str, out: str):
     return count
 
 
+def _whole_blocks(cut: DataFrame, group: Sequence[str]) -> DataFrame:
+    """``_whole`` per occupied pair of value and position block that holds probes: the
+    points of its group in whole value blocks below and whole position blocks before it.
+
+    The value blocks below a probe's are one node of a binary tree per set bit of
+    its block number, and a point block lies in one node per level. So only occupied
+    cells are written, each once per level: cells times the logarithm of the blocks
+    of the group, never all value blocks times all position blocks. A node's running
+    sum over position blocks has at most one row per position block.
+    """
+    here = [*group, BLOCK, "_pb"]
+    cells = cut.groupBy(*here).agg(
+        F.sum((F.col("_kind") == 1).cast("long")).alias("_n"), F.max(F.col("_kind") != 1).alias("_asked")
+    )
+    numbers = cut.select(*group, BLOCK).distinct().withColumn(
+        "_vb", F.row_number().over(Window.partitionBy(*group).orderBy(BLOCK)).cast("long") - 1
+    )
+    # Levels up to the highest bit of the group's last block; a group in one block has none.
+    top = numbers.groupBy(*group).agg(F.length(F.bin(F.max("_vb"))).alias("_bits"), F.max("_vb").alias("_last")).where("_last > 0")
+    tree = attach(attach(cells, numbers, [*group, BLOCK]), top, group).where(F.col("_bits").isNotNull())
+    tree = tree.withColumn("_level", F.explode(F.expr("sequence(0, _bits - 1)")))
+    points = tree.where("_n > 0").select(*group, "_level", F.expr("shiftright(_vb, _level)").alias("_node"), "_pb", "_n")
+    probes = tree.where("_asked AND shiftright(_vb, _level) % 2 = 1").select(
+        *here, "_level", F.expr("shiftright(_vb, _level) - 1").alias("_node")
+    )
+    place = [*group, "_level", "_node"]
+    asked = probes.select(*place, "_pb", F.lit(0).cast("long").alias("_n"))
+    earlier = Window.partitionBy(*place).orderBy("_pb").rowsBetween(Window.unboundedPreceding, -1)
+    running = points.unionByName(asked).groupBy(*place, "_pb").agg(F.sum("_n").alias("_n")).withColumn("_n", F.sum("_n").over(earlier))
+    return attach(probes, running, [*place, "_pb"]).groupBy(*here).agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_whole"))
+
+
 def earlier_residual_counts(
     df: DataFrame, group: Sequence[str], *, value: str, threshold: str, tolerance: float, block_rows: int
 ) -> DataFrame:
@@ -220,9 +252,9 @@ def earlier_residual_counts(
 
     Exact two-dimensional counting without forming pairs. Points and probes are
     cut into value blocks (a range shuffle) and position blocks. Whole blocks
-    below and before a probe come from running sums over a small grid of block
-    counts; the rest is counted inside one value block and one position block,
-    both of bounded size whatever the group sizes or ties are.
+    below and before a probe come from dyadic counts (``_whole_blocks``); the rest
+    is counted inside one value block and one position block, both of bounded
+    size whatever the group sizes or ties are.
     """
     tol = F.lit(tolerance)
     kinds = F.explode(F.array(
@@ -237,27 +269,13 @@ def earlier_residual_counts(
     if blocks == 1:
         placed = items.withColumn("_before", F.lit(0).cast("long"))
     else:
-        cut = cut_lineage(range_blocks(items, [*group, "_v", "_kind", POSITION], blocks))
-        cells = cut.where(F.col("_kind") == 1).groupBy(*group, BLOCK, "_pb").agg(F.count(F.lit(1)).alias("_n"))
-        grid = (
-            cut.groupBy(*group).agg(F.min(BLOCK).alias("_lo"), F.max(BLOCK).alias("_hi"), F.max("_pb").alias("_last"))
-            .withColumn(BLOCK, F.explode(F.sequence("_lo", "_hi")))
-            .withColumn("_pb", F.explode(F.sequence(F.lit(0).cast("long"), "_last")))
-            .select(*group, BLOCK, "_pb")
-        )
-        earlier = Window.partitionBy(*group, BLOCK).orderBy("_pb").rowsBetween(Window.unboundedPreceding, -1)
-        lower = Window.partitionBy(*group, "_pb").orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-        whole = (
-            attach(grid, cells, [*group, BLOCK, "_pb"])
-            .withColumn("_column", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-            .withColumn("_whole", F.coalesce(F.sum("_column").over(lower), F.lit(0)))
-            .select(*group, BLOCK, "_pb", "_whole")
-        )
+        cut = cut_lineage(range_blocks(items, [*group, "_v", "_kind", POSITION], blocks, block_rows))
+        whole = _whole_blocks(cut, group)
         in_value_block = cut.groupBy(*group, BLOCK).applyInPandas(
             _local_counter("_pb", "_same"), T.StructType([*cut.schema.fields, T.StructField("_same", T.LongType())])
         )
         placed = attach(in_value_block, whole, [*group, BLOCK, "_pb"]).withColumn(
-            "_before", F.col("_same") + F.col("_whole")
+            "_before", F.col("_same") + F.coalesce("_whole", F.lit(0))
         ).select(*items.columns, "_before")
 
     def per_position(rows: pd.DataFrame) -> pd.DataFrame:

@@ -124,7 +124,7 @@ _SCORED = f", d AS (SELECT segment, {_logit('p')} AS sx, CAST(y AS DOUBLE) AS sy
     FROM n10 JOIN d USING (segment) GROUP BY segment, a, b"""))
 def platt_fit(spark, sf_dir):
     fits = calibration.platt_fit(v.view(spark, sf_dir, v.scored(v.SPARK)), ["segment"], raw="p", outcome="y")
-    return fits.withColumns({c: F.round(c, 6) for c in ("intercept", "coefficient", "positive_rate")})
+    return fits.drop("converged").withColumns({c: F.round(c, 6) for c in ("intercept", "coefficient", "positive_rate")})
 
 
 _WALKED = f"""

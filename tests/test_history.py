@@ -179,6 +179,29 @@ def test_line_probability_with_push(spark, block_rows):
     assert over.expected_value_with_push == pytest.approx(0.25 * 1.9 + 0.25 - 1)
 
 
+def test_only_steep_groups_are_refined(spark):
+    flat, steep = labelled(2000, seed=3), labelled(2000, seed=4, slope=40.0)
+    data = [(g, i, float(r), int(o)) for g, (raw, _, y) in (("flat", flat), ("steep", steep)) for i, (r, o) in enumerate(zip(raw, y))]
+    df = spark.createDataFrame(data, "g string, pos long, raw double, outcome int")
+    both = {r.g: r for r in calibration.platt_fit(df, ["g"]).collect()}
+    assert both["flat"].converged and both["steep"].converged and both["steep"].coefficient > 10
+    alone = calibration.platt_fit(df.where("g = 'flat'"), ["g"]).first()
+    assert (both["flat"].intercept, both["flat"].coefficient) == pytest.approx((alone.intercept, alone.coefficient), abs=1e-12)
+    walked = calibration.walk_forward_platt(df, ["g"], ["pos"], minimum_history=1900)
+    got = {(r.g, r.pos): r for r in walked.collect()}
+    assert len(got) == 200 and all(r.converged and r.calibrated is not None for r in got.values())
+
+
+def test_value_blocks_below_are_counted_without_a_grid(spark):
+    rng = np.random.default_rng(5)
+    rows = [("a", int(rng.integers(0, 40)), int(rng.integers(0, 30)), int(rng.integers(0, 3))) for _ in range(600)] + [("b", 3, 1, 1), ("b", 3, 2, 0)]
+    cut = spark.createDataFrame(rows, f"g string, {history.BLOCK} long, _pb long, _kind int")
+    got = {(r.g, r[history.BLOCK], r._pb): r._whole for r in history._whole_blocks(cut, ["g"]).collect()}
+    for g, block, pb, kind in rows:
+        if kind != 1:
+            assert got.get((g, block, pb), 0) == sum(h == g and b < block and p < pb and k == 1 for h, b, p, k in rows)
+
+
 def test_scorecard_and_status(spark):
     raw, _, y = labelled(500)
     df = spark.createDataFrame([("s", float(p), 0.5, int(o)) for p, o in zip(raw, y)], "seg string, p double, m double, y int")
