@@ -15,6 +15,16 @@ from linewright.operators import artifacts, calibration, history, metrics
 from linewright.session import cut_lineage
 
 
+#: Why a version cannot be fitted, in the order of the checks.
+FAULTS = {
+    "training.unusable": "training data rejected",
+    "chronology.not_increasing": "timestamps must be strictly increasing",
+    "history.no_test_rows": "insufficient rows beyond the first training window",
+    "history.too_few_priced": "insufficient non-push out-of-sample rows",
+    "calibration.one_class": "insufficient history for out-of-sample calibration",
+}
+
+
 @dataclass(frozen=True)
 class FittedHistory:
     """Everything one fit leaves behind; each table has one row per model version unless noted."""
@@ -24,39 +34,59 @@ class FittedHistory:
     residual_versions: DataFrame
     calibrators: DataFrame
     evaluated: DataFrame  # one per evaluated row: calibrated and market probability
-    report: DataFrame  # scorecard, status, window bounds, training cutoff
+    report: DataFrame  # fault, scorecard, status, window bounds, training cutoff
     model: object | None = None
 
 
 def fit_history(
     df: DataFrame, features: Sequence[str], config: history.WalkForward, *, key: str = "model_version",
     order: Sequence[str] = ("ts",), time: str = "ts", estimator: Estimator | None = None, block_rows: int = 200_000,
+    strict: bool = True,
 ) -> FittedHistory:
     """Walk forward, price by earlier residuals, calibrate walk-forward, score against the market.
 
     Without ``estimator`` the least-squares baseline is fitted for all versions
     at once. With one, ``df`` must hold a single version and every fold is an MLlib
-    fit. Input is rejected when times do not strictly increase or values are unusable.
+    fit. A version is faulty (``report.fault``, a code of ``FAULTS``) when its values are
+    unusable, its times do not strictly increase, or its history is too short for
+    its settings or its calibration. ``strict`` ends the job on the first faulty
+    version; else such versions are rows of the report and of no other table.
     """
     group = [key]
     rows = cut_lineage(history.with_position(df, group, order))
-    history.require_usable(history.training_faults(rows, group, features))
-    if not history.chronology_breaks(rows, group, [history.POSITION], time).isEmpty():
-        raise ValueError("timestamps must be strictly increasing")
+    versions = rows.groupBy(key).agg(F.max(time).alias("training_cutoff_at"), F.count(F.lit(1)).alias("training_rows"))
+    found = None
+
+    def note(bad: DataFrame, fault: str) -> None:
+        """Add the versions of ``bad`` to the faulty ones, or stop on one."""
+        nonlocal found
+        bad = cut_lineage(bad.select(key).distinct().withColumn("fault", F.lit(fault)))
+        if strict and not bad.isEmpty():
+            raise ValueError(f"{FAULTS[fault]}: {bad.first()[key]}")
+        found = bad if found is None else found.unionByName(bad)
+
+    def sound(table: DataFrame) -> DataFrame:
+        return attach(table, found.select(key).distinct().withColumn("_faulty", F.lit(True)), group).where("_faulty IS NULL").drop("_faulty")
+
+    note(history.training_faults(rows, group, features).where(~F.col("usable")), "training.unusable")
+    note(history.chronology_breaks(sound(rows), group, [history.POSITION], time), "chronology.not_increasing")
+    note(sound(versions).where(F.col("training_rows") <= config.min_train_size), "history.no_test_rows")
+    rows = cut_lineage(sound(rows))
     if estimator is None:
         predictions = cut_lineage(history.walk_forward_linear(rows, group, features, config))
     else:
         predictions = cut_lineage(history.walk_forward_estimator(rows, features, config, estimator))
     priced = cut_lineage(history.priced_history(predictions, group, config, block_rows=block_rows))
-    short = priced.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= config.min_calibration_history)
-    if priced.isEmpty() or not short.isEmpty():
-        raise ValueError("insufficient non-push out-of-sample rows")
+    counted = attach(sound(versions), priced.groupBy(key).agg(F.count("raw").alias("_priced")), group)
+    note(counted.where(F.coalesce("_priced", F.lit(0)) <= config.min_calibration_history), "history.too_few_priced")
+    priced = sound(priced)
     evaluated = cut_lineage(calibration.walk_forward_platt(
         priced, group, [history.POSITION], minimum_history=config.min_calibration_history
     ))
-    if evaluated.isEmpty():
-        raise ValueError("insufficient history for out-of-sample calibration")
-    residuals = predictions.where(F.col("prediction").isNotNull()).select(
+    scored = attach(sound(versions), evaluated.select(key).distinct().withColumn("_scored", F.lit(True)), group)
+    note(scored.where("_scored IS NULL"), "calibration.one_class")
+    priced, evaluated = sound(priced), sound(evaluated)
+    residuals = sound(predictions).where(F.col("prediction").isNotNull()).select(
         key, history.POSITION, (F.col("y") - F.col("prediction")).alias("residual")
     )
     hashed = artifacts.sample_hash(residuals, group, history.POSITION, "residual")
@@ -71,13 +101,12 @@ def fit_history(
         metrics.scorecard(evaluated, "calibrated", "market_p", "outcome", group), config.minimum_validation_sample
     )
     bounds = evaluated.groupBy(key).agg(F.min(time).alias("validation_period_start"), F.max(time).alias("validation_period_end"))
-    cutoff = rows.groupBy(key).agg(F.max(time).alias("training_cutoff_at"))
-    report = attach(attach(card, bounds, group), cutoff, group)
+    report = attach(attach(attach(versions, found, group), card, group), bounds, group)
     model = None
     if estimator is not None:
         ready = VectorAssembler(inputCols=list(features), outputCol="features").transform(rows)
         model = estimator.copy({estimator.labelCol: "y"}).fit(ready)
-    return FittedHistory(predictions, residuals, residual_versions, calibrators, evaluated, report, model)
+    return FittedHistory(sound(predictions), residuals, residual_versions, calibrators, evaluated, report, model)
 
 
 def bundle_tables(fitted: FittedHistory) -> dict[str, DataFrame]:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from linewright import fixed_values as fixed
 from linewright.operators import calibration, history, metrics, scoring
+from linewright.plans import fitting
 from linewright.plans import views as v
 from linewright.plans.registry import over, query, r, rounded
 from linewright.session import cut_lineage
@@ -199,6 +200,34 @@ def validation_scorecard(spark, sf_dir):
     )
 
 
+_EPOCH = v.DUCK.epoch
+
+
+@query("fit_report", over({"h": v.history}, f"""
+    , {_PREDICTED}{_OOS}{_COUNTED}{_WALKED}
+    , good AS (SELECT walked.*, ts FROM walked JOIN pred USING (grp, pos) WHERE grp NOT IN ('click', 'signup', 'error'))
+    , card AS (SELECT grp, count(*) AS sample_size, round(avg((calibrated - outcome) * (calibrated - outcome)), 6) AS model_brier_score,
+        {_EPOCH('min(ts)')} AS first_validated, {_EPOCH('max(ts)')} AS last_validated FROM good GROUP BY grp)
+    , versions AS (SELECT grp, count(*) AS training_rows, {_EPOCH("max(CASE WHEN grp = 'click' THEN date_trunc('hour', ts) ELSE ts END)")} AS training_cutoff
+        FROM pred WHERE grp <> 'signup' OR pos < 45 GROUP BY grp)
+    SELECT grp, training_rows, training_cutoff,
+      CASE grp WHEN 'error' THEN 'training.unusable' WHEN 'click' THEN 'chronology.not_increasing' WHEN 'signup' THEN 'history.too_few_priced' END AS fault,
+      sample_size, model_brier_score, first_validated, last_validated FROM versions LEFT JOIN card USING (grp)"""))
+def fit_report(spark, sf_dir):
+    """The whole fit, a row per version: one with dead prices, one with repeated times, one cut short, the others sound."""
+    hour = F.date_trunc("hour", F.col("ts").cast("timestamp")).cast("timestamp_ntz")
+    rows = series(spark, sf_dir).where("grp <> 'signup' OR pos < 45").withColumns({
+        "ts": F.when(F.col("grp") == "click", hour).otherwise(F.col("ts").cast("timestamp_ntz")),
+        "over_odds": F.when(F.col("grp") == "error", 1.0).otherwise(F.col("over_odds")),
+    })
+    report = fitting.fit_history(rows, ["x"], CONFIG, key="grp", order=("ts", "event_id"), strict=False).report
+    return report.select(
+        "grp", "training_rows", F.expr(v.SPARK.epoch("training_cutoff_at")).alias("training_cutoff"), "fault", "sample_size",
+        F.round("model_brier_score", 6).alias("model_brier_score"), F.expr(v.SPARK.epoch("validation_period_start")).alias("first_validated"),
+        F.expr(v.SPARK.epoch("validation_period_end")).alias("last_validated"),
+    )
+
+
 @query("walk_forward_gbt")
 def walk_forward_gbt(spark, sf_dir):
     """Boosted trees on one series of all events, four folds; fewer trees than the default."""
