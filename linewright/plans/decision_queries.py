@@ -6,7 +6,6 @@ from linewright.functions.ordered import asof_join
 from linewright.operators import context, decision, gates, report, sizing
 from linewright.plans import views as v
 from linewright.plans.registry import over, query
-from linewright.session import cut_lineage
 
 P = v.POLICY
 
@@ -193,7 +192,8 @@ _DECIDED = f"""{_ASOF}{_CONTEXT}
 
 
 def decided(spark, sf_dir):
-    return decision.decide(decision.with_contract_gate(assembled(spark, sf_dir)))
+    """All decisions, written once and held to their contract."""
+    return decision.enforced(decision.decide(decision.with_contract_gate(assembled(spark, sf_dir))))
 
 
 @query("decision_table", over(_VIEWS, f"""{_DECIDED}
@@ -214,20 +214,29 @@ def decision_table(spark, sf_dir):
     return rows.withColumns({n: F.round(n, 6) for n in numbers})
 
 
-@query("decision_contract", over(_VIEWS, "SELECT CAST(0 AS BIGINT) AS violations, (SELECT count(*) FROM c) AS decisions"))
+_TAMPERED = "candidate_id % 7 = 0 OR candidate_id % 11 = 0 OR candidate_id % 13 = 0 OR candidate_id % 17 = 0"
+
+
+@query("decision_contract", over(_VIEWS, f"SELECT CAST(0 AS BIGINT) AS violations, count(*) FILTER (WHERE {_TAMPERED}) AS tampered, count(*) AS decisions FROM c"))
 def decision_contract(spark, sf_dir):
-    """Every output row must satisfy the decision contract."""
-    rows = cut_lineage(decided(spark, sf_dir))
-    return rows.agg(
-        F.count_if(F.expr(decision.output_violation())).alias("violations"), F.count(F.lit(1)).alias("decisions")
-    )
+    """Every output row satisfies the decision contract; rows altered by key do not."""
+    rows = decided(spark, sf_dir)
+    wrong = F.expr(decision.output_violation())
+    k = F.col("candidate_id")
+    altered = rows.withColumn("_before", wrong).withColumns({
+        "decision": F.when(k % 7 == 0, "MAYBE").otherwise(F.col("decision")),
+        "reason_codes": F.when(k % 11 == 0, F.concat("reason_codes", F.slice("reason_codes", 1, 1))).otherwise(F.col("reason_codes")),
+        "audit": F.when(k % 13 == 0, F.col("audit").withField("formula_version", F.lit("other"))).otherwise(F.col("audit")),
+        "economics": F.when(k % 17 == 0, F.col("economics").withField("ev", F.lit(float("inf")))).otherwise(F.col("economics")),
+    })
+    return altered.agg(F.count_if("_before").alias("violations"), F.count_if(wrong).alias("tampered"), F.count(F.lit(1)).alias("decisions"))
 
 
 @query("stake_caps", over(_VIEWS, f"""{_DECIDED}
     SELECT candidate_id, {', '.join(f'round(cap_{n}, 6) AS cap_{n}' for n in _CAP_NAMES)}, binding AS binding_cap, round(stake, 6) AS final_stake
     FROM z WHERE reached"""))
 def stake_caps(spark, sf_dir):
-    rows = cut_lineage(decided(spark, sf_dir).select("candidate_id", "staking"))
+    rows = decided(spark, sf_dir)
     return rows.where("staking.final_stake IS NOT NULL").select(
         "candidate_id", *[F.round(f"staking.caps.{n}", 6).alias(f"cap_{n}") for n in _CAP_NAMES],
         F.col("staking.binding_cap").alias("binding_cap"), F.round("staking.final_stake", 6).alias("final_stake"),
@@ -328,7 +337,7 @@ _COMPACT_BET = _lines(
       CASE decision WHEN 'BET' THEN {_COMPACT_BET} END AS compact FROM z"""))
 def decision_report(spark, sf_dir):
     """Full texts of all four decisions and the compact texts of bets."""
-    rows = report.report_text(cut_lineage(decided(spark, sf_dir).drop("audit", "decision_id")))
+    rows = report.report_text(decided(spark, sf_dir).drop("audit", "decision_id"))
     return rows.select("candidate_id", "report", "compact")
 
 
