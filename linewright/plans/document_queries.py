@@ -194,6 +194,40 @@ def review_packet_hashes(spark, sf_dir):
     )
 
 
+# ---- risk policies ------------------------------------------------------------------------------------
+
+
+def policy_values(d):
+    """Settings of one policy per part; many break a rule."""
+    return """
+    SELECT p_partkey AS policy_key, (p_size - 5) / 1e2 AS minimum_ev, p_size / 1e2 AS warning, p_retailprice / 15e2 AS open_share,
+      p_size - 3 AS market_age, CASE WHEN p_partkey % 9 = 0 THEN 1e-1 ELSE 0e0 END AS unknown_kelly, p_partkey % 10 <> 0 AS approval
+    FROM {part}"""
+
+
+@query("policy_contract_errors", over({"c": policy_values}, """
+    SELECT policy_key, concat_ws(',',
+      CASE WHEN open_share > 1 THEN 'schema.caps.max_open_exposure_fraction.maximum' END,
+      CASE WHEN warning > 15e-2 THEN 'drawdown.order' END,
+      CASE WHEN market_age < 1 THEN 'schema.freshness_seconds.market_snapshot.minimum' END,
+      CASE WHEN NOT approval THEN 'schema.human_approval_required.const' END,
+      CASE WHEN unknown_kelly <> 0 THEN 'schema.kelly_fraction.unknown.const' END,
+      CASE WHEN minimum_ev < 0 THEN 'schema.minimum_ev.minimum' END) AS errors FROM c"""))
+def policy_contract_errors(spark, sf_dir):
+    policy = F.expr(v.policy_struct())
+    changed = (
+        policy.withField("minimum_ev", F.col("minimum_ev").cast("double"))
+        .withField("drawdown.warning_fraction", F.col("warning").cast("double"))
+        .withField("caps.max_open_exposure_fraction", F.col("open_share").cast("double"))
+        .withField("freshness_seconds.market_snapshot", F.col("market_age").cast("long"))
+        .withField("kelly_fraction.unknown", F.col("unknown_kelly").cast("double"))
+        .withField("human_approval_required", F.col("approval"))
+    )
+    rows = v.view(spark, sf_dir, policy_values(v.SPARK), spread="part").select("policy_key", changed.alias("policy"))
+    found = contracts.contract_errors(rows, "policy", contracts.risk_policy, "faults")
+    return found.select("policy_key", F.array_join(F.array_sort(F.transform("faults", lambda e: e["code"])), ",").alias("errors"))
+
+
 # ---- adapters -----------------------------------------------------------------------------------------
 
 _RICH = """named_struct('output_schema_version', 'prediction-v2', 'event_id', event_id, 'sport', sport,

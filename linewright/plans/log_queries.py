@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from linewright.operators import review
 from linewright.plans import views as v
 from linewright.plans.registry import over, query
+from linewright.session import cut_lineage
 
 
 def reviews(d):
@@ -66,6 +67,30 @@ def review_accepts(spark, sf_dir):
     return accepted.select("arrival", "log_id", "seq")
 
 
+@query("review_log_intake", over({"q": reviews}, f"""
+    , f AS (SELECT *, coalesce({_SCHEMA}, {_FAULT}) AS fault FROM q)
+    , kept AS (SELECT log_id, review_id, row_number() OVER (PARTITION BY log_id ORDER BY arrival) - 1 AS seq FROM (
+        SELECT *, row_number() OVER (PARTITION BY review_id ORDER BY arrival) AS nth FROM f WHERE arrival % 2 = 0 AND fault IS NULL) e WHERE nth = 1)
+    , tails AS (SELECT log_id, max(seq) AS last FROM kept GROUP BY log_id)
+    , n AS (SELECT f.*, last, coalesce(fault, CASE WHEN last IS NOT NULL AND right(f.log_id, 1) = '3' THEN 'log.chain_broken' END) AS early
+        FROM f LEFT JOIN tails USING (log_id) WHERE arrival % 2 = 1)
+    , d AS (SELECT *, CASE WHEN arrival > min(arrival) OVER (PARTITION BY review_id) OR review_id IN (SELECT review_id FROM kept) THEN concat('review_id.repeated: ', review_id) END AS again
+        FROM n WHERE early IS NULL)
+    SELECT arrival, log_id, early AS rejection, CAST(NULL AS BIGINT) AS seq FROM n WHERE early IS NOT NULL
+    UNION ALL SELECT arrival, log_id, again, NULL FROM d WHERE again IS NOT NULL
+    UNION ALL SELECT arrival, log_id, NULL, coalesce(last + 1, 0) + row_number() OVER (PARTITION BY log_id ORDER BY arrival) - 1 FROM d WHERE again IS NULL"""))
+def review_log_intake(spark, sf_dir):
+    """Every other review goes to a log whose tails the rest continue; logs ending in 3 have a replaced hash and take nothing."""
+    rows = review_rows(spark, sf_dir)
+    sealed, _ = review.intake(rows.where("arrival % 2 = 0"), None, arrival="arrival")
+    replaced = (F.substring("log_id", -1, 1) == "3") & (F.col("seq") == 0)
+    log = cut_lineage(sealed.withColumn(review.RECORD, F.when(replaced, F.sha2("reason", 256)).otherwise(F.col(review.RECORD))))
+    accepted, rejected = review.intake(rows.where("arrival % 2 = 1"), log, arrival="arrival")
+    return accepted.select("arrival", "log_id", F.lit(None).cast("string").alias("rejection"), "seq").unionByName(
+        rejected.select("arrival", "log_id", "rejection", F.lit(None).cast("long").alias("seq"))
+    )
+
+
 _FIELDS = ["log_id", "payload", "role", "seq"]
 _TEXT = """concat('{"log_id":', c.log_id, ',"payload":', CAST(to_json(c.payload) AS VARCHAR), ',"previous_record_sha256":', %s, ',"role":', CAST(to_json(c.role) AS VARCHAR), ',"seq":', c.seq, '}')"""
 _CHAIN = f"""

@@ -301,7 +301,7 @@ _CONTEXT = """named_struct('schema_version', 'linewright.mlb-context.v1', 'event
    'uses_roof', use_roof, 'uses_weather', use_weather, 'uses_umpire', false))"""
 
 
-def _policy_struct() -> str:
+def policy_struct() -> str:
     p = {k: f"{v}D" if isinstance(v, float) else f"CAST({v} AS BIGINT)" for k, v in POLICY.items()}
     tiers = lambda kind: (
         f"named_struct('validated', {p[kind + '_validated']}, 'uncalibrated', {p[kind + '_uncalibrated']}, 'unknown', 0D)"
@@ -336,7 +336,7 @@ def paired_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model and market of one candidate built from its single source row: no join needed."""
     return view(spark, sf_dir, candidates(SPARK), spread="orders").select(
         "candidate_id", F.expr(_MODEL).alias("model"), F.expr(_MARKET).alias("market"), "evaluated_at",
-        "portfolio_id", "correlation_key", F.expr(_policy_struct()).alias("policy"),
+        "portfolio_id", "correlation_key", F.expr(policy_struct()).alias("policy"),
     )
 
 
@@ -354,4 +354,4 @@ def context_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def policy_documents(spark: SparkSession) -> DataFrame:
-    return spark.range(1).select(F.lit("base").alias("policy_id"), F.expr(_policy_struct()).alias("policy"))
+    return spark.range(1).select(F.lit("base").alias("policy_id"), F.expr(policy_struct()).alias("policy"))
