@@ -179,6 +179,16 @@ def test_line_probability_with_push(spark, block_rows):
     assert over.expected_value_with_push == pytest.approx(0.25 * 1.9 + 0.25 - 1)
 
 
+def test_faulty_versions_are_report_rows(spark):
+    sound = series(spark, 180, "sound")
+    sure = series(spark, 180, "sure", seed=4).withColumn("y", F.col("line") + 1 + F.col("b"))
+    short = series(spark, 8, "short", seed=5)
+    fitted = fitting.fit_history(sound.unionByName(sure).unionByName(short), ["a", "b"], CONFIG, strict=False)
+    faults = {r.model_version: r.fault for r in fitted.report.collect()}
+    assert faults == {"sound": None, "sure": "calibration.one_class", "short": "history.no_test_rows"}
+    assert {r.model_version for r in fitted.predictions.select("model_version").distinct().collect()} == {"sound"}
+
+
 def test_only_steep_groups_are_refined(spark):
     flat, steep = labelled(2000, seed=3), labelled(2000, seed=4, slope=40.0)
     data = [(g, i, float(r), int(o)) for g, (raw, _, y) in (("flat", flat), ("steep", steep)) for i, (r, o) in enumerate(zip(raw, y))]
