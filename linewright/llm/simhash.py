@@ -214,8 +214,12 @@ def keep_one(docs: DataFrame, *, id_column: str = "doc_id", text: str = "text",
     A null id comes after all others; ties go to the smallest text key, and of
     rows that repeat both id and text one stays.
     """
+    return one_of_each(docs, _classed(docs, id_column, text, shingle, budget), id_column=id_column, text=text)
+
+
+def one_of_each(docs: DataFrame, classed: DataFrame, *, id_column: str, text: str) -> DataFrame:
+    """``docs`` with one document of each ``root`` of ``classed`` (id, _simhash_key, root), chosen as ``keep_one`` says."""
     names = docs.columns
-    classed = _classed(docs, id_column, text, shingle, budget)
     place = F.struct(F.col(id_column).isNull().alias("last"), F.col(id_column).alias("id"), F.col("_simhash_key").alias("key"))
     best = stored(classed.groupBy("root").agg(F.min(place).alias("best")).select(F.col("best.id").alias("_best_id"), F.col("best.key").alias("_best_key")).distinct(), "best")
     repeats = classed.groupBy(id_column, "_simhash_key").count().where("count > 1").isEmpty()
