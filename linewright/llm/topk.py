@@ -37,13 +37,22 @@ class Lists:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         by = np.argsort(ids, kind="stable")
         self.ids, exact = ids[by], vectors[by]
-        # The narrowest type in which every product of two rows is exact.
-        largest = float(np.abs(exact).max(initial=0)) ** 2 * exact.shape[1]
-        self.vectors = exact.astype(np.float32 if largest < 1 << 24 else np.float64 if largest < 1 << 53 else np.int64)
+        self.exact = exact
+        self.largest = float(np.abs(exact).max(initial=0))
+        self.cast: dict[type, np.ndarray] = {}
         # [direction, dimension, depth]: 0 falls from the largest component, 1 rises from the smallest.
         self.order = np.stack([np.argsort(-exact, axis=0, kind="stable").T, np.argsort(exact, axis=0, kind="stable").T]).astype(np.int32)
         self.values = np.take_along_axis(np.stack([exact.T, exact.T]), self.order.astype(np.int64), axis=2)
 
+    def typed(self, query: np.ndarray) -> np.ndarray:
+        """The rows in the narrowest type in which every product with ``query``, and the query itself, is exact."""
+        most = float(np.abs(query).max(initial=0))
+        largest = max(self.largest * most * len(query), self.largest, most)
+        kind = np.float32 if largest < 1 << 24 else np.float64 if largest < 1 << 53 else np.int64
+        if kind not in self.cast:
+            self.cast[kind] = self.exact.astype(kind)
+        return self.cast[kind]
+
     def search(self, query: np.ndarray, own: int, k: int, best: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """The k best (scores, ids) of ``best`` and this block."""
         scores, ids = best
@@ -53,7 +62,8 @@ class Lists:
             new = self.ids[self.ids != own][:k]
             return _top(np.concatenate([scores, np.zeros(len(new), np.int64)]), np.concatenate([ids, new]), k)
         side = (query[dims] < 0).astype(np.int64)
-        typed = query.astype(self.vectors.dtype)
+        vectors = self.typed(query)
+        typed = query.astype(vectors.dtype)
         seen = np.zeros(size, bool)
         low, depth = 0, FIRST_DEPTH
         while low < size:
@@ -63,7 +73,7 @@ class Lists:
             fresh &= ~seen
             seen |= fresh
             met = np.flatnonzero(fresh)
-            got = (self.vectors[met] @ typed if len(met) * 3 < size else (self.vectors @ typed)[met]).astype(np.int64)
+            got = (vectors[met] @ typed if len(met) * 3 < size else (vectors @ typed)[met]).astype(np.int64)
             worth = self.ids[met] != own
             if len(scores) == k:
                 worth &= got >= scores[-1]
