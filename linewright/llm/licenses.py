@@ -22,8 +22,8 @@ BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("c
 #: Family, keyword, names as patterns, versions (label suffix, pattern), by hand.
 V = r"(?: version| v)? ?"
 FAMILIES: tuple[tuple[str, str, tuple[str, ...], tuple[tuple[str, str], ...]], ...] = (
-    ("gpl", "general public", (r"(?:gnu )?general public licen[sc]e", r"gnu gpl"), (("1", "1(?: 0)?"), ("2", "2(?: 0)?"), ("3", "3(?: 0)?"))),
-    ("gpl", "gpl", (r"gpl", r"gplv"), (("1", "1(?: 0)?"), ("2", "2(?: 0)?"), ("3", "3(?: 0)?"))),
+    ("gpl", "general public", (r"(?:gnu )?general public licen[sc]e",), (("1", "1(?: 0)?"), ("2", "2(?: 0)?"), ("3", "3(?: 0)?"))),
+    ("gpl", "gpl", (r"gpl", r"gplv", r"gnu gpl"), (("1", "1(?: 0)?"), ("2", "2(?: 0)?"), ("3", "3(?: 0)?"))),
     ("lgpl", "lesser general", (r"(?:gnu )?lesser general public licen[sc]e",), (("2.1", "2 1"), ("3", "3(?: 0)?"))),
     ("lgpl", "library general", (r"(?:gnu )?library general public licen[sc]e",), (("2", "2(?: 0)?"),)),
     ("lgpl", "lgpl", (r"(?:gnu )?lgpl",), (("2", "2(?: 0)?"), ("2.1", "2 1"), ("3", "3(?: 0)?"))),
