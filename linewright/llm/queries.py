@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linewright.llm import chat, debruijn, decontaminate, hard_negatives, language, licenses, mixing, quality, simhash, suffixes, topk
+from linewright.llm import chat, debruijn, decontaminate, hard_negatives, html_extraction, language, lexical_search, licenses, mixing, quality, simhash, suffixes, topk
 from linewright.llm.common import LOWER, UPPER
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -169,3 +169,30 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.hard_negatives(rows.select("vec_id", "embedding", moved.alias("label")))
+
+
+_TERMS = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+
+@query(
+    "op11_lexical_search",
+    f"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents),
+    c AS (SELECT count(*) FILTER (len(w) > 0) AS n, sum(len(w))::BIGINT AS l FROM d),
+    i AS (SELECT item_id, text, unnest(w) AS term FROM (SELECT DISTINCT item_id, text, {_TERMS} AS w FROM benchmark)),
+    q AS (SELECT item_id, text, term, count(*) AS times FROM i GROUP BY ALL),
+    t AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+    f AS (SELECT term, floor(1000 * ln((2 * n + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight FROM t, c GROUP BY term, n),
+    m AS (SELECT r, doc_id, 100 - 75 + ((75 * len(w) * n) // l) AS m FROM d, c WHERE len(w) > 0),
+    s AS (SELECT item_id, text, r, doc_id, sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+          FROM q JOIN t USING (term) JOIN f USING (term) JOIN m USING (r) GROUP BY ALL),
+    o AS (SELECT *, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id, r)::INTEGER AS rank FROM s WHERE score > 0)
+    SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 10""",
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op12_html_extraction")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.main_texts(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
