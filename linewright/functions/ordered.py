@@ -14,7 +14,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from linewright.session import cut_lineage
+from linewright.session import cut_lineage, written
 
 BLOCK = "_block"
 ROWS_PER_BLOCK_CONF = "spark.linewright.rowsPerBlock"
@@ -70,6 +70,7 @@ def ordered_scan(
     maxima: Mapping[str, Column] | None = None,
     latest: Mapping[str, Column] | None = None,
     previous: Mapping[str, Column] | None = None,
+    peaks: Mapping[str, str] | None = None,
     position: str | None = None,
     before: bool = False,
     block_rows: int | None = None,
@@ -80,12 +81,16 @@ def ordered_scan(
     ``sums`` / ``maxima`` / ``latest`` are running sum, running maximum and last
     non-null value up to the row (``before=True``: strictly before it).
     ``previous`` is the value on the preceding row; ``position`` a dense 0-based
-    index. ``order`` must be a total order within a group. ``rows`` is an upper
+    index. ``peaks`` are running maxima of named ``sums``, from the same scan: a block's
+    state is its total and its highest prefix, and two states in a row merge into
+    (a + b, max(peak a, a + peak b)). ``order`` must be a total order within a group. ``rows`` is an upper
     bound on the row count when the caller knows one cheaply; otherwise the rows
     are counted.
     """
     sums, maxima = dict(sums or {}), dict(maxima or {})
-    latest, previous = dict(latest or {}), dict(previous or {})
+    latest, previous, peaks = dict(latest or {}), dict(previous or {}), dict(peaks or {})
+    if peaks and (before or not set(peaks.values()) <= set(sums)):
+        raise ValueError("peaks need a named sum up to the row itself")
     group, order = list(group), list(order)
     limit = block_rows or rows_per_block(df.sparkSession)
     blocks = max(1, math.ceil((df.count() if rows is None else rows) / limit))
@@ -111,10 +116,12 @@ def ordered_scan(
     if position:
         local["_at_position"] = F.row_number().over(within).cast("long") - 1
     scanned = base.withColumns(local)
+    # The same partitions in the same order: no shuffle or sort of its own.
+    scanned = scanned.withColumns({f"_at_{n}": F.max(F.coalesce(F.col(f"_at_{of}"), F.lit(0))).over(frame) for n, of in peaks.items()})
 
     if single:
         final = {name: F.coalesce(F.col(f"_at_{name}"), F.lit(0)) for name in sums}
-        final |= {name: F.col(f"_at_{name}") for name in [*maxima, *latest]}
+        final |= {name: F.col(f"_at_{name}") for name in [*maxima, *latest, *peaks]}
         final |= {name: F.col(f"_at_{name}")[f"_in_{name}"] for name in previous}
         if position:
             final[position] = F.col("_at_position")
@@ -127,6 +134,8 @@ def ordered_scan(
         summary.append(F.sum(f"_in_{name}").alias(f"_tot_{name}"))
     for name in maxima:
         summary.append(F.max(f"_in_{name}").alias(f"_tot_{name}"))
+    for name in peaks:
+        summary.append(F.max(f"_at_{name}").alias(f"_tot_{name}"))
     for name in latest:
         seen = F.when(F.col(f"_in_{name}").isNotNull(), place)
         summary.append(F.max_by(f"_in_{name}", seen).alias(f"_tot_{name}"))
@@ -144,13 +153,18 @@ def ordered_scan(
     carry += [F.lag(f"_tot_{n}").over(across).alias(f"_carry_{n}") for n in previous]
     if position:
         carry.append(F.sum("_tot_position").over(earlier).alias("_carry_position"))
-    joined = attach(scanned, totals.select(*group, BLOCK, *carry), [*group, BLOCK])
+    carried = totals.select(*group, BLOCK, *carry, *[f"_tot_{n}" for n in peaks])
+    high = {n: F.coalesce(F.col(f"_carry_{of}"), F.lit(0)) + F.col(f"_tot_{n}") for n, of in peaks.items()}
+    carried = carried.withColumns({f"_carry_{n}": F.max(e).over(earlier) for n, e in high.items()}).drop(*[f"_tot_{n}" for n in peaks])
+    joined = attach(scanned, carried, [*group, BLOCK])
 
     final = {}
     for name in sums:
         final[name] = F.coalesce(f"_carry_{name}", F.lit(0)) + F.coalesce(f"_at_{name}", F.lit(0))
     for name in maxima:
         final[name] = F.greatest(f"_carry_{name}", f"_at_{name}")
+    for name, of in peaks.items():
+        final[name] = F.greatest(F.col(f"_carry_{name}"), F.coalesce(F.col(f"_carry_{of}"), F.lit(0)) + F.col(f"_at_{name}"))
     for name in latest:
         final[name] = F.coalesce(f"_at_{name}", f"_carry_{name}")
     for name in previous:
@@ -214,6 +228,57 @@ def asof_join(
     return carried.where(F.col("_side") == 1).select("_left.*", payload)
 
 
+def asof_ids(
+    left: DataFrame,
+    right: DataFrame,
+    keys: Sequence[str],
+    left_time: str,
+    right_time: str,
+    *,
+    row_id: str,
+    block_rows: int | None = None,
+    rows: int | None = None,
+) -> DataFrame:
+    """``left`` with ``row_id`` of the newest right row of its key not after it (null if none).
+
+    ``asof_join`` for wide rows: only keys, times and ids go through the shuffle,
+    the sort and the scan; the caller joins whatever it needs by id afterwards. Give
+    ``left`` as the few columns that tell its rows apart. Of right rows of one key
+    and time the greatest id counts.
+    """
+    usable = F.col(right_time).isNotNull()
+    for key in keys:
+        usable = usable & F.col(key).isNotNull()
+    others = [c for c in left.columns if c not in keys]
+    types = {c: left.schema[c].dataType for c in others}
+    left_rows = left.select(*keys, *[F.col(c).alias(f"_l_{c}") for c in others], F.col(left_time).alias("_when"), F.lit(1).alias("_side"), F.lit(None).cast("long").alias("_r_id"))
+    right_rows = right.where(usable).groupBy(*keys, F.col(right_time).alias("_when")).agg(F.max(row_id).alias("_r_id")).select(
+        *keys, *[F.lit(None).cast(t).alias(f"_l_{c}") for c, t in types.items()], "_when", F.lit(0).alias("_side"), "_r_id"
+    )
+    merged = left_rows.unionByName(right_rows)
+    carried = ordered_scan(
+        merged, keys, ["_when", "_side", *[f"_l_{c}" for c in others]], latest={row_id: F.col("_r_id")}, block_rows=block_rows, rows=rows,
+    )
+    return carried.where(F.col("_side") == 1).select(*[F.col(c) if c in keys else F.col(f"_l_{c}").alias(c) for c in left.columns], row_id)
+
+
+def with_row_ids(df: DataFrame, keys: Sequence[str], time: str, row_id: str, *, tiebreak: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """(``df`` with ``row_id``, written once; its keys, time and id, one row per key and time).
+
+    Of rows of one key and time the one with the greatest text of ``tiebreak`` is
+    in the second table. Only such rows have their text looked at.
+    """
+    whole = written(df.withColumn(row_id, F.monotonically_increasing_id()), "rows")
+    slim = whole.select(*keys, time, row_id)
+    moment = [*keys, time]
+    tied = slim.groupBy(*moment).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*moment)
+    if not tiebreak or tied.isEmpty():
+        return whole, slim
+    among = attach(whole, tied.withColumn("_tied", F.lit(True)), moment).where("_tied")
+    best = among.groupBy(*moment).agg(F.max_by(row_id, F.struct(F.to_json(F.struct(*tiebreak)), row_id)).alias("_best"))
+    return whole, attach(slim, best, moment).where(F.col("_best").isNull() | (F.col("_best") == F.col(row_id))).drop("_best")
+
+
 def _struct_ddl(df: DataFrame):
     return df.select(F.struct(*df.columns).alias("s")).schema["s"].dataType
 

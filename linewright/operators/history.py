@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window
@@ -17,7 +19,7 @@ from pyspark.sql import types as T
 from linewright import fixed_values as fixed
 from linewright.functions import pricing
 from linewright.functions.ordered import BLOCK, attach, ordered_scan, range_blocks
-from linewright.session import cut_lineage
+from linewright.session import cut_lineage, new_folder, written
 
 POSITION = "pos"
 
@@ -59,18 +61,23 @@ def chronology_breaks(
 
 
 def training_faults(
-    df: DataFrame, group: Sequence[str], features: Sequence[str], *, target="y", line="line", odds=("over_odds", "under_odds")
+    df: DataFrame, group: Sequence[str], features: Sequence[str], *, target="y", line="line", odds=("over_odds", "under_odds"),
+    time: str | None = None,
 ) -> DataFrame:
-    """Per group: rows, non-finite inputs, odds not above one; ``usable`` says whether fitting may start."""
+    """Per group: rows, non-finite inputs, odds not above one; ``usable`` says whether fitting may start.
+
+    With ``time``, an instant, also ``no_instant``: rows without one (their text has no zone or is no time).
+    """
     finite = pricing.finite(F.col(target)) & pricing.finite(F.col(line))
     for f in features:
         finite = finite & pricing.finite(F.col(f))
     priced = pricing.valid_odds(F.col(odds[0])) & pricing.valid_odds(F.col(odds[1]))
-    return (
-        df.groupBy(*group)
-        .agg(F.count(F.lit(1)).alias("n"), F.count_if(~finite).alias("not_finite"), F.count_if(~priced).alias("bad_odds"))
-        .withColumn("usable", (F.col("n") >= 3) & (F.col("not_finite") == 0) & (F.col("bad_odds") == 0))
-    )
+    counts = [F.count(F.lit(1)).alias("n"), F.count_if(~finite).alias("not_finite"), F.count_if(~priced).alias("bad_odds")]
+    sound = (F.col("n") >= 3) & (F.col("not_finite") == 0) & (F.col("bad_odds") == 0)
+    if time:
+        counts.append(F.count_if(F.col(time).isNull()).alias("no_instant"))
+        sound = sound & (F.col("no_instant") == 0)
+    return df.groupBy(*group).agg(*counts).withColumn("usable", sound)
 
 
 def require_usable(faults: DataFrame) -> None:
@@ -155,28 +162,95 @@ def walk_forward_linear(
     return attach(numbered, fits, [*group, "fold"]).withColumn("prediction", _linear(features, "_beta")).drop("_beta")
 
 
+def _with_labels(estimator: Estimator, target: str) -> Estimator:
+    return estimator.copy({estimator.labelCol: target}) if hasattr(estimator, "labelCol") else estimator
+
+
 def walk_forward_estimator(
     df: DataFrame, features: Sequence[str], config: WalkForward, estimator: Estimator, *, target: str = "y"
 ) -> DataFrame:
-    """The same for any estimator with a prediction column: one distributed fit per fold.
+    """``walk_forward_estimators`` for one series."""
+    key = next(k for k in ("_series", "_series_", "_series__") if k not in df.columns)
+    return walk_forward_estimators(df.withColumn(key, F.lit(0)), [key], features, config, estimator, target=target).drop(key)
+
 
-    ``df`` is one series (one model version); the loop runs over folds, so choose
-    ``test_size`` with the series length. Every fit and prediction is a Spark job
-    over the checkpointed training rows.
+#: Training rows for each task of a fit; a short series is fitted in one task.
+ROWS_PER_FIT_TASK = 50_000
+
+
+def walk_forward_estimators(
+    df: DataFrame, group: Sequence[str], features: Sequence[str], config: WalkForward, estimator: Estimator, *,
+    target: str = "y", parallel: int = 4,
+) -> DataFrame:
+    """The same for any estimator with a prediction column and many series: a distributed fit per (series, fold).
+
+    The rows are written once, partitioned by series and fold, so a fit reads its
+    own past and nothing else; predictions are written per fold. ``parallel`` fits
+    are under way at a time, each on a thread and in a scheduler pool of its own
+    (fair scheduling, where the session has it, keeps a long series from holding up the
+    others). The driver holds one row per fit. Choose ``test_size`` with the length of the
+    series. Adds ``fold`` and ``prediction`` (NULL on rows never predicted, and in
+    folds without a past).
     """
-    ready = cut_lineage(
-        VectorAssembler(inputCols=list(features), outputCol="features").transform(df).withColumn("fold", fold_of(config))
+    spark = df.sparkSession
+    numbered = df.withColumn("fold", fold_of(config))
+    names = numbered.select(*group).distinct().withColumn("_number", F.monotonically_increasing_id())
+    names = written(names, "series")
+    store = written(
+        attach(numbered, names, group), "walk-forward", partition_by=["_number", "fold"],
+        spread=[F.col("_number"), F.col("fold"), F.floor(F.col(POSITION) / ROWS_PER_FIT_TASK)],
     )
-    folds = (ready.agg(F.max("fold")).first()[0] or 0) + 1
-    parts = [ready.where(F.col("fold") < 0).withColumn("prediction", F.lit(None).cast("double"))]
-    fitted = estimator.copy({estimator.labelCol: target}) if hasattr(estimator, "labelCol") else estimator
-    for fold in range(int(folds)):
-        model = fitted.fit(ready.where(F.col("fold") < fold))
-        parts.append(model.transform(ready.where(F.col("fold") == fold)))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.drop("features")
+    sizes = store.groupBy("_number", "fold").agg(F.count(F.lit(1)).alias("n")).collect()
+    count = {(s["_number"], s["fold"]): s["n"] for s in sizes}
+    fits = sorted((number, fold) for number, fold in count if fold >= 0 and any((number, f) in count for f in range(-1, fold)))
+    assembler = VectorAssembler(inputCols=list(features), outputCol="features")
+    learner = _with_labels(estimator, target)
+    folder = new_folder(spark, "predictions")
+
+    def fit(job: tuple[int, int]) -> None:
+        number, fold = job
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"walk-forward-{number}-{fold}")
+        mine = store.where(F.col("_number") == number)
+        past = sum(n for (s, f), n in count.items() if s == number and f < fold)
+        rows = assembler.transform(mine.where(F.col("fold") < fold)).select("features", target)
+        model = learner.fit(rows.coalesce(max(1, -(-past // ROWS_PER_FIT_TASK))))
+        found = model.transform(assembler.transform(mine.where(F.col("fold") == fold)))
+        found.select(*kept, "prediction").write.parquet(f"{folder}/_number={number}/fold={fold}")
+
+    kept = [c for c in store.columns if c not in ("_number", "fold")]
+    with ThreadPoolExecutor(max(1, parallel)) as pool:
+        # Threads start with the properties of this one; the first failure is raised once all are through.
+        for done in [pool.submit(inheritable_thread_target(spark)(fit), job) for job in fits]:
+            done.result()
+    if not fits:
+        return store.select(*df.columns, "fold", F.lit(None).cast("double").alias("prediction"))
+    predicted = spark.createDataFrame(fits, "_number long, fold long")
+    rest = store.join(F.broadcast(predicted), ["_number", "fold"], "left_anti").select(*df.columns, "fold", F.lit(None).cast("double").alias("prediction"))
+    schema = store.withColumn("prediction", F.lit(0.0)).schema
+    return rest.unionByName(spark.read.schema(schema).parquet(folder).select(*df.columns, "fold", "prediction"))
+
+
+def final_models(
+    df: DataFrame, key: str, features: Sequence[str], estimator: Estimator, *, target: str = "y", parallel: int = 4
+) -> dict[str, object]:
+    """The estimator fitted on all rows of each series, several at a time; the driver holds one model per series."""
+    spark = df.sparkSession
+    names = written(df.select(key).distinct().withColumn("_number", F.monotonically_increasing_id()), "series")
+    store = written(
+        attach(df, names, [key]).select("_number", POSITION, *features, target), "training", partition_by=["_number"],
+        spread=[F.col("_number"), F.floor(F.col(POSITION) / ROWS_PER_FIT_TASK)],
+    )
+    assembler = VectorAssembler(inputCols=list(features), outputCol="features")
+    learner = _with_labels(estimator, target)
+
+    def fit(number: int):
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"final-{number}")
+        return learner.fit(assembler.transform(store.where(F.col("_number") == number)).select("features", target))
+
+    known = names.collect()
+    with ThreadPoolExecutor(max(1, parallel)) as pool:
+        done = [pool.submit(inheritable_thread_target(spark)(fit), r["_number"]) for r in known]
+        return {r[key]: d.result() for r, d in zip(known, done)}
 
 
 # ---- pricing by earlier residuals -----------------------------------------------------------------

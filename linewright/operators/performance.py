@@ -109,15 +109,16 @@ def drawdown_path(
 ) -> DataFrame:
     """Bankroll, running peak and drawdown after every settled bet.
 
-    ``starting`` is the opening bankroll column. The peak includes the opening value.
+    ``starting`` is the opening bankroll column, one value per key. The peak includes
+    the opening value. Running sum and running peak come from one scan.
     """
-    path = ordered_scan(settled(bets), keys, order, sums={"_pnl": F.col("profit")}, block_rows=block_rows)
-    path = path.withColumn("bankroll", F.col(starting) + F.col("_pnl")).drop("_pnl")
-    peaks = ordered_scan(path, keys, order, maxima={"_peak": F.col("bankroll")}, block_rows=block_rows)
-    peak = F.greatest(F.col("_peak"), F.col(starting))
-    return peaks.withColumn("running_peak", peak).withColumn(
+    path = ordered_scan(settled(bets), keys, order, sums={"_pnl": F.col("profit")}, peaks={"_peak": "_pnl"}, block_rows=block_rows)
+    path = path.withColumns({
+        "bankroll": F.col(starting) + F.col("_pnl"), "running_peak": F.greatest(F.col(starting) + F.col("_peak"), F.col(starting)),
+    }).drop("_pnl", "_peak")
+    return path.withColumn(
         "drawdown", F.try_divide((F.col("running_peak") - F.col("bankroll")).cast("double"), F.col("running_peak").cast("double"))
-    ).drop("_peak")
+    )
 
 
 def maximum_drawdown(

@@ -2,10 +2,12 @@
 
 from pyspark.sql import functions as F
 
-from linewright.functions.ordered import asof_join
 from linewright.operators import context, decision, gates, report, sizing
+from linewright import fixed_values as fixed
 from linewright.plans import views as v
 from linewright.plans.registry import over, query
+from linewright.session import store_folder
+from linewright.sources import stores
 
 P = v.POLICY
 
@@ -123,13 +125,14 @@ def assembled(spark, sf_dir):
     )
 
 
+def with_books(spark, sf_dir):
+    """Candidates with the portfolio as of their evaluation and nothing else joined."""
+    return decision.as_of(v.paired_documents(spark, sf_dir), v.portfolio_documents(spark, sf_dir))
+
+
 @query("context_status", over(_VIEWS, f"{_ASOF}{_CONTEXT} SELECT candidate_id, context_status, context_codes FROM x"))
 def context_status(spark, sf_dir):
-    docs = v.paired_documents(spark, sf_dir).withColumn("_at", F.expr("try_to_timestamp(evaluated_at)"))
-    known = asof_join(
-        docs.withColumn("event_id", F.col("market.event_id")), v.context_documents(spark, sf_dir).drop("k"),
-        ["event_id"], "_at", "context_at", payload="_row", tiebreak=["context"],
-    ).withColumn("context", F.col("_row.context"))
+    known = decision.as_of(v.paired_documents(spark, sf_dir), contexts=v.context_documents(spark, sf_dir).drop("k"))
     rows = context.with_context_status(known, "policy.freshness_seconds.mlb_context")
     return rows.select("candidate_id", "context_status", joined("context_codes"))
 
@@ -142,14 +145,14 @@ _FRESH = [
 
 @query("freshness_gate", over(_VIEWS, f"{_ASOF}{_CONTEXT} SELECT candidate_id, {_codes(*_FRESH)} AS codes FROM x"))
 def freshness_gate(spark, sf_dir):
-    return gates.with_gate(assembled(spark, sf_dir), "codes", gates.freshness_codes()).select("candidate_id", joined("codes"))
+    return gates.with_gate(with_books(spark, sf_dir), "codes", gates.freshness_codes()).select("candidate_id", joined("codes"))
 
 
 @query("portfolio_scope_gate", over(_VIEWS, f"""{_ASOF}{_CONTEXT}
     SELECT candidate_id, {_codes(_case("league IS NULL OR league <> competition OR correlation_group IS DISTINCT FROM CASE WHEN league IS NULL THEN NULL ELSE correlation_key END", "DOMAIN_MISMATCH"),
       _case("correlation_group IS NULL", "UNKNOWN_CORRELATION"))} AS codes FROM x"""))
 def portfolio_scope_gate(spark, sf_dir):
-    return gates.with_gate(assembled(spark, sf_dir), "codes", gates.scope_codes()).select("candidate_id", joined("codes"))
+    return gates.with_gate(with_books(spark, sf_dir), "codes", gates.scope_codes()).select("candidate_id", joined("codes"))
 
 
 _HARD = _codes(
@@ -192,8 +195,11 @@ _DECIDED = f"""{_ASOF}{_CONTEXT}
 
 
 def decided(spark, sf_dir):
-    """All decisions, written once and held to their contract."""
-    return decision.enforced(decision.decide(decision.with_contract_gate(assembled(spark, sf_dir))))
+    """All decisions, built once for a state of the tables and a formula, held to their contract on every reading."""
+    inputs = [v.table(spark, sf_dir, t) for t in v.tables_of(v.candidates, v.portfolios, v.contexts)]
+    key = stores.content_key(decision.FORMULA, fixed.NAMESPACE, v.policy_struct(), *[stores.input_version(t) for t in inputs])
+    build = lambda: decision.decide(decision.with_contract_gate(assembled(spark, sf_dir)))
+    return decision.upheld(stores.built_once(spark, store_folder(spark, "decisions"), key, build))
 
 
 @query("decision_table", over(_VIEWS, f"""{_DECIDED}
@@ -272,7 +278,7 @@ def five_cap_sizing(spark, sf_dir):
     SELECT candidate_id, drawdown_fraction, CASE WHEN drawdown_fraction >= {P['pause']:e} THEN 'DRAWDOWN_PAUSE' WHEN drawdown_fraction >= {P['review']:e} THEN 'DRAWDOWN_REVIEW'
       WHEN drawdown_fraction >= {P['warning']:e} THEN 'DRAWDOWN_WARNING' END AS drawdown_code FROM x"""))
 def drawdown_control(spark, sf_dir):
-    return assembled(spark, sf_dir).select(
+    return with_books(spark, sf_dir).select(
         "candidate_id", F.col("portfolio.drawdown_fraction").alias("drawdown_fraction"), F.expr(sizing.drawdown_codes()).alias("drawdown_code")
     )
 

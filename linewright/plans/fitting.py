@@ -6,7 +6,6 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import Estimator
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,19 +34,19 @@ class FittedHistory:
     calibrators: DataFrame
     evaluated: DataFrame  # one per evaluated row: calibrated and market probability
     report: DataFrame  # fault, scorecard, status, window bounds, training cutoff
-    model: object | None = None
+    models: dict[str, object] | None = None
 
 
 def fit_history(
     df: DataFrame, features: Sequence[str], config: history.WalkForward, *, key: str = "model_version",
     order: Sequence[str] = ("ts",), time: str = "ts", estimator: Estimator | None = None, block_rows: int = 200_000,
-    strict: bool = True,
+    strict: bool = True, parallel: int = 4,
 ) -> FittedHistory:
     """Walk forward, price by earlier residuals, calibrate walk-forward, score against the market.
 
     Without ``estimator`` the least-squares baseline is fitted for all versions
-    at once. With one, ``df`` must hold a single version and every fold is an MLlib
-    fit. A version is faulty (``report.fault``, a code of ``FAULTS``) when its values are
+    at once. With one, every fold of every version is an MLlib fit, and ``model`` holds the final
+    one of each version by name. A version is faulty (``report.fault``, a code of ``FAULTS``) when its values are
     unusable, its times do not strictly increase, or its history is too short for
     its settings or its calibration. ``strict`` ends the job on the first faulty
     version; else such versions are rows of the report and of no other table.
@@ -68,14 +67,14 @@ def fit_history(
     def sound(table: DataFrame) -> DataFrame:
         return attach(table, found.select(key).distinct().withColumn("_faulty", F.lit(True)), group).where("_faulty IS NULL").drop("_faulty")
 
-    note(history.training_faults(rows, group, features).where(~F.col("usable")), "training.unusable")
+    note(history.training_faults(rows, group, features, time=time).where(~F.col("usable")), "training.unusable")
     note(history.chronology_breaks(sound(rows), group, [history.POSITION], time), "chronology.not_increasing")
     note(sound(versions).where(F.col("training_rows") <= config.min_train_size), "history.no_test_rows")
     rows = cut_lineage(sound(rows))
     if estimator is None:
         predictions = cut_lineage(history.walk_forward_linear(rows, group, features, config))
     else:
-        predictions = cut_lineage(history.walk_forward_estimator(rows, features, config, estimator))
+        predictions = cut_lineage(history.walk_forward_estimators(rows, group, features, config, estimator, parallel=parallel))
     priced = cut_lineage(history.priced_history(predictions, group, config, block_rows=block_rows))
     counted = attach(sound(versions), priced.groupBy(key).agg(F.count("raw").alias("_priced")), group)
     note(counted.where(F.coalesce("_priced", F.lit(0)) <= config.min_calibration_history), "history.too_few_priced")
@@ -102,11 +101,8 @@ def fit_history(
     )
     bounds = evaluated.groupBy(key).agg(F.min(time).alias("validation_period_start"), F.max(time).alias("validation_period_end"))
     report = attach(attach(attach(versions, found, group), card, group), bounds, group)
-    model = None
-    if estimator is not None:
-        ready = VectorAssembler(inputCols=list(features), outputCol="features").transform(rows)
-        model = estimator.copy({estimator.labelCol: "y"}).fit(ready)
-    return FittedHistory(sound(predictions), residuals, residual_versions, calibrators, evaluated, report, model)
+    models = None if estimator is None else history.final_models(sound(rows), key, features, estimator, parallel=parallel)
+    return FittedHistory(sound(predictions), residuals, residual_versions, calibrators, evaluated, report, models)
 
 
 def bundle_tables(fitted: FittedHistory) -> dict[str, DataFrame]:

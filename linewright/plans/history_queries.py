@@ -1,9 +1,11 @@
 """Walk-forward predictions, residual pricing, calibration and exact-line scores."""
 
 from pyspark.ml.regression import GBTRegressor
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from linewright import fixed_values as fixed
+from linewright.functions.moments import zoned_instant
 from linewright.operators import calibration, history, metrics, scoring
 from linewright.plans import fitting
 from linewright.plans import views as v
@@ -69,20 +71,29 @@ def _logit(p: str) -> str:
 # ---- queries ------------------------------------------------------------------------------------------
 
 
+# Times as text, on hours so that there are breaks to find; every 47th event's text has no zone.
+_HOUR_TEXT = {d.name: f"concat(substring({d.iso('ts')}, 1, 13), ':00:00', CASE WHEN event_id % 47 = 0 THEN '' ELSE 'Z' END)" for d in (v.SPARK, v.DUCK)}
+
+
+def timed_by_text(rows):
+    """``rows`` with ``instant``, read from the text as the training source reads it."""
+    return rows.withColumn("instant", zoned_instant(F.expr(_HOUR_TEXT["spark"])))
+
+
 @query("chronology_check", over({"h": v.history}, f"""
     SELECT grp, event_id, pos FROM (SELECT *, lag(user_time) OVER (PARTITION BY grp ORDER BY pos) AS previous
-      FROM (SELECT *, date_trunc('hour', ts) AS user_time FROM ({_POS}) p) a) b WHERE user_time <= previous"""))
+      FROM (SELECT *, CASE WHEN event_id % 47 <> 0 THEN date_trunc('hour', ts) END AS user_time FROM ({_POS}) p) a) b WHERE user_time IS NULL OR user_time <= previous"""))
 def chronology_check(spark, sf_dir):
-    """On hours, so that there are breaks to find."""
-    rows = series(spark, sf_dir).withColumn("hour", F.date_trunc("hour", F.col("ts").cast("timestamp")))
-    return history.chronology_breaks(rows, ["grp"], ["pos"], "hour").select("grp", "event_id", "pos")
+    """Hours that do not increase, and times without a zone."""
+    return history.chronology_breaks(timed_by_text(series(spark, sf_dir)), ["grp"], ["pos"], "instant").select("grp", "event_id", "pos")
 
 
 @query("training_faults", over({"h": v.history}, """
     SELECT grp, count(*) AS n, CAST(0 AS BIGINT) AS not_finite, count(*) FILTER (WHERE over_odds <= 1 OR under_odds <= 1) AS bad_odds,
-      count(*) >= 3 AND count(*) FILTER (WHERE over_odds <= 1 OR under_odds <= 1) = 0 AS usable FROM h GROUP BY grp"""))
+      count(*) FILTER (WHERE event_id % 47 = 0) AS no_instant,
+      count(*) >= 3 AND count(*) FILTER (WHERE over_odds <= 1 OR under_odds <= 1 OR event_id % 47 = 0) = 0 AS usable FROM h GROUP BY grp"""))
 def training_faults(spark, sf_dir):
-    return history.training_faults(v.view(spark, sf_dir, v.history(v.SPARK)), ["grp"], ["x"])
+    return history.training_faults(timed_by_text(v.view(spark, sf_dir, v.history(v.SPARK))), ["grp"], ["x"], time="instant")
 
 
 @query("walk_forward_linear", over({"h": v.history}, f"""
@@ -203,23 +214,29 @@ def validation_scorecard(spark, sf_dir):
 _EPOCH = v.DUCK.epoch
 
 
+_HOURLY, _DEAD, _SHORT = "click, hourly", "error, dead prices", "signup, short"
+_SHORT_ROWS = 45
+
+
 @query("fit_report", over({"h": v.history}, f"""
     , {_PREDICTED}{_OOS}{_COUNTED}{_WALKED}
-    , good AS (SELECT walked.*, ts FROM walked JOIN pred USING (grp, pos) WHERE grp NOT IN ('click', 'signup', 'error'))
     , card AS (SELECT grp, count(*) AS sample_size, round(avg((calibrated - outcome) * (calibrated - outcome)), 6) AS model_brier_score,
-        {_EPOCH('min(ts)')} AS first_validated, {_EPOCH('max(ts)')} AS last_validated FROM good GROUP BY grp)
-    , versions AS (SELECT grp, count(*) AS training_rows, {_EPOCH("max(CASE WHEN grp = 'click' THEN date_trunc('hour', ts) ELSE ts END)")} AS training_cutoff
-        FROM pred WHERE grp <> 'signup' OR pos < 45 GROUP BY grp)
-    SELECT grp, training_rows, training_cutoff,
-      CASE grp WHEN 'error' THEN 'training.unusable' WHEN 'click' THEN 'chronology.not_increasing' WHEN 'signup' THEN 'history.too_few_priced' END AS fault,
-      sample_size, model_brier_score, first_validated, last_validated FROM versions LEFT JOIN card USING (grp)"""))
+        {_EPOCH('min(ts)')} AS first_validated, {_EPOCH('max(ts)')} AS last_validated FROM walked JOIN pred USING (grp, pos) GROUP BY grp)
+    , versions AS (
+        SELECT grp, count(*) AS training_rows, {_EPOCH('max(ts)')} AS training_cutoff, CAST(NULL AS VARCHAR) AS fault FROM pred GROUP BY grp
+        UNION ALL SELECT '{_HOURLY}', count(*), {_EPOCH("max(date_trunc('hour', ts))")}, 'chronology.not_increasing' FROM pred WHERE grp = 'click'
+        UNION ALL SELECT '{_DEAD}', count(*), {_EPOCH('max(ts)')}, 'training.unusable' FROM pred WHERE grp = 'error'
+        UNION ALL SELECT '{_SHORT}', count(*), {_EPOCH('max(ts)')}, 'history.too_few_priced' FROM pred WHERE grp = 'signup' AND pos < {_SHORT_ROWS})
+    SELECT grp, training_rows, training_cutoff, fault, sample_size, model_brier_score, first_validated, last_validated FROM versions LEFT JOIN card USING (grp)"""))
 def fit_report(spark, sf_dir):
-    """The whole fit, a row per version: one with dead prices, one with repeated times, one cut short, the others sound."""
-    hour = F.date_trunc("hour", F.col("ts").cast("timestamp")).cast("timestamp_ntz")
-    rows = series(spark, sf_dir).where("grp <> 'signup' OR pos < 45").withColumns({
-        "ts": F.when(F.col("grp") == "click", hour).otherwise(F.col("ts").cast("timestamp_ntz")),
-        "over_odds": F.when(F.col("grp") == "error", 1.0).otherwise(F.col("over_odds")),
-    })
+    """The whole fit of every series, and of three faulty copies: one on hours, one with dead prices, one that ends early."""
+    rows = series(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    copy = lambda grp, name: rows.where(F.col("grp") == grp).withColumn("grp", F.lit(name))
+    rows = (
+        rows.unionByName(copy("click", _HOURLY).withColumn("ts", F.date_trunc("hour", F.col("ts").cast("timestamp")).cast("timestamp_ntz")))
+        .unionByName(copy("error", _DEAD).withColumn("over_odds", F.lit(1.0)))
+        .unionByName(copy("signup", _SHORT).where(F.col("pos") < _SHORT_ROWS))
+    )
     report = fitting.fit_history(rows, ["x"], CONFIG, key="grp", order=("ts", "event_id"), strict=False).report
     return report.select(
         "grp", "training_rows", F.expr(v.SPARK.epoch("training_cutoff_at")).alias("training_cutoff"), "fault", "sample_size",
@@ -228,15 +245,32 @@ def fit_report(spark, sf_dir):
     )
 
 
-@query("walk_forward_gbt")
+#: Test folds of a series of average length, and how far the trees' squared error may lie over that of the mean of the past.
+TREE_FOLDS, TREE_ERROR = 2, 1.5
+
+
+@query("walk_forward_gbt", over({"h": v.history}, f"""
+    , s AS (SELECT greatest(2, CAST(ceil(avg(n) / {TREE_FOLDS + 1}e0) AS BIGINT)) AS size FROM (SELECT count(*) AS n FROM h GROUP BY grp) c)
+    , f AS (SELECT p.*, size, CASE WHEN pos < size THEN -1 ELSE CAST(floor((pos - size) / CAST(size AS DOUBLE)) AS BIGINT) END AS fold FROM ({_POS}) p, s)
+    SELECT grp, fold, count(*) AS n, CASE WHEN fold >= 0 THEN min(pos) ELSE 0 END AS trained_on, min(pos) AS first_pos, max(pos) AS last_pos, sum(event_id)::BIGINT AS events,
+      CASE WHEN fold >= 0 THEN count(*) ELSE 0 END AS predicted, fold >= 0 AS within_bound FROM f GROUP BY grp, fold"""))
 def walk_forward_gbt(spark, sf_dir):
-    """Boosted trees on one series of all events, four folds; fewer trees than the default."""
-    rows = history.with_position(
-        v.view(spark, sf_dir, v.history(v.SPARK)).withColumn("model_version", F.lit("all")), ["model_version"], ["ts", "event_id"]
+    """Boosted trees at their fixed settings over every series: the rows of each fold, what it was fitted on, and its error against the bound."""
+    rows = cut_lineage(series(spark, sf_dir))
+    size = max(2, rows.groupBy("grp").count().agg(F.ceil(F.avg("count") / (TREE_FOLDS + 1))).first()[0])
+    config = history.WalkForward(min_train_size=size, test_size=size)
+    out = history.walk_forward_estimators(
+        rows, ["grp"], ["x", "line"], config, GBTRegressor(**fixed.BOOSTED_TREES), parallel=spark.sparkContext.defaultParallelism,
+    )
+    folds = out.groupBy("grp", "fold").agg(
+        F.count(F.lit(1)).alias("n"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), F.sum("event_id").alias("events"),
+        F.count("prediction").alias("predicted"), F.sum("y").alias("_y"), F.sum(F.col("y") * F.col("y")).alias("_yy"),
+        F.sum((F.col("y") - F.col("prediction")) ** 2).alias("_error"),
     )
-    total = rows.count()
-    config = history.WalkForward(min_train_size=total // 5, test_size=-(-total // 5))
-    settings = {**fixed.BOOSTED_TREES, "maxIter": 5}
-    return history.walk_forward_estimator(rows, ["x", "line"], config, GBTRegressor(**settings)).select(
-        "event_id", "pos", "fold", "prediction"
+    past = Window.partitionBy("grp").orderBy("fold").rowsBetween(Window.unboundedPreceding, -1)
+    folds = folds.withColumns({"trained_on": F.coalesce(F.sum("n").over(past), F.lit(0)), "_mean": F.sum("_y").over(past) / F.sum("n").over(past)})
+    spread = F.col("_yy") - 2 * F.col("_mean") * F.col("_y") + F.col("n") * F.col("_mean") ** 2
+    return folds.select(
+        "grp", "fold", "n", "trained_on", "first_pos", "last_pos", "events", "predicted",
+        F.coalesce((F.col("fold") >= 0) & (F.col("_error") <= TREE_ERROR * spread), F.lit(False)).alias("within_bound"),
     )

@@ -51,6 +51,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tables_of(*views) -> list[str]:
+    """The tables that views read."""
+    texts = [view(SPARK) for view in views]
+    return [t for t in TABLES if any("{" + t + "}" in text for text in texts)]
+
+
 def view(spark: SparkSession, sf_dir: str, sql: str, *, spread: str | None = None) -> DataFrame:
     """Run a view. ``spread`` names the driving table of CPU-heavy work after it."""
     used = {t: table(spark, sf_dir, t) for t in TABLES if "{" + t + "}" in sql}

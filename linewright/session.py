@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", *, partitions: int = 8, app: str = "linewright") -> SparkSession:
@@ -35,6 +37,35 @@ def _ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared checkpoint folder."""
+    _ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/linewright-{name}-{uuid.uuid4().hex}"
+
+
+def store_folder(spark: SparkSession, name: str) -> str:
+    """A folder that later queries, and later sessions with the same ``spark.checkpoint.dir``, find again.
+
+    Without that setting (a local master only) it lasts as long as the session.
+    """
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return f"{shared}/linewright-{name}"
+    _ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/linewright-{name}"
+
+
+def written(df: DataFrame, name: str, *, partition_by: Sequence[str] = (), spread: Sequence[Column | str] = ()) -> DataFrame:
+    """Write ``df`` as a table in the shared checkpoint folder and read it from there.
+
+    ``partition_by``: columns that become folders, so that filters on them read no
+    other rows. ``spread``: what to shuffle by first, so that a folder gets few files.
+    """
+    path = new_folder(df.sparkSession, name)
+    (df.repartition(*spread) if spread else df).write.partitionBy(*partition_by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder once and read it from there.
 

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from linewright import schemas
 from linewright.operators import contracts, decision
+from linewright.plans import catalog as decision_queries
+from linewright.plans import views
 from linewright.session import cut_lineage
 
 TYPES = {
@@ -122,3 +124,66 @@ def test_doubling_the_bankroll_doubles_a_kelly_stake(spark):
 def test_same_input_same_identity(spark):
     first, second = decide(spark, [{}, {}])
     assert first.decision_id == second.decision_id and first.audit == second.audit
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def nodes(plan):
+    out, waiting = [], [plan]
+    while waiting:
+        node = waiting.pop()
+        out.append(node)
+        children = node.children()
+        waiting += [children.apply(i) for i in range(children.size())]
+    return out
+
+
+def test_no_document_in_a_sort_or_window_of_the_asof_joins(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        known = decision.as_of(
+            cut_lineage(views.market_documents(spark, SF)), views.portfolio_documents(spark, SF), views.context_documents(spark, SF).drop("k"),
+        )
+        assert {"portfolio", "context", "market"} <= set(known.columns)
+        seen = nodes(known._jdf.queryExecution().executedPlan())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    kinds = [n.getClass().getSimpleName() for n in seen]
+    assert "WindowExec" in kinds and "ShuffledHashJoinExec" in kinds and "SortMergeJoinExec" not in kinds
+    for node, kind in zip(seen, kinds):
+        if kind in ("SortExec", "WindowExec"):
+            output = node.output()
+            types = [output.apply(i).dataType().simpleString() for i in range(output.size())]
+            assert not any("struct" in t or "map" in t for t in types), types
+
+
+@pytest.mark.parametrize("block_rows", [None, 37])
+def test_documents_as_of_the_evaluation(spark, block_rows):
+    """Against a plain search: the newest portfolio and context of the key, ties by text, none for null or unreadable times."""
+    at = "2026-01-01T00:00:{:02d}Z"
+    markets = [(i, (f"e{i % 4}" if i % 9 else None,), at.format(i % 60) if i % 11 else "soon", f"p{i % 3}", "g" if i % 7 else None) for i in range(120)]
+    books = [(f"p{n % 3}", "g", (n, n % 5), at.format(n * 3 % 60)) for n in range(40)] + [("p0", "g", (99, 0), None), (None, "g", (98, 0), at.format(1))]
+    sports = [(f"e{n % 4}", (n,), at.format(n * 7 % 60)) for n in range(25)]
+    market_rows = spark.createDataFrame(markets, "candidate_id int, market struct<event_id:string>, evaluated_at string, portfolio_id string, correlation_key string")
+    book_rows = spark.createDataFrame(books, "portfolio_id string, correlation_key string, portfolio struct<n:int,m:int>, t string").select("portfolio_id", "correlation_key", "portfolio", F.expr("try_to_timestamp(t)").alias("portfolio_at"))
+    sport_rows = spark.createDataFrame(sports, "event_id string, context struct<n:int>, t string").select("event_id", "context", F.expr("try_to_timestamp(t)").alias("context_at"))
+    got = {r.candidate_id: (tuple(r.portfolio) if r.portfolio else None, tuple(r.context) if r.context else None) for r in decision.as_of(market_rows, book_rows, sport_rows, block_rows=block_rows).collect()}
+    text = lambda names, values: json.dumps(dict(zip(names, values)), separators=(",", ":"))
+    for i, (event,), when, book, group in markets:
+        fits = [(t, text("nm", p), p) for b, g, p, t in books if t and when != "soon" and (b, g) == (book, group) and t <= when]
+        plays = [(t, text("n", c), c) for e, c, t in sports if when != "soon" and e == event and t <= when]
+        assert got[i] == (max(fits)[2] if fits else None, max(plays)[2] if plays else None)
+
+
+def test_decision_queries_read_one_table(spark, monkeypatch):
+    """The table is built for a state of its inputs and a formula, and not again."""
+    built = []
+    plain = decision.decide
+    monkeypatch.setattr(decision, "decide", lambda df, **more: built.append(1) or plain(df, **more))
+    monkeypatch.setattr(decision, "FORMULA", "test-of-one-build")
+    for name in ("stake_caps", "scan_summary", "decision_report"):
+        assert decision_queries.QUERIES[name](spark, SF).count() > 0
+    assert len(built) == 1

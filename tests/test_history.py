@@ -1,5 +1,6 @@
 import math
 import random
+from functools import reduce
 
 import numpy as np
 import pytest
@@ -57,6 +58,34 @@ def test_estimator_walk_forward_agrees_with_the_baseline(spark):
     assert all(other[p] is None if v is None else other[p] == pytest.approx(v, abs=1e-6) for p, v in base.items())
 
 
+def test_estimators_over_many_series(spark, monkeypatch):
+    """Several series of unequal length at once equal each series on its own; one without enough rows is not predicted; a failing fit ends the job."""
+    monkeypatch.setattr(history, "ROWS_PER_FIT_TASK", 16)
+    sizes = {"a": 60, "b": 47, "c": 20, None: 41}
+    parts = [history.with_position(series(spark, n, "s", seed=i), ["model_version"], ["ts"]).withColumn("model_version", F.lit(name)) for i, (name, n) in enumerate(sizes.items())]
+    df = reduce(lambda x, y: x.unionByName(y), parts)
+    config = history.WalkForward(min_train_size=20, test_size=11)
+    out = history.walk_forward_estimators(df, ["model_version"], ["a", "b"], config, LinearRegression(solver="normal"), parallel=3)
+    assert out.columns == [*df.columns, "fold", "prediction"]
+    got = {(r.model_version, r.pos): (r.fold, r.prediction) for r in out.collect()}
+    base = history.walk_forward_linear(df, ["model_version"], ["a", "b"], config).collect()
+    assert len(got) == sum(sizes.values()) == len(base)
+    for r in base:
+        fold, prediction = got[r.model_version, r.pos]
+        assert fold == r.fold and (prediction is None if r.prediction is None else prediction == pytest.approx(r.prediction, abs=1e-6))
+    with pytest.raises(Exception, match="(?i)no_such_solver|solver"):
+        history.walk_forward_estimators(df, ["model_version"], ["a", "b"], config, LinearRegression(solver="no_such_solver"))
+
+
+def test_final_models_of_many_series(spark):
+    df = history.with_position(series(spark, 40, "v1").unionByName(series(spark, 40, "v2", seed=8)), ["model_version"], ["ts"])
+    models = history.final_models(df, "model_version", ["a", "b"], LinearRegression(solver="normal"))
+    fits = {r.model_version: r.beta for r in history.fit_linear(df, ["model_version"], ["a", "b"]).collect()}
+    assert set(models) == set(fits)
+    for name, beta in fits.items():
+        assert [models[name].intercept, *models[name].coefficients] == pytest.approx(list(beta), abs=1e-6)
+
+
 def test_checks_find_breaks_and_faults(spark, small_blocks):
     df = spark.createDataFrame([("g", i, t) for i, t in enumerate([1, 2, 2, 5, 4, 6] + list(range(7, 107)))], "g string, pos long, t int")
     assert sorted(r.pos for r in history.chronology_breaks(df, ["g"], ["pos"], "t").collect()) == [2, 4]

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from linewright.functions.ordered import asof_join, latest_per_key, ordered_scan
+from linewright.functions.ordered import asof_ids, asof_join, latest_per_key, ordered_scan, with_row_ids
 from linewright.operators import performance
 
 
@@ -48,6 +48,47 @@ def test_ordered_scan_equals_brute_force(spark, block_rows):
     assert got == brute(data)
 
 
+@pytest.mark.parametrize("block_rows", [10_000, 37])
+def test_running_peaks_of_a_sum_in_one_scan(spark, block_rows):
+    data = rows(seed=9)
+    df = spark.createDataFrame(data, "g string, t int, id int, v int").repartition(6)
+    scan = ordered_scan(df, ["g"], ["t", "id"], sums={"s": F.col("v")}, peaks={"peak": "s"}, block_rows=block_rows, rows=len(data))
+    want, high = {}, {}
+    for g, t, i, v in sorted(data, key=lambda r: (str(r[0]), r[1], r[2])):
+        total, top = high.get(g, (0, None))
+        total += v or 0
+        top = total if top is None else max(top, total)
+        high[g] = want[i] = total, top
+    assert {r["id"]: (r["s"], r["peak"]) for r in scan.collect()} == want
+    with pytest.raises(ValueError):
+        ordered_scan(df, ["g"], ["t"], sums={"s": F.col("v")}, peaks={"p": "s"}, before=True)
+
+
+def test_drawdown_path_shuffles_its_rows_once(spark):
+    """In one block: a single exchange and a single sort of the rows for sum and peak together."""
+    bets = spark.createDataFrame([("p", i, "WIN", i % 7 - 3, 1000) for i in range(50)], "k string, i int, result string, profit int, opening int")
+    path = performance.drawdown_path(bets, ["k"], ["i"], starting="opening", block_rows=1000)
+    plan = path._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Window [") + plan.count("Window(") >= 1
+    executed = path._jdf.queryExecution().executedPlan().toString()
+    assert executed.count("Exchange hashpartitioning") == 1 and executed.count("+- Sort [") + executed.count("- *(1) Sort [") <= 1
+
+
+@pytest.mark.parametrize("block_rows", [10_000, 37])
+def test_asof_ids_choose_as_the_join_of_whole_rows(spark, block_rows):
+    """The same right rows as ``asof_join``, ties by text; wide columns stay out of the scan."""
+    rnd = random.Random(6)
+    left = [(i, rnd.choice(["x", "y", "z", None]), rnd.randrange(60)) for i in range(300)] + [(900, "x", None)]
+    right = [(rnd.choice(["x", "y", None]), rnd.choice([None, *range(60)]), rnd.randrange(1000)) for _ in range(200)]
+    ldf = spark.createDataFrame(left, "id int, k string, t int")
+    rdf = spark.createDataFrame(right, "k string, at int, n int")
+    want = {r["id"]: r["m"]["n"] if r["m"] else None for r in asof_join(ldf, rdf, ["k"], "t", "at", payload="m", tiebreak=["n"], block_rows=block_rows).collect()}
+    whole, slim = with_row_ids(rdf, ["k"], "at", "row", tiebreak=["n"])
+    assert slim.columns == ["k", "at", "row"] and whole.count() == 200
+    found = asof_ids(ldf, slim, ["k"], "t", "at", row_id="row", block_rows=block_rows)
+    assert {r["id"]: r["n"] for r in found.join(whole.select("row", "n"), "row", "left").collect()} == want
+
+
 @pytest.mark.parametrize("block_rows", [10_000, 37])
 def test_asof_join_takes_the_newest_not_later(spark, block_rows):
     rnd = random.Random(5)
