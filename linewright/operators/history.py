@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +20,7 @@ from pyspark.sql import types as T
 from linewright import fixed_values as fixed
 from linewright.functions import pricing
 from linewright.functions.ordered import BLOCK, attach, ordered_scan, range_blocks
+from linewright.functions.trees import BoostedTrees, TreeSettings
 from linewright.session import cut_lineage, new_folder, written
 
 POSITION = "pos"
@@ -230,6 +232,56 @@ def walk_forward_estimators(
     return rest.unionByName(spark.read.schema(schema).parquet(folder).select(*df.columns, "fold", "prediction"))
 
 
+#: Rows of a series up to which its folds are fitted inside tasks, and folds that share one copy of their past.
+ROWS_PER_SERIES, FOLDS_PER_TASK = 1_000_000, 8
+
+
+def walk_forward_trees(
+    df: DataFrame, group: Sequence[str], features: Sequence[str], config: WalkForward, *, target: str = "y",
+    settings: Mapping[str, object] = fixed.BOOSTED_TREES, most_rows: int = ROWS_PER_SERIES, parallel: int = 4,
+) -> DataFrame:
+    """The same with boosted trees, any number of series and folds at once.
+
+    A series of at most ``most_rows`` rows is fitted inside tasks: a task gets a few
+    folds of one series and, once for all of them, the rows before. All such fits of all
+    series are one job. A longer series goes to MLlib's trees with the same settings, a
+    distributed fit per fold (``walk_forward_estimators``). Adds ``fold`` and
+    ``prediction`` (NULL on rows never predicted, and in folds without a past).
+    """
+    numbered = df.withColumn("fold", fold_of(config))
+    sizes = numbered.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), F.max("fold").alias("_last"))
+    sized = cut_lineage(attach(numbered, sizes, group))
+    short = sized.where(F.col("_n") <= most_rows)
+    chunk = F.explode(F.expr(f"sequence(cast(greatest(fold, 0) div {FOLDS_PER_TASK} as int), cast(greatest(_last, 0) div {FOLDS_PER_TASK} as int))"))
+    trees = BoostedTrees(TreeSettings(
+        trees=settings["maxIter"], rate=settings["stepSize"], depth=settings["maxDepth"], least_rows=settings["minInstancesPerNode"],
+        row_share=settings["subsamplingRate"], column_share=float(settings["featureSubsetStrategy"]), seed=settings["seed"],
+    ))
+    names = list(features)
+
+    def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(POSITION, kind="stable")
+        own = np.maximum(rows["fold"].to_numpy(), 0) // FOLDS_PER_TASK == key[-1]
+        x, y, fold = rows[names].to_numpy(float), rows[target].to_numpy(float), rows["fold"].to_numpy()
+        found = []
+        for f in np.unique(fold[own & (fold >= 0)]):
+            past, now = fold < f, fold == f
+            if past.any():
+                made = BoostedTrees(trees.settings).fit(x[past], y[past]).predict(x[now])
+                found.append(rows.loc[now, [*group, POSITION]].assign(prediction=made))
+        return pd.concat(found) if found else rows.iloc[:0][[*group, POSITION]].assign(prediction=np.zeros(0))
+
+    schema = T.StructType([*[sized.schema[g] for g in group], sized.schema[POSITION], T.StructField("prediction", T.DoubleType())])
+    shipped = short.select(*group, POSITION, "fold", *names, target, chunk.alias("_chunk"))
+    made = shipped.groupBy(*group, "_chunk").applyInPandas(fit, schema)
+    out = attach(short.drop("_n", "_last"), made, [*group, POSITION])
+    long = sized.where(F.col("_n") > most_rows)
+    if long.isEmpty():
+        return out
+    distributed = walk_forward_estimators(long.select(*df.columns), group, features, config, GBTRegressor(**settings), target=target, parallel=parallel)
+    return out.unionByName(distributed)
+
+
 def final_models(
     df: DataFrame, key: str, features: Sequence[str], estimator: Estimator, *, target: str = "y", parallel: int = 4
 ) -> dict[str, object]:

@@ -9,6 +9,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
+from linewright import fixed_values as fixed
+from linewright.functions import trees
 from linewright.operators import calibration, history, metrics, scoring
 from linewright.plans import fitting
 from linewright.sources import stores
@@ -77,6 +79,77 @@ def test_estimators_over_many_series(spark, monkeypatch):
         history.walk_forward_estimators(df, ["model_version"], ["a", "b"], config, LinearRegression(solver="no_such_solver"))
 
 
+def slow_trees(x, y, s, new):
+    """Trees grown by trying every cut of every drawn column, node by node."""
+    rng = np.random.default_rng(s.seed)
+    value, out = np.full(len(y), y.mean()), np.full(len(new), y.mean())
+
+    def grow(rows, rest, columns, depth):
+        best = (1e-12, None, None)
+        for j in columns if depth else ():
+            for a, b in zip(*(lambda v: (v[:-1], v[1:]))(np.unique(x[:, j]))):
+                left = [r for r in rows if x[r, j] <= (a + b) / 2]
+                right = [r for r in rows if x[r, j] > (a + b) / 2]
+                if min(len(left), len(right)) < s.least_rows:
+                    continue
+                score = lambda part: sum(rest[r] for r in part) ** 2 / (len(part) + s.penalty)
+                gain = score(left) + score(right) - score(rows)
+                if gain > best[0] + 1e-9:
+                    best = gain, j, (a + b) / 2
+        if best[1] is None:
+            return s.rate * sum(rest[r] for r in rows) / (len(rows) + s.penalty)
+        _, j, cut = best
+        return j, cut, grow([r for r in rows if x[r, j] <= cut], rest, columns, depth - 1), grow([r for r in rows if x[r, j] > cut], rest, columns, depth - 1)
+
+    def leaf(tree, row):
+        while isinstance(tree, tuple):
+            tree = tree[2] if row[tree[0]] <= tree[1] else tree[3]
+        return tree
+
+    for _ in range(s.trees):
+        rows = [r for r, u in enumerate(rng.random(len(y))) if u < s.row_share]
+        columns = sorted(rng.permutation(x.shape[1])[: max(1, int(s.column_share * x.shape[1]))])
+        tree = grow(rows, y - value, columns, s.depth)
+        value = value + [leaf(tree, row) for row in x]
+        out = out + [leaf(tree, row) for row in new]
+    return out
+
+
+@pytest.mark.parametrize("shares", [(1.0, 1.0), (0.8, 0.7)])
+def test_trees_equal_slow_ones(shares):
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(size=(45, 3)), 1)
+    y = x[:, 0] ** 2 - 2 * x[:, 1] + rng.normal(size=45) / 3
+    s = trees.TreeSettings(trees=6, rate=0.3, depth=3, least_rows=3, row_share=shares[0], column_share=shares[1], seed=7)
+    new = rng.normal(size=(30, 3))
+    assert trees.BoostedTrees(s).fit(x, y).predict(new) == pytest.approx(slow_trees(x, y, s, new), abs=1e-9)
+
+
+def test_walk_forward_trees(spark, monkeypatch):
+    """Every fold of every series equals a fit of its own on the rows before; a long series goes to MLlib; no future row matters."""
+    monkeypatch.setattr(history, "FOLDS_PER_TASK", 2)
+    settings = fixed.BOOSTED_TREES | {"maxIter": 8, "stepSize": 0.2}
+    df = history.with_position(series(spark, 70, "v1").unionByName(series(spark, 37, "v2", seed=8)).unionByName(series(spark, 12, "v3", seed=9)), ["model_version"], ["ts"])
+    config = history.WalkForward(min_train_size=20, test_size=9)
+    run = lambda rows, **more: {(r.model_version, r.pos): (r.fold, r.prediction) for r in history.walk_forward_trees(rows, ["model_version"], ["a", "b"], config, settings=settings, **more).collect()}
+    got, rows = run(df), df.toPandas()
+    assert len(got) == 119 and all((p is None) == (f < 0) for f, p in got.values())
+    s = trees.TreeSettings(trees=8, rate=0.2, depth=4, least_rows=5, row_share=0.85, column_share=0.85, seed=42)
+    for version, part in rows.groupby("model_version"):
+        part = part.sort_values("pos")
+        for fold in {f for (v, _), (f, _) in got.items() if v == version and f >= 0}:
+            start = 20 + 9 * fold
+            past, now = part[part.pos < start], part[(part.pos >= start) & (part.pos < start + 9)]
+            want = trees.BoostedTrees(s).fit(past[["a", "b"]].to_numpy(), past["y"].to_numpy()).predict(now[["a", "b"]].to_numpy())
+            assert [got[version, p][1] for p in now.pos] == pytest.approx(list(want), abs=1e-9)
+    early = run(df.where("pos < 40"))
+    assert all(early[k] == got[k] for k in early if early[k][0] < 2)
+    mixed = run(df.where("model_version <> 'v3'"), most_rows=40)
+    assert {k: v for k, v in mixed.items() if k[0] == "v2"} == {k: v for k, v in got.items() if k[0] == "v2"}
+    errors = [(mixed["v1", r.pos][1] - r.y) ** 2 for r in rows[rows.model_version == "v1"].itertuples() if mixed["v1", r.pos][1] is not None]
+    assert len(errors) == 50 and np.mean(errors) < rows[rows.model_version == "v1"].y.var()
+
+
 def test_final_models_of_many_series(spark):
     df = history.with_position(series(spark, 40, "v1").unionByName(series(spark, 40, "v2", seed=8)), ["model_version"], ["ts"])
     models = history.final_models(df, "model_version", ["a", "b"], LinearRegression(solver="normal"))
