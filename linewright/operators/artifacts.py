@@ -11,6 +11,17 @@ from linewright.functions.canonical import canonical_text, digest
 from linewright.session import cut_lineage
 
 
+def artifact_hash(df: DataFrame, key: str, position: str, value: str, *, method: str, fan: int = 4096) -> DataFrame:
+    """One hash per key (a model version) over the whole artifact: version, method, and the values in position order.
+
+    The values count by their ``sample_hash``, so the payload is short whatever the sample.
+    """
+    values = sample_hash(df, [key], position, value, fan=fan).withColumnRenamed("artifact_sha256", "values_sha256")
+    payload = values.select(F.col(key).alias("_key"), F.col(key).cast("string").alias("model_version"), F.lit(method).alias("method"), "values_sha256")
+    text = canonical_text(payload, ["model_version", "method", "values_sha256"])
+    return payload.select(F.col("_key").alias(key), digest(text).alias("artifact_sha256"))
+
+
 def sample_hash(df: DataFrame, key: Sequence[str], position: str, value: str, *, fan: int = 4096) -> DataFrame:
     """One hash per key over its values in position order.
 

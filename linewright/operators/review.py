@@ -54,16 +54,15 @@ def build_chain(records: DataFrame, log: str, seq: str, columns: Sequence[str],
 
     The canonical text is made in the JVM; only the fold over hashes is
     sequential, as a chain is by definition. Logs run in parallel; within one,
-    sorted rows stream through with one hash of state, so no log is ever held in
-    memory. ``tails`` (log, tail) continues existing logs.
+    sorted texts stream through with one hash of state, so no log is ever held in
+    memory, and the records themselves stay outside: hashes are joined to them by
+    (log, seq), which must be unique. ``tails`` (log, tail) continues existing logs.
     """
-    base = records.withColumn(PREVIOUS, F.lit(None).cast("string"))
-    text = canonical_text(base, [*columns, PREVIOUS])
-    ready = base.withColumn("_text", text).drop(PREVIOUS)
+    whole = records.withColumn(PREVIOUS, F.lit(None).cast("string"))
+    ready = whole.select(log, seq, canonical_text(whole, [*columns, PREVIOUS]).alias("_text"))
     ready = attach(ready, tails.select(log, F.col("tail").alias("_tail")), [log]) if tails is not None else ready.withColumn("_tail", F.lit(None).cast("string"))
     placed = ready.repartition(log).sortWithinPartitions(log, seq)
-    fields = [f for f in placed.schema.fields if f.name not in ("_text", "_tail")]
-    schema = T.StructType([*fields, T.StructField(PREVIOUS, T.StringType()), T.StructField(RECORD, T.StringType())])
+    hashes = T.StructType([records.schema[log], records.schema[seq], T.StructField(PREVIOUS, T.StringType()), T.StructField(RECORD, T.StringType())])
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, last = None, None
@@ -76,11 +75,9 @@ def build_chain(records: DataFrame, log: str, seq: str, columns: Sequence[str],
                 full = body if last is None else body.replace(_NO_PREVIOUS, f'"{PREVIOUS}":"{last}"', 1)
                 last = hashlib.sha256(full.encode()).hexdigest()
                 own.append(last)
-            out = batch.drop(columns=["_text", "_tail"])
-            out[PREVIOUS], out[RECORD] = before, own
-            yield out
+            yield batch[[log, seq]].assign(**{PREVIOUS: before, RECORD: own})
 
-    return placed.mapInPandas(fold, schema)
+    return attach(records, placed.mapInPandas(fold, hashes), [log, seq])
 
 
 def verify_chain(log_rows: DataFrame, log: str, seq: str, columns: Sequence[str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from linewright.functions.ordered import latest_per_key
 from linewright.operators import context, decision, gates, report, sizing
 from linewright import fixed_values as fixed
 from linewright.plans import views as v
@@ -287,11 +288,20 @@ def drawdown_control(spark, sf_dir):
     SELECT sport, count(DISTINCT event_id) AS events_scanned, count(DISTINCT (event_id, market_id)) AS markets_scanned,
       count(*) FILTER (WHERE decision = 'BET') AS bets, count(*) FILTER (WHERE decision = 'WATCH') AS watches,
       count(*) FILTER (WHERE decision = 'PASS') AS passes, count(*) FILTER (WHERE decision = 'BLOCKED') AS blocked,
-      round(coalesce(sum(CASE WHEN decision = 'BET' THEN stake END), 0), 6) AS total_stake FROM z GROUP BY sport"""))
+      round(coalesce(sum(CASE WHEN decision = 'BET' THEN stake END), 0), 6) AS total_stake,
+      round(any_value(open_before), 6) AS open_before, round(coalesce(any_value(open_before), 0) + coalesce(sum(CASE WHEN decision = 'BET' THEN stake END), 0), 6) AS open_after
+    FROM z LEFT JOIN (SELECT o_sport, sum(open_amount) AS open_before FROM (SELECT DISTINCT sport AS o_sport, portfolio_id, correlation_key FROM c) asked
+      JOIN (SELECT portfolio_id, correlation_key, open_amount FROM pf QUALIFY row_number() OVER (PARTITION BY portfolio_id, correlation_key ORDER BY captured DESC) = 1) newest
+        USING (portfolio_id, correlation_key) GROUP BY o_sport) o ON o_sport = sport GROUP BY sport"""))
 def scan_summary(spark, sf_dir):
+    """Decisions and stakes of each sport, and the open exposure of its portfolios as last seen, before and after."""
     rows = decided(spark, sf_dir).withColumn("stake", F.col("staking.final_stake"))
-    out = report.scan_summary(rows, ["sport"])
-    return out.withColumn("total_stake", F.round("total_stake", 6))
+    books = v.view(spark, sf_dir, v.portfolios(v.SPARK)).select("portfolio_id", "correlation_key", "captured", "open_amount")
+    newest = latest_per_key(books, ["portfolio_id", "correlation_key"], [F.col("captured")])
+    asked = v.view(spark, sf_dir, v.candidates(v.SPARK)).select("sport", "portfolio_id", "correlation_key").distinct()
+    exposure = asked.join(newest, ["portfolio_id", "correlation_key"]).groupBy("sport").agg(F.sum("open_amount").alias("open_before"))
+    out = report.scan_summary(rows, ["sport"], exposure=exposure)
+    return out.withColumns({c: F.round(c, 6) for c in ("total_stake", "open_before", "open_after")})
 
 
 _PERCENT = lambda x, sign="": f"printf('%{sign}.1f%%', round(round({x} * 100, 6), 1))"
@@ -347,7 +357,22 @@ def decision_report(spark, sf_dir):
     return rows.select("candidate_id", "report", "compact")
 
 
-@query("decision_audit_hashes")
+_AUDITED = f"""
+    , pf AS (SELECT portfolio_id, correlation_key, captured, sha256({v.canonical_sql(v.PORTFOLIO)}) AS h FROM pf0)
+    , cx AS (SELECT k, event_id, context_time, sha256({v.canonical_sql(v.CONTEXT)}) AS h FROM cx0)
+    , h AS (SELECT candidate_id, portfolio_id, correlation_key, event_id, evaluated, evaluated_at, sha256({v.canonical_sql(v.MODEL)}) AS h_model, sha256({v.canonical_sql(v.MARKET)}) AS h_market,
+        sha256({v.canonical_sql(v.policy_tree())}) AS h_policy FROM c)
+    , hp AS (SELECT h.*, coalesce(pf.h, sha256('null')) AS h_portfolio FROM h LEFT JOIN pf ON h.portfolio_id = pf.portfolio_id AND h.correlation_key = pf.correlation_key AND pf.captured <= h.evaluated
+        QUALIFY row_number() OVER (PARTITION BY candidate_id ORDER BY pf.captured DESC NULLS LAST) = 1)
+    , hc AS (SELECT hp.*, cx.h AS h_context FROM hp LEFT JOIN cx ON hp.event_id = cx.event_id AND cx.context_time <= hp.evaluated
+        QUALIFY row_number() OVER (PARTITION BY candidate_id ORDER BY cx.context_time DESC NULLS LAST, cx.k) = 1)"""
+_ID_TEXT = """'{' || CASE WHEN h_context IS NULL THEN '' ELSE '"context":"' || h_context || '",' END || '"evaluated_at":"' || evaluated_at || '","formula":"%s","market":"' || h_market
+      || '","model":"' || h_model || '","policy":"' || h_policy || '","portfolio":"' || h_portfolio || '"}'""" % decision.FORMULA
+
+
+@query("decision_audit_hashes", over({"c": v.candidates, "pf0": v.portfolios, "cx0": v.contexts}, f"""{_AUDITED}
+    SELECT candidate_id, sha256({_ID_TEXT}) AS decision_id, h_model AS model_output_sha256, h_market AS market_snapshot_sha256, h_portfolio AS portfolio_state_sha256,
+      h_policy AS risk_policy_sha256, h_context AS sport_context_sha256, '{decision.FORMULA}' AS formula_version FROM hc"""))
 def decision_audit_hashes(spark, sf_dir):
     return decided(spark, sf_dir).select("candidate_id", "decision_id", "audit.*")
 

@@ -7,9 +7,8 @@ from linewright.operators import adapters, artifacts, contracts, gates, review
 from linewright.plans import views as v
 from linewright.plans.registry import over, query
 
-_LINE = "named_struct('kind', 'number', 'num', model_line, 'str', CAST(NULL AS STRING))"
-MODEL_JSON = v._MODEL.replace(_LINE, "model_line")
-MARKET_JSON = v._MARKET.replace(_LINE.replace("model_line", "line"), "line")
+MODEL_JSON = v.struct_sql(v.MODEL | {"line": "model_line", "validation_domain": v.MODEL["validation_domain"] | {"line": "model_line"}})
+MARKET_JSON = v.struct_sql(v.MARKET | {"line": "line"})
 
 
 def _codes(*cases: str) -> str:
@@ -79,11 +78,11 @@ def market_contract_errors(spark, sf_dir):
     _case("open_positions_count % 11 = 0", "schema.exposures.open_amount.minimum"),
     _case("open_positions_count % 6 = 0", "schema.stake_increment.exclusiveMinimum"))} AS codes FROM p"""))
 def portfolio_contract_errors(spark, sf_dir):
-    sql = v._PORTFOLIO.replace("'EUR'", "if(open_positions_count % 7 = 0, 'eur', 'EUR')").replace(
-        "'drawdown_fraction', drawdown_fraction", "'drawdown_fraction', if(open_positions_count % 5 = 0, 1.5D, drawdown_fraction)"
-    ).replace("'open_amount', open_amount", "'open_amount', if(open_positions_count % 11 = 0, -1D, open_amount)").replace(
-        "'stake_increment', stake_increment", "'stake_increment', if(open_positions_count % 6 = 0, 0D, stake_increment)"
-    )
+    faulty = lambda every, wrong, column: v.num(f"if(open_positions_count % {every} = 0, {wrong}, {column})")
+    sql = v.struct_sql(v.PORTFOLIO | {
+        "currency": "if(open_positions_count % 7 = 0, 'eur', 'EUR')", "drawdown_fraction": faulty(5, "1.5D", "drawdown_fraction"),
+        "stake_increment": faulty(6, "0D", "stake_increment"), "exposures": v.PORTFOLIO["exposures"] | {"open_amount": faulty(11, "-1D", "open_amount")},
+    })
     docs = documents(v.view(spark, sf_dir, v.portfolios(v.SPARK)), sql, "document", "portfolio_id", "correlation_key", "captured_at")
     rows = contracts.contract_errors(docs, "document", contracts.portfolio_state)
     return rows.select("portfolio_id", "correlation_key", "captured_at", error_codes())
@@ -94,7 +93,7 @@ def portfolio_contract_errors(spark, sf_dir):
     _case("k % 9 = 0", "schema.lineups.home.enum"), _case("listed_match IS NULL", "schema.settlement.required"))} AS codes FROM x"""))
 def context_contract_errors(spark, sf_dir):
     """Null tri-states are absent keys here, which the contract does not allow."""
-    sql = v._CONTEXT.replace("named_struct('home', home_lineup", "named_struct('home', if(k % 9 = 0, 'maybe', home_lineup)")
+    sql = v.struct_sql(v.CONTEXT | {"lineups": v.CONTEXT["lineups"] | {"home": "if(k % 9 = 0, 'maybe', home_lineup)"}})
     docs = documents(v.view(spark, sf_dir, v.contexts(v.SPARK)), sql, "document", "k")
     return contracts.contract_errors(docs, "document", contracts.mlb_context).select("k", error_codes())
 
@@ -307,10 +306,11 @@ def content_address(spark, sf_dir):
     , b AS (SELECT grp, n // 64 AS n, sha256(string_agg(t, ',' ORDER BY a.n)) AS t FROM a GROUP BY grp, a.n // 64)
     , d AS (SELECT grp, n // 64 AS n, sha256(string_agg(t, ',' ORDER BY b.n)) AS t FROM b GROUP BY grp, b.n // 64)
     , m AS (SELECT grp, max(pos) AS last FROM p GROUP BY grp)
-    SELECT grp, CASE WHEN last < 64 THEN a.t WHEN last < 4096 THEN b.t ELSE d.t END AS artifact_sha256
+    SELECT grp, sha256(concat('{"method":"empirical","model_version":', CAST(to_json(grp) AS VARCHAR), ',"values_sha256":"',
+      CASE WHEN last < 64 THEN a.t WHEN last < 4096 THEN b.t ELSE d.t END, '"}')) AS artifact_sha256
     FROM m JOIN a USING (grp) JOIN b USING (grp) JOIN d USING (grp) WHERE a.n = 0 AND b.n = 0 AND d.n = 0"""))
 def residual_artifact_hash(spark, sf_dir):
     from linewright.plans.history_queries import series
 
     rows = series(spark, sf_dir).withColumn("value", F.col("y").cast("long"))
-    return artifacts.sample_hash(rows, ["grp"], "pos", "value", fan=64)
+    return artifacts.artifact_hash(rows, "grp", "pos", "value", method="empirical", fan=64)

@@ -88,13 +88,13 @@ def fit_history(
     residuals = sound(predictions).where(F.col("prediction").isNotNull()).select(
         key, history.POSITION, (F.col("y") - F.col("prediction")).alias("residual")
     )
-    hashed = artifacts.sample_hash(residuals, group, history.POSITION, "residual")
+    hashed = artifacts.artifact_hash(residuals, key, history.POSITION, "residual", method="empirical")
     residual_versions = hashed.withColumn(
         "residual_distribution_version", F.concat(F.col(key), F.lit("-residuals-"), F.substring("artifact_sha256", 1, 12))
     )
     fits = calibration.platt_fit(priced, group)
     calibrators = artifacts.versioned(
-        fits, [key, "intercept", "coefficient", "training_sample_size", "positive_rate"], key, "platt"
+        fits.withColumn("method", F.lit("platt")), [key, "method", "intercept", "coefficient", "training_sample_size", "positive_rate"], key, "platt"
     )
     card = metrics.calibration_status(
         metrics.scorecard(evaluated, "calibrated", "market_p", "outcome", group), config.minimum_validation_sample

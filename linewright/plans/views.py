@@ -255,85 +255,165 @@ def contexts(d: Dialect) -> str:
     FROM c WHERE sport = 'MLB' AND candidate_id % 11 <> 0"""
 
 
-# ---- flat rows to documents (Spark side) -------------------------------------------------------------
-
-_MODEL = """named_struct('schema_version', 'linewright.model-output.v1', 'event_id', model_event_id,
- 'market_id', market_id, 'model_name', 'm', 'model_version', '1', 'sport', sport, 'competition', competition,
- 'market_type', 'game_total', 'target_market', 'points', 'period', model_period,
- 'line', named_struct('kind', 'number', 'num', model_line, 'str', CAST(NULL AS STRING)),
- 'settlement_rules', settlement_rules, 'selection', model_selection, 'probability_raw', probability_raw,
- 'probability_calibrated', probability_calibrated, 'calibration_status', calibration_status,
- 'calibration_method', calibration_method, 'prediction_generated_at', prediction_generated_at,
- 'feature_cutoff_at', feature_cutoff_at, 'training_cutoff_at', training_cutoff_at, 'feature_schema_version', 'f1',
- 'validation_domain', named_struct('sport', sport, 'competition', domain_competition, 'market_type', 'game_total',
-   'target_market', 'points', 'period', model_period,
-   'line', named_struct('kind', 'number', 'num', model_line, 'str', CAST(NULL AS STRING)),
-   'settlement_rules', settlement_rules),
- 'validation_window', 'w', 'validation_sample_size', CAST(500 AS BIGINT), 'brier_score', brier_score,
- 'log_loss', 0.6D, 'expected_calibration_error', 0.02D)"""
-
-_MARKET = """named_struct('schema_version', 'linewright.market-snapshot.v1', 'event_id', event_id,
- 'market_id', market_id, 'book', portfolio_id, 'captured_at', captured_at, 'event_start_at', event_start_at,
- 'sport', sport, 'competition', competition, 'market_type', 'game_total', 'target_market', 'points',
- 'period', period, 'line', named_struct('kind', 'number', 'num', line, 'str', CAST(NULL AS STRING)),
- 'settlement_rules', settlement_rules, 'selection', 'home', 'decimal_odds', decimal_odds,
- 'market_status', market_status, 'is_complete', true,
- 'outcomes', if(sport = 'SOCCER',
-   array(named_struct('selection', 'home', 'decimal_odds', odds_home),
-         named_struct('selection', second_selection, 'decimal_odds', odds_away),
-         named_struct('selection', 'draw', 'decimal_odds', odds_draw)),
-   array(named_struct('selection', 'home', 'decimal_odds', odds_home),
-         named_struct('selection', second_selection, 'decimal_odds', odds_away))),
- 'correlation_group', correlation_group)"""
-
-_PORTFOLIO = """named_struct('schema_version', 'linewright.portfolio-state.v1', 'portfolio_id', portfolio_id,
- 'captured_at', captured_at, 'currency', 'EUR', 'bankroll', bankroll, 'available_balance', available_balance,
- 'stake_increment', stake_increment, 'league', league, 'correlation_group', correlation_key,
- 'drawdown_fraction', drawdown_fraction, 'open_positions_count', open_positions_count,
- 'exposures', named_struct('open_amount', open_amount, 'daily_turnover_amount', daily_amount,
-   'league_amount', league_amount, 'rolling_3d_turnover_amount', rolling_amount,
-   'correlation_group_amount', correlation_amount))"""
-
-_CONTEXT = """named_struct('schema_version', 'linewright.mlb-context.v1', 'event_id', event_id, 'captured_at', captured_at,
- 'settlement', named_struct('pitcher_rule', pitcher_rule, 'listed_pitchers_match', listed_match),
- 'starters', named_struct('home', named_struct('name', 'h', 'status', home_starter),
-   'away', named_struct('name', 'a', 'status', 'confirmed')),
- 'lineups', named_struct('home', home_lineup, 'away', 'confirmed_compatible'),
- 'bullpen', named_struct('home', home_bullpen, 'away', 'current'),
- 'environment', named_struct('roof_matches_model', roof, 'weather_matches_model', weather,
-   'umpire_matches_model', CAST(NULL AS BOOLEAN)),
- 'model_dependencies', named_struct('requires_confirmed_starters', need_starters,
-   'requires_lineup_compatibility', need_lineup, 'requires_bullpen_state', need_bullpen,
-   'uses_roof', use_roof, 'uses_weather', use_weather, 'uses_umpire', false))"""
+# ---- flat rows to documents -------------------------------------------------------------------------
+# A document is a tree: names to SQL texts, trees and lists. Spark builds structs from it; an outside engine
+# writes its canonical text.
 
 
-def policy_struct() -> str:
-    p = {k: f"{v}D" if isinstance(v, float) else f"CAST({v} AS BIGINT)" for k, v in POLICY.items()}
-    tiers = lambda kind: (
-        f"named_struct('validated', {p[kind + '_validated']}, 'uncalibrated', {p[kind + '_uncalibrated']}, 'unknown', 0D)"
-    )
+@dataclass(frozen=True)
+class num:
+    """SQL of a double."""
+
+    sql: str
+
+
+@dataclass(frozen=True)
+class either:
+    """One of two trees by an SQL condition."""
+
+    test: str
+    first: object
+    second: object
+
+
+def struct_sql(tree) -> str:
+    """The tree as Spark SQL."""
+    if isinstance(tree, dict):
+        return "named_struct(" + ", ".join(f"'{n}', {struct_sql(t)}" for n, t in tree.items()) + ")"
+    if isinstance(tree, list):
+        return "array(" + ", ".join(map(struct_sql, tree)) + ")"
+    if isinstance(tree, either):
+        return f"if({tree.test}, {struct_sql(tree.first)}, {struct_sql(tree.second)})"
+    return tree.sql if isinstance(tree, num) else tree
+
+
+def number_sql(x: str) -> str:
+    """The canonical text of a double in the outside engine's SQL."""
+    decimal = f"printf('%.14e', {x})"
+    near = f"floor(log2(abs({x})))"
+    power = f"(CASE WHEN pow(2e0, {near}) > abs({x}) THEN {near} - 1 WHEN pow(2e0, {near} + 1) <= abs({x}) THEN {near} + 1 ELSE {near} END)"
+    half = f"floor((52 - {power}) / 2)"
+    mantissa = f"CAST(abs({x}) * pow(2e0, {half}) * pow(2e0, 52 - {power} - {half}) AS BIGINT)"
     return (
-        "named_struct('schema_version', 'linewright.risk-policy.v1', 'policy_id', 'base', 'policy_version', '1', "
-        f"'minimum_ev', {p['minimum_ev']}, 'minimum_edge_probability_points', {p['minimum_edge']}, "
-        f"'minimum_stake', {p['minimum_stake']}, 'allowed_calibration_statuses', array('validated', 'uncalibrated'), "
-        f"'kelly_fraction', {tiers('kelly')}, 'sizing_model_weight', {tiers('weight')}, "
-        f"'caps', named_struct('max_stake_fraction_per_bet', {p['per_bet']}, 'max_open_exposure_fraction', {p['open']}, "
-        f"'max_daily_turnover_fraction', {p['daily']}, 'max_league_exposure_fraction', {p['league']}, "
-        f"'max_rolling_3d_turnover_fraction', {p['rolling']}, 'max_correlation_group_fraction', {p['correlation']}), "
-        f"'freshness_seconds', named_struct('market_snapshot', {p['age_market']}, 'portfolio_state', {p['age_portfolio']}, "
-        f"'model_output', {p['age_model']}, 'mlb_context', {p['age_context']}), "
-        f"'drawdown', named_struct('warning_fraction', {p['warning']}, 'review_fraction', {p['review']}, "
-        f"'pause_fraction', {p['pause']}), 'human_approval_required', true, 'block_unknown_correlation', true)"
+        f"CASE WHEN abs({x}) < 1e15 AND floor({x}) = {x} THEN CAST(CAST({x} AS BIGINT) AS VARCHAR) "
+        f"WHEN abs({x}) >= 1e-300 AND CAST({decimal} AS DOUBLE) = {x} THEN regexp_replace({decimal}, '\\.?0+e', 'e') "
+        f"WHEN {x} IS NOT NULL THEN concat(CASE WHEN {x} < 0 THEN '-' ELSE '' END, {mantissa}, 'p', CAST({power} - 52 AS BIGINT)) END"
     )
 
 
+def _marked_sql(tree) -> str:
+    if isinstance(tree, dict):
+        return "struct_pack(" + ", ".join(f'"{n}" := {_marked_sql(tree[n])}' for n in sorted(tree)) + ")"
+    if isinstance(tree, list):
+        return "[" + ", ".join(map(_marked_sql, tree)) + "]"
+    if isinstance(tree, either):
+        return f"CASE WHEN {tree.test} THEN {_marked_sql(tree.first)} ELSE {_marked_sql(tree.second)} END"
+    return f"chr(2) || ({number_sql(f'CAST({tree.sql} AS DOUBLE)')})" if isinstance(tree, num) else tree
+
+
+def canonical_sql(tree) -> str:
+    """The canonical text of the tree in the outside engine's SQL."""
+    return f"""regexp_replace(CAST(to_json({_marked_sql(tree)}) AS VARCHAR), '"\\\\u0002(-?[0-9][^"]*)"', '\\1', 'g')"""
+
+
+def _line(column: str) -> dict:
+    return {"kind": "'number'", "num": num(column), "str": "CAST(NULL AS STRING)"}
+
+
+def _outcome(selection: str, odds: str) -> dict:
+    return {"selection": selection, "decimal_odds": num(odds)}
+
+
+MODEL = {
+    "schema_version": "'linewright.model-output.v1'", "event_id": "model_event_id", "market_id": "market_id",
+    "model_name": "'m'", "model_version": "'1'", "sport": "sport", "competition": "competition", "market_type": "'game_total'",
+    "target_market": "'points'", "period": "model_period",
+    "line": _line("model_line"),
+    "settlement_rules": "settlement_rules", "selection": "model_selection", "probability_raw": num("probability_raw"),
+    "probability_calibrated": num("probability_calibrated"), "calibration_status": "calibration_status",
+    "calibration_method": "calibration_method", "prediction_generated_at": "prediction_generated_at",
+    "feature_cutoff_at": "feature_cutoff_at", "training_cutoff_at": "training_cutoff_at", "feature_schema_version": "'f1'",
+    "validation_domain": {
+        "sport": "sport", "competition": "domain_competition", "market_type": "'game_total'", "target_market": "'points'",
+        "period": "model_period", "line": _line("model_line"),
+        "settlement_rules": "settlement_rules",
+    },
+    "validation_window": "'w'", "validation_sample_size": "CAST(500 AS BIGINT)", "brier_score": num("brier_score"),
+    "log_loss": num("0.6e0"), "expected_calibration_error": num("0.02e0"),
+}
+
+MARKET = {
+    "schema_version": "'linewright.market-snapshot.v1'", "event_id": "event_id", "market_id": "market_id",
+    "book": "portfolio_id", "captured_at": "captured_at", "event_start_at": "event_start_at", "sport": "sport",
+    "competition": "competition", "market_type": "'game_total'", "target_market": "'points'", "period": "period",
+    "line": _line("line"), "settlement_rules": "settlement_rules",
+    "selection": "'home'", "decimal_odds": num("decimal_odds"), "market_status": "market_status", "is_complete": "true",
+    "outcomes": either(
+        "sport = 'SOCCER'",
+        [_outcome("'home'", "odds_home"), _outcome("second_selection", "odds_away"), _outcome("'draw'", "odds_draw")],
+        [_outcome("'home'", "odds_home"), _outcome("second_selection", "odds_away")],
+    ),
+    "correlation_group": "correlation_group",
+}
+
+PORTFOLIO = {
+    "schema_version": "'linewright.portfolio-state.v1'", "portfolio_id": "portfolio_id", "captured_at": "captured_at",
+    "currency": "'EUR'", "bankroll": num("bankroll"), "available_balance": num("available_balance"),
+    "stake_increment": num("stake_increment"), "league": "league", "correlation_group": "correlation_key",
+    "drawdown_fraction": num("drawdown_fraction"), "open_positions_count": "open_positions_count",
+    "exposures": {
+        "open_amount": num("open_amount"), "daily_turnover_amount": num("daily_amount"), "league_amount": num("league_amount"),
+        "rolling_3d_turnover_amount": num("rolling_amount"), "correlation_group_amount": num("correlation_amount"),
+    },
+}
+
+CONTEXT = {
+    "schema_version": "'linewright.mlb-context.v1'", "event_id": "event_id", "captured_at": "captured_at",
+    "settlement": {"pitcher_rule": "pitcher_rule", "listed_pitchers_match": "listed_match"},
+    "starters": {"home": {"name": "'h'", "status": "home_starter"}, "away": {"name": "'a'", "status": "'confirmed'"}},
+    "lineups": {"home": "home_lineup", "away": "'confirmed_compatible'"},
+    "bullpen": {"home": "home_bullpen", "away": "'current'"},
+    "environment": {
+        "roof_matches_model": "roof", "weather_matches_model": "weather", "umpire_matches_model": "CAST(NULL AS BOOLEAN)",
+    },
+    "model_dependencies": {
+        "requires_confirmed_starters": "need_starters", "requires_lineup_compatibility": "need_lineup",
+        "requires_bullpen_state": "need_bullpen", "uses_roof": "use_roof", "uses_weather": "use_weather", "uses_umpire": "false",
+    },
+}
+
+
+def policy_tree() -> dict:
+    p = {k: num(f"{v!r}e0") if isinstance(v, float) else f"CAST({v} AS BIGINT)" for k, v in POLICY.items()}
+    tiers = lambda kind: {"validated": p[kind + "_validated"], "uncalibrated": p[kind + "_uncalibrated"], "unknown": num("0e0")}
+    return {
+        "schema_version": "'linewright.risk-policy.v1'", "policy_id": "'base'", "policy_version": "'1'", "minimum_ev": p["minimum_ev"],
+        "minimum_edge_probability_points": p["minimum_edge"], "minimum_stake": p["minimum_stake"],
+        "allowed_calibration_statuses": ["'validated'", "'uncalibrated'"], "kelly_fraction": tiers("kelly"), "sizing_model_weight": tiers("weight"),
+        "caps": {
+            "max_stake_fraction_per_bet": p["per_bet"], "max_open_exposure_fraction": p["open"], "max_daily_turnover_fraction": p["daily"],
+            "max_league_exposure_fraction": p["league"], "max_rolling_3d_turnover_fraction": p["rolling"],
+            "max_correlation_group_fraction": p["correlation"],
+        },
+        "freshness_seconds": {
+            "market_snapshot": p["age_market"], "portfolio_state": p["age_portfolio"], "model_output": p["age_model"], "mlb_context": p["age_context"],
+        },
+        "drawdown": {"warning_fraction": p["warning"], "review_fraction": p["review"], "pause_fraction": p["pause"]},
+        "human_approval_required": "true", "block_unknown_correlation": "true",
+    }
+
+
+def policy_struct() -> str:
+    return struct_sql(policy_tree())
+
+
 def model_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, candidates(SPARK), spread="orders").select("candidate_id", F.expr(_MODEL).alias("model"))
+    return view(spark, sf_dir, candidates(SPARK), spread="orders").select("candidate_id", F.expr(struct_sql(MODEL)).alias("model"))
 
 
 def market_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, candidates(SPARK), spread="orders").select(
-        "candidate_id", F.expr(_MARKET).alias("market"), "evaluated_at", "portfolio_id", "correlation_key",
+        "candidate_id", F.expr(struct_sql(MARKET)).alias("market"), "evaluated_at", "portfolio_id", "correlation_key",
         F.lit("base").alias("policy_id"),
     )
 
@@ -341,21 +421,21 @@ def market_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def paired_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model and market of one candidate built from its single source row: no join needed."""
     return view(spark, sf_dir, candidates(SPARK), spread="orders").select(
-        "candidate_id", F.expr(_MODEL).alias("model"), F.expr(_MARKET).alias("market"), "evaluated_at",
+        "candidate_id", F.expr(struct_sql(MODEL)).alias("model"), F.expr(struct_sql(MARKET)).alias("market"), "evaluated_at",
         "portfolio_id", "correlation_key", F.expr(policy_struct()).alias("policy"),
     )
 
 
 def portfolio_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, portfolios(SPARK)).select(
-        "portfolio_id", "correlation_key", F.expr(_PORTFOLIO).alias("portfolio"),
+        "portfolio_id", "correlation_key", F.expr(struct_sql(PORTFOLIO)).alias("portfolio"),
         F.expr("try_to_timestamp(captured_at)").alias("portfolio_at"),
     )
 
 
 def context_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, contexts(SPARK)).select(
-        "k", "event_id", F.expr(_CONTEXT).alias("context"), F.expr("try_to_timestamp(captured_at)").alias("context_at"),
+        "k", "event_id", F.expr(struct_sql(CONTEXT)).alias("context"), F.expr("try_to_timestamp(captured_at)").alias("context_at"),
     )
 
 

@@ -1,10 +1,17 @@
 import hashlib
 import json
+import math
+import os
+import random
+import re
 
+import duckdb
 from documents import changed
 from pyspark.sql import functions as F
 
+from linewright.functions.canonical import canonical_text, number_text
 from linewright.operators import artifacts, review
+from linewright.plans import views
 from linewright.schemas import HUMAN_REVIEW
 from linewright.sources import stores
 
@@ -36,6 +43,7 @@ def test_policy_messages(spark):
 
 
 def text_of(record):
+    record = {k: int(x) if isinstance(x, float) and x.is_integer() else x for k, x in record.items()}
     return json.dumps(record, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
@@ -102,3 +110,48 @@ def test_packets(spark):
     assert rows[1].analysis.notes == "look" and rows[2].analysis.notes is None
     assert rows[1].market_snapshot_sha256 == hashlib.sha256(text_of(NESTED).encode()).hexdigest()
     assert len({r.packet_sha256 for r in rows.values()}) == 3 and rows[1].human_review.status == "pending"
+
+
+def test_number_texts_read_back_and_are_the_same_in_other_engines(spark):
+    rnd = random.Random(1)
+    known = {0.0: "0", -0.0: "0", 8.0: "8", -12345678.0: "-12345678", 0.1: "1e-01", 0.46: "4.6e-01", 1e15: "1e+15", 123456789012345.0: "123456789012345", 2.5: "2.5e+00", 1e23: "1e+23", 2e-3: "2e-03", 0.1 + 0.2: "5404319552844596p-54", -1 / 3: "-6004799503160661p-54", float("inf"): "Infinity"}
+    drawn = [rnd.uniform(-1, 1) * 10 ** rnd.randrange(-320, 300) for _ in range(3000)] + [round(rnd.uniform(0, 1000), 4) for _ in range(2000)] + [2.0**e * f for e in range(-1060, 1000, 97) for f in (1, 1 - 2.0**-53, 1 + 2.0**-52)] + [5e-324, 2.2250738585072014e-308]
+    df = spark.createDataFrame([(x,) for x in [*known, *drawn]], "x double").select("x", number_text(F.col("x")).alias("t"))
+    rows = {x: t for x, t in df.collect()}
+    for x, t in rows.items():
+        assert x not in known or t == known[x]
+        if "p" in t:
+            mantissa, power = t.split("p")
+            assert math.ldexp(int(mantissa), int(power)) == x and (float(f"{x:.14e}") != x or abs(x) < 1e-300)
+        else:
+            assert float(t) == x and (x.is_integer() and abs(x) < 1e15 or x == math.inf or t == re.sub(r"\.?0+e", "e", f"{x:.14e}"))
+    values = ", ".join(f"({x!r}::DOUBLE)" for x in rows if x != math.inf)
+    assert all(rows[x] == t for x, t in duckdb.sql(f"SELECT x, {views.number_sql('x')} FROM (VALUES {values}) t(x)").fetchall())
+    assert spark.sql("SELECT CAST(NULL AS DOUBLE) AS x").select(number_text(F.col("x"))).first()[0] is None
+
+
+def test_canonical_text_keeps_texts_and_numbers_apart(spark):
+    df = spark.createDataFrame([(1.5, "1.5e+00", "\x021.5e+00", [2.0, None], ["\x02"], (0.25, None))], "a double, b string, c string, d array<double>, e array<string>, f struct<y:double,x:string>")
+    text = df.select(canonical_text(df, df.columns)).first()[0]
+    assert text == '{"a":1.5e+00,"b":"1.5e+00","c":"\\u0002\\u00021.5e+00","d":[2,null],"e":["\\u0002\\u0002"],"f":{"x":null,"y":2.5e-01}}'
+
+
+def test_many_logs_lie_in_few_folders(spark, folder):
+    """Buckets bound the folders; a reading for some logs opens their buckets alone; compaction keeps every record."""
+    schema = "log_id string, seq long, reason string, previous_record_sha256 string, record_sha256 string"
+    records = lambda low, high, seq: spark.range(low, high).select(F.concat(F.lit("L"), "id").alias("log_id"), F.lit(seq).cast("long").alias("seq"), F.lit("x").alias("reason"), F.lit(None).cast("string").alias("previous_record_sha256"), F.lit("h").alias("record_sha256"))
+    path = f"{folder}/many"
+    stores.append_review_log(records(0, 5000, 0).coalesce(1), path)
+    stores.append_review_log(records(100, 120, 1).coalesce(1), path)
+    folders = [f for f in os.listdir(path) if f.startswith("_bucket=")]
+    assert len(folders) <= stores.LOG_BUCKETS
+    typed = spark.createDataFrame([], schema).schema
+    wanted = spark.createDataFrame([("L105",), ("L7",), ("none",)], "log_id string")
+    some = stores.read_review_log(spark, path, typed, logs=wanted)
+    assert sorted((r.log_id, r.seq) for r in some.collect()) == [("L105", 0), ("L105", 1), ("L7", 0)]
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [_bucket" in plan
+    stores.compact_review_log(spark, path, typed, f"{folder}/compact")
+    whole = stores.read_review_log(spark, f"{folder}/compact", typed)
+    assert whole.count() == 5020 and whole.exceptAll(stores.read_review_log(spark, path, typed)).isEmpty()
+    assert len(spark.read.json(f"{folder}/compact").inputFiles()) <= stores.LOG_BUCKETS
