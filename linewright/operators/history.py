@@ -37,13 +37,13 @@ class WalkForward:
 
     def __post_init__(self):
         if self.min_train_size < 2:
-            raise ValueError("min_train_size must be at least 2")
+            raise ValueError("walk_forward.min_train_size: below 2")
         if self.test_size < 1:
-            raise ValueError("test_size must be positive")
+            raise ValueError("walk_forward.test_size: below 1")
         if min(self.min_residual_history, self.min_calibration_history) < 2:
-            raise ValueError("history minimums must be at least 2")
+            raise ValueError("walk_forward.history: below 2")
         if self.minimum_validation_sample < 1:
-            raise ValueError("minimum_validation_sample must be positive")
+            raise ValueError("walk_forward.minimum_validation_sample: below 1")
 
 
 # ---- checks ---------------------------------------------------------------------------------------
@@ -86,7 +86,7 @@ def require_usable(faults: DataFrame) -> None:
     """Stop the job when any group may not be fitted."""
     bad = faults.where(~F.col("usable")).limit(1).collect()
     if bad:
-        raise ValueError(f"training data rejected: {bad[0].asDict()}")
+        raise ValueError(f"training.unusable: {bad[0].asDict()}")
 
 
 # ---- walk-forward predictions ---------------------------------------------------------------------

@@ -7,7 +7,7 @@ from linewright.operators import context, decision, gates, report, sizing
 from linewright import fixed_values as fixed
 from linewright.plans import views as v
 from linewright.plans.registry import over, query
-from linewright.session import store_folder
+from linewright.session import code_version, store_folder
 from linewright.sources import stores
 
 P = v.POLICY
@@ -198,7 +198,7 @@ _DECIDED = f"""{_ASOF}{_CONTEXT}
 def decided(spark, sf_dir):
     """All decisions, built once for a state of the tables and a formula, held to their contract on every reading."""
     inputs = [v.table(spark, sf_dir, t) for t in v.tables_of(v.candidates, v.portfolios, v.contexts)]
-    key = stores.content_key(decision.FORMULA, fixed.NAMESPACE, v.policy_struct(), *[stores.input_version(t) for t in inputs])
+    key = stores.content_key(decision.FORMULA, code_version(), fixed.NAMESPACE, v.policy_struct(), *[stores.input_version(t) for t in inputs])
     build = lambda: decision.decide(decision.with_contract_gate(assembled(spark, sf_dir)))
     return decision.upheld(stores.built_once(spark, store_folder(spark, "decisions"), key, build))
 
@@ -318,10 +318,10 @@ _INPUT_ERRORS = [
     _case("candidate_id % 43 = 0", _TOO_SHORT), _case("pk IS NULL", "portfolio.$: document is missing"),
 ]
 _CONFLICTS = [
-    f"'mismatched fields: ' || nullif(replace({_codes(*_FIELDS)}, ',', ', '), '')",
-    _case("league IS DISTINCT FROM competition", "portfolio league mismatch"),
-    _case("correlation_group IS DISTINCT FROM correlation_key", "portfolio correlation group mismatch"),
-    f"CASE {_PRICE} WHEN 'MARKET_INCOMPLETE' THEN 'market selection must occur exactly once' WHEN 'SELECTED_PRICE_MISMATCH' THEN 'selected outcome odds mismatch' END",
+    f"'fields that differ: ' || nullif(replace({_codes(*_FIELDS)}, ',', ', '), '')",
+    _case("league IS DISTINCT FROM competition", "league of the portfolio differs"),
+    _case("correlation_group IS DISTINCT FROM correlation_key", "correlation group of the portfolio differs"),
+    f"CASE {_PRICE} WHEN 'MARKET_INCOMPLETE' THEN 'selection is not priced exactly once' WHEN 'SELECTED_PRICE_MISMATCH' THEN 'quoted price differs from the outcome' END",
 ]
 _RESOLUTION = f"CASE WHEN invalid THEN concat_ws('; ', {', '.join(_INPUT_ERRORS)}) WHEN hard <> '' THEN concat_ws('; ', {', '.join(_CONFLICTS)}) ELSE '' END"
 

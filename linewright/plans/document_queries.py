@@ -263,8 +263,8 @@ def rich(spark, sf_dir):
       CASE WHEN err IS NULL AND candidate_id % 10 <> 0 THEN 'a/z' END AS validation_window,
       CASE WHEN err IS NULL AND candidate_id % 9 <> 0 THEN sha256(event_id) END AS model_artifact_sha256,
       CASE WHEN err IS NULL THEN 'over' END AS selection
-    FROM (SELECT *, CASE WHEN candidate_id % 53 = 0 THEN 'market.selection must be a non-empty string'
-        WHEN NOT ({_RAW_OK}) THEN 'calibration.probability_selected_raw must be strictly between 0 and 1' END AS err,
+    FROM (SELECT *, CASE WHEN candidate_id % 53 = 0 THEN 'blank:market.selection'
+        WHEN NOT ({_RAW_OK}) THEN 'not_a_probability:calibration.probability_selected_raw' END AS err,
       CASE WHEN {_PROVEN} THEN 'validated' WHEN {_STATUS} = 'Other' THEN 'unknown' ELSE 'uncalibrated' END AS st FROM c) t"""))
 def adapter_downgrade(spark, sf_dir):
     return adapters.adapt(rich(spark, sf_dir), "downgrade").select(
@@ -278,9 +278,9 @@ def adapter_downgrade(spark, sf_dir):
       CASE WHEN err IS NULL THEN probability_calibrated END AS probability_calibrated, CASE WHEN err IS NULL THEN 'other' END AS calibration_method,
       CASE WHEN err IS NULL THEN {_BRIER} END AS brier_score, CASE WHEN err IS NULL THEN 'a/z' END AS validation_window,
       CASE WHEN err IS NULL THEN concat('adapted_from=prediction-v2; rich_status=', {_STATUS}) END AS notes
-    FROM (SELECT *, CASE WHEN NOT ({_RAW_OK}) THEN 'probability_selected_raw must be in (0, 1)' WHEN probability_calibrated IS NULL THEN 'probability_selected_calibrated must be in (0, 1)'
-        WHEN candidate_id % 53 = 0 THEN 'selection must be a non-empty string' WHEN candidate_id % 10 = 0 THEN 'validation_period_start must be a non-empty string'
-        WHEN candidate_id % 7 = 0 THEN 'sample_size must be a positive integer' WHEN {_BRIER} IS NULL THEN 'model_brier_score must be numeric' END AS err FROM c) t"""))
+    FROM (SELECT *, CASE WHEN NOT ({_RAW_OK}) THEN 'not_a_probability:probability_selected_raw' WHEN probability_calibrated IS NULL THEN 'not_a_probability:probability_selected_calibrated'
+        WHEN candidate_id % 53 = 0 THEN 'blank:selection' WHEN candidate_id % 10 = 0 THEN 'blank:validation_period_start'
+        WHEN candidate_id % 7 = 0 THEN 'below_one:sample_size' WHEN {_BRIER} IS NULL THEN 'not_a_number:model_brier_score' END AS err FROM c) t"""))
 def adapter_block(spark, sf_dir):
     return adapters.adapt(rich(spark, sf_dir), "block").select(
         "candidate_id", "mapping_error", "calibration_status", "probability_calibrated", "calibration_method",

@@ -16,11 +16,11 @@ from linewright.session import cut_lineage
 
 #: Why a version cannot be fitted, in the order of the checks.
 FAULTS = {
-    "training.unusable": "training data rejected",
-    "chronology.not_increasing": "timestamps must be strictly increasing",
-    "history.no_test_rows": "insufficient rows beyond the first training window",
-    "history.too_few_priced": "insufficient non-push out-of-sample rows",
-    "calibration.one_class": "insufficient history for out-of-sample calibration",
+    "training.unusable": "values that no fit can use",
+    "chronology.not_increasing": "a time that is not after the one before",
+    "history.no_test_rows": "no rows after the first training window",
+    "history.too_few_priced": "too few priced rows for the calibration history",
+    "calibration.one_class": "one class only in every calibration history",
 }
 
 
@@ -61,7 +61,7 @@ def fit_history(
         nonlocal found
         bad = cut_lineage(bad.select(key).distinct().withColumn("fault", F.lit(fault)))
         if strict and not bad.isEmpty():
-            raise ValueError(f"{FAULTS[fault]}: {bad.first()[key]}")
+            raise ValueError(f"{fault} ({FAULTS[fault]}): {bad.first()[key]}")
         found = bad if found is None else found.unionByName(bad)
 
     def sound(table: DataFrame) -> DataFrame:

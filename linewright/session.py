@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import os
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -43,6 +45,19 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/linewright-{name}-{uuid.uuid4().hex}"
 
 
+def code_version() -> str:
+    """A hash of the engine's own source, for keys of tables that outlive a session: other code, other tables."""
+    found = hashlib.sha256()
+    folder = os.path.dirname(os.path.abspath(__file__))
+    for place, folders, names in os.walk(folder):
+        folders[:] = sorted(f for f in folders if f not in ("__pycache__", "llm"))
+        for name in sorted(names):
+            if name.endswith(".py"):
+                with open(os.path.join(place, name), "rb") as source:
+                    found.update(name.encode() + b"\x00" + source.read())
+    return found.hexdigest()
+
+
 def store_folder(spark: SparkSession, name: str) -> str:
     """A folder that later queries, and later sessions with the same ``spark.checkpoint.dir``, find again.
 

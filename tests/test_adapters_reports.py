@@ -45,12 +45,12 @@ def test_adapters_disagree_as_designed(spark):
     assert [r.calibration_status for r in down] == ["uncalibrated", "validated", "uncalibrated", "uncalibrated", None, None, "uncalibrated"]
     assert [r.probability_calibrated for r in down] == [None, 0.576, None, None, None, None, None]
     assert down[0].event_id == "E" and down[0].model_artifact_sha256 == "a" * 64 and down[3].brier_score is None
-    assert down[4].mapping_error.startswith("calibration.probability_selected_raw") and down[5].mapping_error.startswith("market.selection")
+    assert down[4].mapping_error == "not_a_probability:calibration.probability_selected_raw" and down[5].mapping_error == "blank:market.selection"
     assert down[6].validation_sample_size is None and down[1].validation_window == "a/z"
     block = adapters.adapt(df, "block").orderBy("i").collect()
     assert [r.calibration_status for r in block] == ["unknown", "validated", "validated", "validated", None, None, None]
     assert block[0].notes == "adapted_from=prediction-v2; rich_status=degraded" and block[0].calibration_method == "other"
-    assert block[6].mapping_error == "sample_size must be a positive integer"
+    assert block[6].mapping_error == "below_one:sample_size"
     mapped = adapters.adapt(reports(spark, [{}, BETTER]), "downgrade")
     docs = mapped.select("i", F.struct(*[c for c in mapped.columns if c not in ("i", "mapping_error")]).alias("doc"))
     rows = contracts.model_verdict(docs, "doc").orderBy("i").collect()

@@ -1,4 +1,5 @@
 import json
+import uuid
 
 import pytest
 from documents import BASE, EVALUATED_AT, changed
@@ -183,7 +184,7 @@ def test_decision_queries_read_one_table(spark, monkeypatch):
     built = []
     plain = decision.decide
     monkeypatch.setattr(decision, "decide", lambda df, **more: built.append(1) or plain(df, **more))
-    monkeypatch.setattr(decision, "FORMULA", "test-of-one-build")
+    monkeypatch.setattr(decision, "FORMULA", f"test-{uuid.uuid4().hex}")
     for name in ("stake_caps", "scan_summary", "decision_report"):
         assert decision_queries.QUERIES[name](spark, SF).count() > 0
     assert len(built) == 1
