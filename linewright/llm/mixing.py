@@ -29,7 +29,7 @@ ROWS_PER_BUCKET = 50_000
 
 def word_count(text: Column) -> Column:
     """Number of runs of characters that are not blank."""
-    trimmed = F.regexp_replace(text, f"^{BLANK}|{BLANK}$", "")
+    trimmed = F.regexp_replace(text, rf"^{BLANK}|{BLANK}\z", "")
     return F.when(trimmed == "", F.lit(0)).otherwise(F.size(F.split(trimmed, BLANK))).cast("long")
 
 

@@ -182,6 +182,14 @@ def test_chat_machine(spark):
         chat.Template(open_turn="turn:")
 
 
+def test_word_count(spark):
+    """Only blanks end words: U+0085, U+2028 and U+2029 are parts of words, also at the end of a text."""
+    texts = ["", " ", "a", " a b\n", "a \u2028", "a b \u0085", "\u2029", "a\u2028 ", "\t\u2028\r\n", "x\x1fy z\x0b"]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = [r["n"] for r in frame.select(mixing.word_count(frame["text"]).alias("n")).collect()]
+    assert got == [len(re.findall(r"[^\x20\x09-\x0D]+", t)) for t in texts]
+
+
 def test_mixing(spark):
     rng = random.Random(3)
     rows = [(i, rng.choice(["b", "a", None, "c", "ä"]), " ".join("w" for _ in range(rng.randrange(40)))) for i in range(400)] + [(900, "tiny", "one two"), (901, "none", ""), (902, None, None), (903, "a", "x y"), (903, "a", "x y")]
