@@ -28,8 +28,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from linewright.functions.ordered import small_side
 from linewright.llm.common import free_name, stored
-from linewright.llm.html_pages import CLOSE, HEADINGS, INLINE, OPEN, TEXT, Node, events
+from linewright.llm.html_pages import CLOSE, HEADINGS, INLINE, OPEN, TEXT, Node, events, token
 
 #: Runs of text up to so many words give a token for each word, longer ones a single token.
 WORD_RUN = 24
@@ -41,6 +42,8 @@ REGION_SHARE = 0.7
 LINK_SHARE = 0.8
 #: Serialised templates up to so many bytes are broadcast.
 BROADCAST_TEMPLATES = 1 << 25
+#: Hosts up to so many are broadcast with their numbers of pages.
+BROADCAST_HOSTS = 200_000
 #: Pages of a host that follow one copy of its template where templates are not broadcast.
 PAGES_PER_SALT = 2000
 #: Tokens that a task holds before it passes its sums on.
@@ -61,17 +64,14 @@ def host_of(url: str) -> Column:
     return F.lower(F.regexp_replace(F.regexp_extract(rest, r"^([^/?#]*)", 1), r"^.*@|:[0-9]*$", ""))
 
 
-def signed(n: int) -> int:
-    return n - (1 << 64) if n >= 1 << 63 else n
+#: Seeds of the text outside all elements.
+_BARE = 1, 2
 
 
-def token(path: int, what: str) -> int:
-    return signed(xxhash.xxh3_64_intdigest(f"{path} {what}"))
-
-
-def run_tokens(path: int, raw: str) -> list[int]:
+def run_tokens(node: Node | None, raw: str) -> list[int]:
     words = raw.split()
-    return [token(path, "w" + w) for w in words] if len(words) <= WORD_RUN else [token(path, "t" + " ".join(words))]
+    by_word, whole = node.role.words if node else _BARE
+    return [token(w, by_word) for w in words] if len(words) <= WORD_RUN else [token(" ".join(words), whole)]
 
 
 class Walk:
@@ -108,19 +108,19 @@ def page_tokens(page: str) -> dict[int, list[int]]:
             if not walk.silent:
                 words += size
                 linked += size if walk.links else 0
-            for word in run_tokens(node.path if node else 0, event[2]) if size else ():
+            for word in run_tokens(node, event[2]) if size else ():
                 out.setdefault(word, [0, place, 0, 0, WORD])[0] += 1
                 place += 1
             continue
         if event[0] == OPEN:
             kind = ELEMENT | (SILENT if walk.silent else 0) | (BOX if node.name in BOXES else 0) | walk.depth << DEPTH
-            entry = out.setdefault(token(node.path, "<"), [0, place, 0, 0, kind])
+            entry = out.setdefault(node.opened, [0, place, 0, 0, kind])
             begun.append((entry, words, linked))
         else:
             entry, words_then, linked_then = begun.pop()
             entry[2] += words - words_then
             entry[3] += linked - linked_then
-            entry = out.setdefault(token(node.path, ">"), [0, place, 0, 0, 0])
+            entry = out.setdefault(node.role.closed, [0, place, 0, 0, 0])
         if event[0] == OPEN or entry[4] == 0:
             entry[0] += 1
     return out
@@ -143,11 +143,14 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            key = signed(xxhash.xxh3_64_intdigest(page))
+            key = token(page, 0)
+            marks: dict[int, int] = {}
             found = page_tokens(page)
             found[0] = [1, 0, 0, 0, 0]
             for name, (count, first, words, links, kind) in found.items():
-                mark = xxhash.xxh3_64_intdigest(f"{key} {count}")
+                mark = marks.get(count)
+                if mark is None:
+                    mark = marks[count] = xxhash.xxh3_64_intdigest(str(count), key & 0xFFFFFFFFFFFFFFFF)
                 sums = held.get((host, name))
                 if sums is None:
                     held[host, name] = [mark >> 32, mark & 0xFFFFFFFF, 1, count, (key, first), words, links, kind]
@@ -257,9 +260,9 @@ class Template:
 def sequence(page: str) -> Iterator[int]:
     for event in events(page):
         if event[0] == TEXT:
-            yield from run_tokens(event[1].path if event[1] else 0, event[2])
+            yield from run_tokens(event[1], event[2])
         else:
-            yield token(event[1].path, "<" if event[0] == OPEN else ">")
+            yield event[1].opened if event[0] == OPEN else event[1].role.closed
 
 
 class Blocks:
@@ -286,38 +289,41 @@ def read_slots(page: str, template: Template, strict: bool) -> list[str]:
     walk = Walk(page).events
     marked = _marked(walk, strict)
     box = None if marked else template.region()
-    if box is not None and not any(e[0] == OPEN and token(e[1].path, "<") == box for e in walk):
+    if box is not None and not any(e[0] == OPEN and e[1].opened == box for e in walk):
         box = None
-    blocks, silent, inside, heads, articles = Blocks(), 0, 0, 0, 0
+    blocks, silent, inside, heads, articles, mains, headings = Blocks(), 0, 0, 0, 0, 0, 0
     for event in walk:
         kind, node = event[0], event[1]
         if kind == TEXT:
-            if silent or heads and not _in_heading(node) or not (inside or not marked and box is None):
+            if silent or heads and not headings or not (inside or not marked and box is None):
                 continue
-            names = run_tokens(node.path if node else 0, event[2])
+            names = run_tokens(node, event[2])
             blocks.add(entities.unescape(event[2]), not all(map(template.fixed_word, names)))
             continue
-        if node.name not in INLINE and node.name != "br":
+        name = node.name
+        if name not in INLINE and name != "br":
             blocks.end()
-        elif node.name == "br" and kind == OPEN:
+        elif name == "br" and kind == OPEN:
             blocks.add(" ", False)
         step = 1 if kind == OPEN else -1
-        article = node.name == "article"
-        if kind == CLOSE and article:
-            articles -= 1
-        quiet = node.aside or strict and node.named or node.name in LISTS and token(node.path, "<") in template.menus
+        if kind == CLOSE:
+            articles -= name == "article"
+            mains -= name == "main"
+        quiet = node.aside or strict and node.named or name in LISTS and node.opened in template.menus
         # The head of an article keeps its headings; an article inside another is a comment on it.
-        if node.name == "header":
-            if _article_around(node):
+        if name == "header":
+            if articles or mains:
                 heads += step
             else:
                 quiet = True
-        elif article and articles > 0 and not quiet:
+        elif name == "article" and articles > 0:
             quiet = True
-        if kind == OPEN and article:
-            articles += 1
+        if kind == OPEN:
+            articles += name == "article"
+            mains += name == "main"
+        headings += step if name in HEADINGS else 0
         silent += step if quiet else 0
-        if marked and node.name == marked or box is not None and token(node.path, "<") == box:
+        if marked and name == marked or box is not None and node.opened == box:
             inside += step
     blocks.end()
     kept = [text for text, own in blocks.done if own]
@@ -326,39 +332,21 @@ def read_slots(page: str, template: Template, strict: bool) -> list[str]:
 
 
 def _marked(walk: list[tuple], strict: bool) -> str | None:
-    """``article`` or ``main`` if the page has one outside everything silenced that holds text."""
-    seen: set[str] = set()
-    silent = 0
+    """``article`` or else ``main`` if the page has one that holds text outside everything silenced."""
+    within = {"article": 0, "main": 0}
+    silent, main = 0, False
     for event in walk:
-        node = event[1]
-        if event[0] == OPEN:
-            silent += node.aside or strict and node.named
-        elif event[0] == CLOSE:
-            silent -= node.aside or strict and node.named
-        elif not silent and event[2].strip():
-            while node is not None:
-                if node.name in ("article", "main"):
-                    seen.add(node.name)
-                node = node.parent
-            if "article" in seen:
-                return "article"
-    return "main" if seen else None
-
-
-def _article_around(node: Node | None) -> bool:
-    while node is not None:
-        if node.name in ("article", "main"):
-            return True
-        node = node.parent
-    return False
-
-
-def _in_heading(node: Node | None) -> bool:
-    while node is not None and node.name != "header":
-        if node.name in HEADINGS:
-            return True
-        node = node.parent
-    return False
+        if event[0] == TEXT:
+            if not silent and (within["article"] or within["main"]) and event[2].strip():
+                if within["article"]:
+                    return "article"
+                main = True
+            continue
+        node, step = event[1], 1 if event[0] == OPEN else -1
+        silent += step if node.aside or strict and node.named else 0
+        if node.name in within:
+            within[node.name] += step
+    return "main" if main else None
 
 
 def main_text(page: str, template: Template) -> str:
@@ -421,7 +409,8 @@ def host_templates(pages: DataFrame) -> DataFrame:
     whole = sums.groupBy("host", "token").agg(*[F.sum(c).alias(c) for c in ("high", "low", "pages", "total")], F.min("at").alias("at"), F.sum("words").alias("words"), F.sum("links").alias("links"), F.max("kind").alias("kind"))
     hosts = sums.where("token = 0").groupBy("host").agg(F.sum("pages").alias("all_pages"))
     enough = F.when(F.col("kind").bitwiseAND(WORD) == 0, F.col("pages") >= TAG_SHARE * F.col("all_pages")).otherwise((F.col("all_pages") >= WORD_PAGES) & (F.col("pages") >= WORD_SHARE * F.col("all_pages")))
-    rows = whole.where("token <> 0").join(hosts, "host").where(enough)
+    # A host's tokens may be a third of all, so its one row is broadcast while the hosts are few; beyond, hot ones are split by adaptive execution.
+    rows = whole.where("token <> 0").join(small_side(stored(hosts, "hosts"), most=BROADCAST_HOSTS), "host").where(enough)
     fields = ("token", "high", "low", "pages", "total", "at", "words", "links", "kind")
     gathered = rows.groupBy("host").agg(F.collect_list(F.struct(*fields)).alias("rows"))
     gathered = hosts.join(gathered, "host", "left").select("host", F.col("all_pages").alias("pages"), F.coalesce("rows", F.array().cast(gathered.schema["rows"].dataType)).alias("rows"))

@@ -42,6 +42,7 @@ SIBLINGS = {
     "tbody": ({"tr", "td", "th", "thead", "tbody"}, {"table"}),
     "option": ({"option"}, {"select"}),
 }
+ENDING = ENDS_PARAGRAPH | {"body", *SIBLINGS}
 SCOPE = frozenset("table td th caption button object".split())
 
 #: Elements that never hold main text.
@@ -63,11 +64,12 @@ ARTICLE_ASIDE = frozenset("ad ads advert advertisement sponsored promo related r
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 
 
-class Node:
-    __slots__ = ("name", "parent", "path", "named", "aside")
+class Role:
+    """What an element is, apart from its place on a page: its path and what names say of it."""
 
-    def __init__(self, name: str, parent: Node | None, attributes: str) -> None:
-        self.name, self.parent = name, parent
+    __slots__ = ("path", "opened", "closed", "words", "named", "aside")
+
+    def __init__(self, parent: int, name: str, attributes: str) -> None:
         marks: list[set[str]] = []
         shown, hidden = name, False
         if attributes.strip():
@@ -78,13 +80,40 @@ class Node:
                     marks += [{p.lower() for p in _NAME_PART.findall(word)} for word in value.split()]
                 elif key == "hidden" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
                     hidden = True
-        #: Names the element's role: all elements, classes (numbers aside) and ids on the way to it.
-        self.path = xxhash.xxh3_64_intdigest(f"{parent.path if parent else 0} {hidden} {shown}")
+        #: All elements, classes (numbers aside) and ids on the way to it.
+        self.path = xxhash.xxh3_64_intdigest(f"{hidden} {shown}", parent)
+        #: The tokens of its tags, and the seeds of the tokens of its words and longer runs of text.
+        self.opened, self.closed = token("<", self.path), token(">", self.path)
+        self.words = xxhash.xxh3_64_intdigest("w", self.path), xxhash.xxh3_64_intdigest("t", self.path)
         #: Silenced by its class names alone, or by what it is.
         self.named = name not in NEVER_ASIDE and any(_silences(m, name) for m in marks)
         self.aside = name in ASIDE or hidden
 
 
+#: Roles met so far, as pages of a host have the same ones over and over.
+_roles: dict[tuple[int, str, str], Role] = {}
+MOST_ROLES = 100_000
+
+
+def token(what: str, seed: int) -> int:
+    found = xxhash.xxh3_64_intdigest(what, seed)
+    return found - (1 << 64) if found >= 1 << 63 else found
+
+
+class Node:
+    __slots__ = ("name", "parent", "role", "opened", "named", "aside")
+
+    def __init__(self, name: str, parent: Node | None, attributes: str) -> None:
+        self.name, self.parent = name, parent
+        key = parent.role.path if parent else 0, name, attributes
+        role = _roles.get(key)
+        if role is None:
+            if len(_roles) >= MOST_ROLES:
+                _roles.clear()
+            role = _roles[key] = Role(*key)
+        self.role, self.opened, self.named, self.aside = role, role.opened, role.named, role.aside
+
+
 def _silences(mark: set[str], name: str) -> bool:
     found = mark & (ARTICLE_ASIDE if name == "article" else ASIDE_NAMES)
     return bool(found) and not mark & TURNING_NAMES and not (found == {"header"} and mark & TEXT_NAMES)
@@ -98,6 +127,7 @@ def events(html: str) -> list[tuple]:
     out: list[tuple] = []
     stack: list[Node] = []
     places: dict[str, list[int]] = defaultdict(list)
+    paragraphs = places["p"]
 
     def close(until: int) -> None:
         while len(stack) > until:
@@ -111,9 +141,8 @@ def events(html: str) -> list[tuple]:
     def end_implied(name: str) -> None:
         """Close what the start of ``name`` ends: a paragraph before a block, a list item before the next, head before body."""
         if name in ENDS_PARAGRAPH:
-            paragraph = last(("p",))
-            if paragraph > last(SCOPE):
-                close(paragraph)
+            if paragraphs and paragraphs[-1] > last(SCOPE):
+                close(paragraphs[-1])
         elif name in SIBLINGS:
             ended, scope = SIBLINGS[name]
             floor = last(scope)
@@ -133,12 +162,13 @@ def events(html: str) -> list[tuple]:
         if lt < 0:
             text(html[at:])
             break
-        text(html[at:lt])
-        comment = _COMMENT.match(html, lt)
-        if comment:
-            at = comment.end()
+        if lt > at:
+            text(html[at:lt])
+        follows = html[lt + 1 : lt + 2]
+        if follows in ("!", "?"):
+            at = _COMMENT.match(html, lt).end()
             continue
-        if not html[lt + 1 : lt + 2].isalpha() and html[lt + 1 : lt + 2] != "/":
+        if follows != "/" and not follows.isalpha():
             text("<")
             at = lt + 1
             continue
@@ -154,13 +184,15 @@ def events(html: str) -> list[tuple]:
             at = lt + 1
             continue
         at = tag.end()
-        name = tag.group(2).lower()
-        if tag.group(1) and name != "br":
-            if places.get(name):
+        closing, name, attributes = tag.groups()
+        name = name.lower()
+        if closing and name != "br":
+            if places[name]:
                 close(places[name][-1])
             continue
-        end_implied(name)
-        node = Node(name, stack[-1] if stack else None, tag.group(3))
+        if name in ENDING:
+            end_implied(name)
+        node = Node(name, stack[-1] if stack else None, attributes)
         out.append((OPEN, node))
         if name in RAW:
             over = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(html, at)

@@ -86,6 +86,7 @@ def hosts(rng):
 def test_known_pages(spark, monkeypatch, most):
     monkeypatch.setattr(he, "BROADCAST_TEMPLATES", most)
     monkeypatch.setattr(he, "PAGES_PER_SALT", 3 if not most else 2000)
+    monkeypatch.setattr(he, "BROADCAST_HOSTS", 2 if not most else 1000)
     monkeypatch.setattr(he, "HELD_TOKENS", 50 if not most else 300_000)
     rows, want = hosts(random.Random(5))
     rows += [(900, None, "<article>nowhere</article>"), (None, None, "<article>nowhere</article>"), rows[0]]
