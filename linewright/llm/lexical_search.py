@@ -33,9 +33,11 @@ BLOCK_ROWS, BLOCK_BYTES = 2048, 1 << 22
 #: Levels of a count: level 0 is one occurrence, level i up to 2**i, the last one has no end.
 LEVELS = 16
 ITEMS_PER_PACK = 256
+#: Up to so many flags and weights a level is summed by one matrix product, beyond item by item.
+DENSE_FLAGS, DENSE_WEIGHTS = 1 << 19, 1 << 22
 #: So many times k documents of the highest bounds are scored to find the floor.
 PROBES = 2
-#: Up to so many terms of the items are sent to all tasks (about 40 MB); beyond, the counts of all terms are joined.
+#: Up to so many terms of the items are sent to all tasks (about 40 MB); beyond, the counts of all terms are joined, and packs meet blocks by shuffle.
 VOCABULARY = 1_000_000
 #: Up to so many candidate keys (8 bytes each) are broadcast to thin the documents before the join.
 BROADCAST_KEYS = 2_000_000
@@ -155,15 +157,18 @@ class Pack:
         self.items = items
         number = {t: i for i, t in enumerate(dict.fromkeys(terms))}
         self.hashes = term_hashes(list(number))
-        at = np.array([number[t] for t in terms], np.int64)
-        self.of = [(at[a:b], weights[a:b].astype(np.float32)) for a, b in zip(offsets[:-1], offsets[1:])]
+        # One entry for each term of each item: its item's place, its term's place, its weight.
+        self.terms = np.array([number[t] for t in terms], np.int64)
+        self.owners = np.repeat(np.arange(len(items)), np.diff(offsets))
+        self.weights = weights.astype(np.float32)
+        self.cuts = offsets
 
     def bounds(self, slices: int, sizes: list[int], bits: bytes, documents: int, terms: int) -> np.ndarray:
         """No document's score for an item exceeds its value here: one row for each item, one column for each document."""
         count = len(sizes)
         m = np.array([normaliser(n, documents, terms) for n in sizes], np.float64)
         held = np.frombuffer(bits, np.uint8).reshape(slices, -1)
-        total = np.zeros((len(self.of), count))
+        total = np.zeros((len(self.items), count))
         present, before = None, np.zeros(count)
         alive = np.arange(len(self.hashes))
         for level in range(LEVELS):
@@ -177,18 +182,28 @@ class Pack:
             most = np.minimum(np.full(count, 1 << level if level < LEVELS - 1 else 1 << 62, np.float64), np.array(sizes, np.float64))
             # The real quotient, a little raised, is above its floor.
             upto = 1e9 * most / (1000 * most + 8 * m) * (1 + 1e-9)
-            where = np.full(len(self.hashes), -1)
-            where[alive] = np.arange(len(alive))
-            flags = np.unpackbits(present, axis=1, count=count)
-            for i, (at, weights) in enumerate(self.of):
-                rows = where[at]
-                used = rows >= 0
-                if used.any():
-                    total[i] += (weights[used] @ flags[rows[used]].astype(np.float32)) * (upto - before)
+            total += self.weighted(alive, np.unpackbits(present, axis=1, count=count)) * (upto - before)
             before = upto
         # Sums in float32 of at most that many positive numbers are off by no more than this factor.
-        rounding = 1 + 2.0**-22 * (4 + np.array([len(at) for at, _ in self.of]))
-        return total * rounding[:, None]
+        return total * (1 + 2.0**-22 * (4 + np.diff(self.cuts)))[:, None]
+
+    def weighted(self, alive: np.ndarray, flags: np.ndarray) -> np.ndarray:
+        """Sums of the items' weights over the terms ``alive``, for the documents flagged for them."""
+        where = np.full(len(self.hashes), -1)
+        where[alive] = np.arange(len(alive))
+        rows = where[self.terms]
+        if flags.size <= DENSE_FLAGS and len(self.items) * len(alive) <= DENSE_WEIGHTS:
+            used = rows >= 0
+            matrix = np.zeros((len(self.items), len(alive)), np.float32)
+            matrix[self.owners[used], rows[used]] = self.weights[used]
+            return matrix @ flags.astype(np.float32)
+        out = np.zeros((len(self.items), flags.shape[1]), np.float32)
+        for i, (start, end) in enumerate(zip(self.cuts[:-1], self.cuts[1:])):
+            own = rows[start:end]
+            used = own >= 0
+            if used.any():
+                out[i] = self.weights[start:end][used] @ flags[own[used]].astype(np.float32)
+        return out
 
 
 def _pack_of(batch: pa.RecordBatch, i: int, cache: dict) -> Pack:
@@ -217,12 +232,10 @@ def _probes(k: int, documents: int, terms: int):
         """Each item's ``k`` documents of the highest bounds among the task's blocks."""
         held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for pack, _, keys, bounds in _blocks_in(batches, documents, terms):
-            for item, row in zip(pack.items.tolist(), bounds):
-                at = np.flatnonzero(row)
-                if item in held and len(held[item][0]) >= k:
-                    at = at[row[at] > held[item][0].min()]
-                if not len(at):
-                    continue
+            enough = np.array([held[i][0].min() if i in held and len(held[i][0]) >= k else 0.0 for i in pack.items.tolist()])
+            for place in np.flatnonzero(bounds.max(axis=1, initial=0) > enough):
+                item, row = int(pack.items[place]), bounds[place]
+                at = np.flatnonzero(row > enough[place])
                 values, found = row[at], keys[at]
                 if item in held:
                     values, found = np.concatenate([held[item][0], values]), np.concatenate([held[item][1], found])
@@ -304,7 +317,10 @@ def ranked_search(
     weighted = words.join(counted, "term").select("item", "term", (F.col("times") * weight).alias("weight")).where("weight > 0")
     wanted = weighted.groupBy("item").agg(F.sort_array(F.collect_list(F.struct("term", "weight"))).alias("of"))
     wanted = stored(wanted.select("item", F.transform("of", lambda t: t["term"]).alias("terms"), F.transform("of", lambda t: t["weight"]).alias("weights")), "wanted")
-    packs = max(1, math.ceil(wanted.count() / ITEMS_PER_PACK))
+    held = wanted.agg(F.count("*").alias("items"), F.sum(F.size("terms")).alias("terms")).first()
+    packs = max(1, math.ceil(held["items"] / ITEMS_PER_PACK))
+    few_terms = (held["terms"] or 0) <= VOCABULARY
+    spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pack = F.pmod(F.xxhash64("item"), F.lit(packs)).cast("int").alias("pack")
 
     def against(floors: DataFrame | None) -> DataFrame:
@@ -320,7 +336,13 @@ def ranked_search(
             F.transform("rows", lambda r: r["floor"]).alias("floors"),
         )
         dealt = blocks.withColumn("pack", F.explode(F.sequence(F.lit(0), F.lit(packs - 1))))
-        return dealt.join(flat, "pack").select("pack", "items", "lengths", "terms", "weights", "floors", "slices", "keys", "sizes", "bits")
+        if few_terms:
+            both = dealt.join(F.broadcast(flat), "pack")
+        else:
+            # A copy of each pack for every task, so that a few packs do not gather all blocks in a few tasks.
+            copies = F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("copy")
+            both = dealt.withColumn("copy", F.pmod(F.xxhash64("keys"), F.lit(spread)).cast("int")).join(flat.select("*", copies), ["pack", "copy"])
+        return both.select("pack", "items", "lengths", "terms", "weights", "floors", "slices", "keys", "sizes", "bits")
 
     def scored(pairs: DataFrame) -> DataFrame:
         """item, doc_id, key, score of the documents of ``pairs`` (item, key), from their whole texts."""

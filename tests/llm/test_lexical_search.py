@@ -59,7 +59,7 @@ def test_small_tables(spark, monkeypatch, small):
     docs += [(700 + i, texts[8]) for i in range(25)] + docs[:10]
     items = [(i, t) for i, t in enumerate(sample(2, 20))] + [(30, None), (31, ""), (32, "zzz-unseen"), (33, texts[8]), (33, texts[9]), (34, "the the the"), (33, texts[8]), (35, "CAT\u0085dog")]
     if small:
-        for name, value in [("BLOCK_ROWS", 8), ("ITEMS_PER_PACK", 2), ("VOCABULARY", 5), ("BROADCAST_KEYS", 2), ("COUNTED_TERMS", 10)]:
+        for name, value in [("BLOCK_ROWS", 8), ("ITEMS_PER_PACK", 2), ("VOCABULARY", 5), ("BROADCAST_KEYS", 2), ("COUNTED_TERMS", 10), ("DENSE_FLAGS", 0)]:
             monkeypatch.setattr(ls, name, value)
     want = plain(docs, items)
     assert len(want) > 200
