@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linewright.llm.common import byte_views, free_name, text_key, text_of
+from linewright.llm.common import BLANK, byte_views, free_name, text_key, text_of
 from linewright.llm.repeats import RUN_SCHEMA, joined_ranges, repeated_runs, run_table
 
 WINDOW = 400
@@ -268,13 +268,23 @@ def _compare(window: int):
     return batches
 
 
-def _cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(least_words: int):
     """(key, text, ranges) -> what is left of the text."""
+
+    def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _cut_batches(parts, least_words)
+
+    return cut
+
+
+def _cut_batches(parts: Iterator[pa.RecordBatch], least_words: int) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("key", pa.binary()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string()), ("spans", pa.list_(pa.list_(pa.int32())))])
     for part in parts:
         rows, size = [], 0
         for key, view, flat in zip(part.column(0).to_pylist(), byte_views(part.column(1)), part.column(2).to_pylist()):
             spans = joined_ranges([(r["start"], r["end"]) for r in flat])
+            if least_words:
+                spans = [(a, b) for a, b in spans if len(bytes(view[a:b]).split()) >= least_words]
             edges = [0, *(x for s in spans for x in s), len(view)]
             kept = b"".join(view[a:b] for a, b in zip(edges[::2], edges[1::2]))
             rows.append((key, len(view) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore"), [list(s) for s in spans]))
@@ -315,7 +325,7 @@ def repeated_spans(docs: DataFrame, *, text: str = "text", window: int = WINDOW,
     return known.union(inside).union(found)
 
 
-def without_repeats(docs: DataFrame, *, text: str = "text", window: int = WINDOW, anchor: int = ANCHOR, many: int = MANY_CONTENTS, with_text: bool = False) -> DataFrame:
+def without_repeats(docs: DataFrame, *, text: str = "text", window: int = WINDOW, anchor: int = ANCHOR, many: int = MANY_CONTENTS, with_text: bool = False, least_words: int = 0) -> DataFrame:
     """``docs`` with n_bytes, n_removed, n_spans, kept_sha256 (and ``kept``, the text left, if asked for).
 
     Removes every byte covered by a ``window``-byte string that also starts
@@ -323,7 +333,8 @@ def without_repeats(docs: DataFrame, *, text: str = "text", window: int = WINDOW
     count as empty; repeated rows are copies of each other; texts shorter than
     the window keep everything; an empty table stays empty. The digest is of all
     bytes left; ``kept`` leaves out what a cut leaves of a multi-byte character.
-    Columns of ``docs`` with the names of results are replaced.
+    Columns of ``docs`` with the names of results are replaced. With ``least_words``
+    only removed runs of so many blank-separated words (cut ones counted) go.
     """
     bodies = once_each(docs, text)
     ranges = repeated_spans(docs, text=text, window=window, anchor=anchor, many=many, bodies=bodies)
@@ -331,15 +342,16 @@ def without_repeats(docs: DataFrame, *, text: str = "text", window: int = WINDOW
     columns = ["n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else [])]
     cut = (
         bodies.join(lists, "key")
-        .mapInArrow(_cut, "key binary, n_removed long, n_spans long, kept_sha256 string, kept string, spans array<array<int>>")
+        .mapInArrow(_cut(least_words), "key binary, n_removed long, n_spans long, kept_sha256 string, kept string, spans array<array<int>>")
         .groupBy("key")
         .agg(*[F.min(c).alias(c) for c in columns])
     )
     results = {"n_bytes", *columns}
-    own, size, digest = (free_name(n, docs.columns) for n in ("suffix_key", "suffix_size", "suffix_digest"))
+    own, size, digest, count = (free_name(n, docs.columns) for n in ("suffix_key", "suffix_size", "suffix_digest", "suffix_words"))
     body = text_of(text)
     base = docs.withColumns({own: text_key(text), size: F.octet_length(body).cast("long"), digest: F.sha2(body, 256)})
-    copies = base.groupBy(own).agg(F.count("*").alias("n"), F.first(size).alias("size")).where((F.col("n") > 1) & (F.col("size") >= window))
+    base = base.withColumn(count, F.size(F.filter(F.split(body, BLANK), lambda w: w != "")) if least_words else F.lit(0))
+    copies = base.groupBy(own).agg(F.count("*").alias("n"), F.first(size).alias("size"), F.first(count).alias("words")).where((F.col("n") > 1) & (F.col("size") >= window) & (F.col("words") >= least_words))
     copied = copies.select(F.col(own).alias("key"), F.col("size").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(hashlib.sha256(b"").hexdigest()).alias("kept_sha256"), *([F.lit("").alias("kept")] if with_text else []))
     # Both may know a text that is there twice; the whole removal has the larger count.
     found = copied.unionByName(cut).groupBy("key").agg(F.max(F.struct(*columns)).alias("_found"))

@@ -24,6 +24,23 @@ def repeated_bytes(texts, window):
     return out
 
 
+def without_repeated_runs(texts, window, words):
+    """Each text (bytes) without the runs of that many words that consist of strings of ``window`` bytes seen elsewhere too."""
+    seen = Counter(t[i : i + window] for t in texts for i in range(len(t) - window + 1))
+    out = []
+    for t in texts:
+        spans = []
+        for i in range(len(t) - window + 1):
+            if seen[t[i : i + window]] > 1:
+                if spans and i <= spans[-1][1]:
+                    spans[-1][1] = i + window
+                else:
+                    spans.append([i, i + window])
+        spans = [(a, b) for a, b in spans if len(t[a:b].split()) >= words]
+        out.append(b"".join(t[a:b] for a, b in zip([0, *(b for _, b in spans)], [*(a for a, _ in spans), len(t)])))
+    return out
+
+
 def repeated_words(texts, window):
     """n_words, n_removed, kept_sha256 of each text (bytes)."""
     words = [t.split() for t in texts]
