@@ -8,6 +8,8 @@ import numpy as np
 
 #: Cut points of a feature, at most; features with fewer values are cut between all of them.
 CUTS = 255
+#: Slots that the rows behind summed entries are dealt to.
+SLOTS = 64
 
 
 @dataclass(frozen=True)
@@ -33,22 +35,27 @@ class BoostedTrees:
     def _codes(self, x: np.ndarray) -> np.ndarray:
         return np.stack([np.searchsorted(cuts, x[:, j], side="left") for j, cuts in enumerate(self.cuts)], axis=1)
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> BoostedTrees:
+    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, slot: np.ndarray | None = None) -> BoostedTrees:
+        """``weight`` and ``slot``: an entry stands for so many rows of equal features, ``y`` being the sum of theirs, and trees draw
+        the SLOTS slots that rows were dealt to instead of rows.
+        """
         s, rng = self.settings, np.random.default_rng(self.settings.seed)
-        self.cuts = [_cuts(x[:, j]) for j in range(x.shape[1])]
+        self.cuts = [_cuts(x[:, j], weight) for j in range(x.shape[1])]
         codes = self._codes(x)
-        self.base = float(y.mean())
+        weight = np.ones(len(y)) if weight is None else weight
+        self.base = float(y.sum() / weight.sum()) if slot is not None else float(y.mean())
         value = np.full(len(y), self.base)
         self.trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for _ in range(s.trees):
-            rows = np.flatnonzero(rng.random(len(y)) < s.row_share)
+            drawn = rng.random(len(y) if slot is None else SLOTS) < s.row_share
+            rows = np.flatnonzero(drawn if slot is None else drawn[slot])
             columns = np.sort(rng.permutation(x.shape[1])[: max(1, int(s.column_share * x.shape[1]))])
-            tree = self._grow(codes[rows], y[rows] - value[rows], columns)
+            tree = self._grow(codes[rows], y[rows] - weight[rows] * value[rows], weight[rows], columns)
             value += _leaves(tree, codes, s.depth)
             self.trees.append(tree)
         return self
 
-    def _grow(self, codes: np.ndarray, rest: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _grow(self, codes: np.ndarray, rest: np.ndarray, weight: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """A full binary tree in heap order: feature and last left code of every inner node, value of every leaf.
 
         A node that no split improves sends all its rows to the left.
@@ -63,7 +70,7 @@ class BoostedTrees:
             for j in columns:
                 at = node * width + codes[:, j]
                 total = np.bincount(at, rest, nodes * width).reshape(nodes, width).cumsum(axis=1)
-                count = np.bincount(at, minlength=nodes * width).reshape(nodes, width).cumsum(axis=1)
+                count = np.bincount(at, weight, nodes * width).reshape(nodes, width).cumsum(axis=1)
                 whole, n = total[:, -1:], count[:, -1:]
                 gain = total**2 / (count + s.penalty) + (whole - total) ** 2 / (n - count + s.penalty) - whole**2 / (n + s.penalty)
                 gain[(count < s.least_rows) | (n - count < s.least_rows)] = -1.0
@@ -75,7 +82,7 @@ class BoostedTrees:
                 last_left[first : first + nodes][better] = place[better]
             node = 2 * node + (codes[np.arange(len(rest)), feature[first + node]] > last_left[first + node])
         leaves = 1 << s.depth
-        value = s.rate * np.bincount(node, rest, leaves) / (np.bincount(node, minlength=leaves) + s.penalty)
+        value = s.rate * np.bincount(node, rest, leaves) / (np.bincount(node, weight, leaves) + s.penalty)
         return feature, last_left, value
 
     def predict(self, x: np.ndarray) -> np.ndarray:
@@ -83,10 +90,10 @@ class BoostedTrees:
         return self.base + sum((_leaves(t, codes, self.settings.depth) for t in self.trees), np.zeros(len(x)))
 
 
-def _cuts(values: np.ndarray) -> np.ndarray:
+def _cuts(values: np.ndarray, weight: np.ndarray | None = None) -> np.ndarray:
     distinct = np.unique(values)
     if len(distinct) > CUTS + 1:
-        distinct = np.unique(np.quantile(values, np.linspace(0, 1, CUTS + 1), method="inverted_cdf"))
+        distinct = np.unique(np.quantile(values, np.linspace(0, 1, CUTS + 1), method="inverted_cdf", weights=weight))
     return (distinct[:-1] + distinct[1:]) / 2
 
 

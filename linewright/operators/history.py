@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from linewright import fixed_values as fixed
 from linewright.functions import pricing
 from linewright.functions.ordered import BLOCK, attach, ordered_scan, range_blocks
-from linewright.functions.trees import BoostedTrees, TreeSettings
+from linewright.functions.trees import SLOTS, BoostedTrees, TreeSettings
 from linewright.session import cut_lineage, new_folder, written
 
 POSITION = "pos"
@@ -244,7 +244,9 @@ def walk_forward_trees(
 
     A series of at most ``most_rows`` rows is fitted inside tasks: a task gets a few
     folds of one series and, once for all of them, the rows before. All such fits of all
-    series are one job. A longer series goes to MLlib's trees with the same settings, a
+    series are one job. A longer series is summed first (``_summed_trees``): squared error
+    needs of rows of equal features only their number and the sum of their targets. What
+    has more than ``most_rows`` sums goes to MLlib's trees with the same settings, a
     distributed fit per fold (``walk_forward_estimators``). Adds ``fold`` and
     ``prediction`` (NULL on rows never predicted, and in folds without a past).
     """
@@ -252,7 +254,7 @@ def walk_forward_trees(
     sizes = numbered.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), F.max("fold").alias("_last"))
     sized = cut_lineage(attach(numbered, sizes, group))
     short = sized.where(F.col("_n") <= most_rows)
-    chunk = F.explode(F.expr(f"sequence(cast(greatest(fold, 0) div {FOLDS_PER_TASK} as int), cast(greatest(_last, 0) div {FOLDS_PER_TASK} as int))"))
+    chunk = _chunks()
     trees = BoostedTrees(TreeSettings(
         trees=settings["maxIter"], rate=settings["stepSize"], depth=settings["maxDepth"], least_rows=settings["minInstancesPerNode"],
         row_share=settings["subsamplingRate"], column_share=float(settings["featureSubsetStrategy"]), seed=settings["seed"],
@@ -278,10 +280,58 @@ def walk_forward_trees(
     long = sized.where(F.col("_n") > most_rows)
     if long.isEmpty():
         return out
-    distributed = walk_forward_estimators(long.select(*df.columns), group, features, config, GBTRegressor(**settings), target=target, parallel=parallel)
+    summed, longest = _summed_trees(long, group, names, target, trees.settings, most_rows)
+    out = out.unionByName(summed)
+    if longest.isEmpty():
+        return out
+    distributed = walk_forward_estimators(longest.select(*df.columns), group, features, config, GBTRegressor(**settings), target=target, parallel=parallel)
     return out.unionByName(distributed)
 
 
+def _chunks():
+    """The chunks of folds that need a row, of its own fold on."""
+    return F.explode(F.expr(f"sequence(cast(greatest(fold, 0) div {FOLDS_PER_TASK} as int), cast(greatest(_last, 0) div {FOLDS_PER_TASK} as int))"))
+
+
+def _summed_trees(long: DataFrame, group: Sequence[str], names: Sequence[str], target: str, settings: TreeSettings, most_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(rows with predictions, rows of series that have more than ``most_rows`` sums).
+
+    Rows of one series, fold, slot (by hash of the position) and equal features become one
+    entry: their number and sum of targets. A task fits on the entries of earlier folds alone.
+    """
+    keys = [f"_f{i}" for i in range(len(names))]
+    values = [F.col(n).cast("double") for n in names]
+    placed = long.withColumns({k: F.when(~F.isnan(x), x) for k, x in zip(keys, values)})
+    number = F.coalesce(F.col(target).cast("double"), F.lit(float("nan")))
+    slot = F.pmod(F.xxhash64(POSITION), F.lit(SLOTS)).cast("int").alias("_slot")
+    sums = cut_lineage(placed.groupBy(*group, "fold", "_last", slot, *keys).agg(F.count(F.lit(1)).alias("_n"), F.sum(number).alias("_sum")))
+    entries = sums.groupBy(*group).agg(F.count(F.lit(1)).alias("_entries"))
+    placed, sums = attach(placed, entries, group), attach(sums, entries, group)
+
+    def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        fold = rows["fold"].to_numpy()
+        own = np.maximum(fold, 0) // FOLDS_PER_TASK == key[-1]
+        rows["_sum"] = rows["_sum"].astype(float)
+        found = []
+        for f in np.unique(fold[own & (fold >= 0)]):
+            past = rows[fold < f].groupby(["_slot", *keys], dropna=False, as_index=False)[["_n", "_sum"]].sum(min_count=1)
+            if len(past):
+                now = rows.loc[fold == f, [*group, "fold", *keys]].drop_duplicates()
+                trees = BoostedTrees(settings).fit(
+                    past[keys].to_numpy(float), past["_sum"].to_numpy(float), past["_n"].to_numpy(float), past["_slot"].to_numpy(int)
+                )
+                found.append(now.assign(prediction=trees.predict(now[keys].to_numpy(float))))
+        return pd.concat(found) if found else rows.iloc[:0][[*group, "fold", *keys]].assign(prediction=np.zeros(0))
+
+    here = [*group, "fold", *keys]
+    schema = T.StructType([*[sums.schema[c] for c in here], T.StructField("prediction", T.DoubleType())])
+    fitting = sums.where(F.col("_entries") <= most_rows)
+    made = fitting.select(*here, "_slot", "_n", "_sum", _chunks().alias("_chunk")).groupBy(*group, "_chunk").applyInPandas(fit, schema)
+    kept = [c for c in long.columns if c not in ("_n", "_last")]
+    done = attach(placed.where(F.col("_entries") <= most_rows), made, here).select(*kept, "prediction")
+    return done, placed.where(F.col("_entries") > most_rows).select(*kept)
+
+
 def final_models(
     df: DataFrame, key: str, features: Sequence[str], estimator: Estimator, *, target: str = "y", parallel: int = 4
 ) -> dict[str, object]:

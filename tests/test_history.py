@@ -150,6 +150,27 @@ def test_walk_forward_trees(spark, monkeypatch):
     assert len(errors) == 50 and np.mean(errors) < rows[rows.model_version == "v1"].y.var()
 
 
+def test_walk_forward_trees_of_summed_rows(spark, monkeypatch):
+    """A long series of few feature vectors is fitted on sums, as on its rows when trees see all of them; MLlib is not asked."""
+    monkeypatch.setattr(history, "walk_forward_estimators", lambda *a, **k: pytest.fail("a fit per fold"))
+    monkeypatch.setattr(history, "FOLDS_PER_TASK", 2)
+    df = history.with_position(series(spark, 150, "v1").unionByName(series(spark, 150, "v2", seed=8)), ["model_version"], ["ts"])
+    df = df.withColumns({"a": F.col("pos") % 2, "b": F.when(F.col("pos") % 3 > 0, F.lit(1.0)), "y": F.col("y") + F.col("a") * 3})
+    config = history.WalkForward(min_train_size=60, test_size=40)
+    whole = fixed.BOOSTED_TREES | {"maxIter": 8, "stepSize": 0.2, "subsamplingRate": 1.0, "featureSubsetStrategy": "1.0"}
+    run = lambda rows, settings, **more: {(r.model_version, r.pos): (r.fold, r.prediction) for r in history.walk_forward_trees(rows, ["model_version"], ["a", "b"], config, settings=settings, **more).collect()}
+    monkeypatch.setattr("linewright.functions.trees.SLOTS", 4)
+    monkeypatch.setattr(history, "SLOTS", 4)
+    got, want = run(df, whole, most_rows=149), run(df, whole)
+    assert set(got) == set(want) and len(got) == 300
+    for k, (fold, prediction) in want.items():
+        assert got[k] == (fold, prediction if prediction is None else pytest.approx(prediction, abs=1e-9))
+    early = run(df.where("pos < 140"), whole, most_rows=139)
+    assert all(early[k] == (got[k][0], got[k][1] if got[k][1] is None else pytest.approx(got[k][1], abs=1e-9)) for k in early)
+    drawn = run(df, whole | {"subsamplingRate": 0.6}, most_rows=149)
+    assert all((p is None) == (f < 0) for f, p in drawn.values())
+
+
 def test_final_models_of_many_series(spark):
     df = history.with_position(series(spark, 40, "v1").unionByName(series(spark, 40, "v2", seed=8)), ["model_version"], ["ts"])
     models = history.final_models(df, "model_version", ["a", "b"], LinearRegression(solver="normal"))
