@@ -43,6 +43,17 @@ def decide(spark, cases):
 UNCALIBRATED = {"model.calibration_status": "uncalibrated", "model.calibration_method": "none", "model.probability_calibrated": None}
 
 
+def test_hashes_come_with_shared_documents(spark):
+    """Assembled candidates carry the hashes of their shared documents; decisions are those of candidates without them."""
+    sf = "/root/testdata/sf0.001"
+    rows = cut_lineage(decision.with_contract_gate(decision_queries.decision_queries.assembled(spark, sf)))
+    carried = [c for c in rows.columns if c.startswith("_sha_")]
+    assert sorted(carried) == ["_sha_context", "_sha_policy", "_sha_portfolio"]
+    kept, taken_anew = cut_lineage(decision.decide(rows)), cut_lineage(decision.decide(rows.drop(*carried)))
+    assert kept.columns == taken_anew.columns and kept.exceptAll(taken_anew).isEmpty() and kept.count() == taken_anew.count() > 100
+    assert not rows.where("portfolio IS NULL").isEmpty() and not rows.where("context IS NULL").isEmpty()
+
+
 def test_golden_candidate_both_tiers(spark):
     done, loose = decide(spark, [{}, UNCALIBRATED])
     assert (done.decision, list(done.reason_codes)) == ("BET", ["QUALIFIED"])
