@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,9 +38,9 @@ ITEMS_PER_PACK = 256
 DENSE_FLAGS, DENSE_WEIGHTS = 1 << 19, 1 << 22
 #: So many times k documents of the highest bounds are scored to find the floor.
 PROBES = 2
-#: Up to so many terms of the items are sent to all tasks (about 40 MB); beyond, the counts of all terms are joined, and packs meet blocks by shuffle.
+#: Up to so many terms of the items are sent to all tasks (about 40 MB, with their weights); beyond, the counts of all terms are joined, and packs meet blocks by shuffle.
 VOCABULARY = 1_000_000
-#: Up to so many candidate keys (8 bytes each) are broadcast to thin the documents before the join.
+#: Up to so many candidate keys (8 bytes each) are broadcast to thin the documents before the join, and up to so many pairs so that no text is shuffled.
 BROADCAST_KEYS = 2_000_000
 #: Distinct terms that a task counts before it passes them on.
 COUNTED_TERMS = 200_000
@@ -260,19 +261,21 @@ def _candidates(documents: int, terms: int):
     return candidates
 
 
-def _scorer(documents: int, terms: int):
+def _scorer(documents: int, terms: int, known: Broadcast | None):
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Exact scores of whole texts: doc_id, key, text, asked (item, terms, weights)."""
+        """Exact scores of whole texts: doc_id, key, text, asked (items if their terms and weights are ``known``, else item, terms, weights)."""
         for batch in batches:
             out: list[tuple[int, int, int, int]] = []
             for doc, key, text, asked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), byte_views(batch.column(2)), batch.column(3)):
                 words = terms_of(text)
                 found = Counter(words)
                 m = normaliser(len(words), documents, terms) if words else 1
+                shares = {t: share(c, m) for t, c in found.items()}
                 for one in asked.as_py():
-                    score = sum(w * share(found[t], m) for t, w in zip(one["terms"], one["weights"]) if t in found)
+                    item, of = (one["item"], zip(one["terms"], one["weights"])) if known is None else (one, known.value[one])
+                    score = sum(w * shares[t] for t, w in of if t in shares)
                     if score > 0:
-                        out.append((one["item"], doc, key, score))
+                        out.append((item, doc, key, score))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["item", "doc_id", "key", "score"])
 
@@ -320,6 +323,10 @@ def ranked_search(
     held = wanted.agg(F.count("*").alias("items"), F.sum(F.size("terms")).alias("terms")).first()
     packs = max(1, math.ceil(held["items"] / ITEMS_PER_PACK))
     few_terms = (held["terms"] or 0) <= VOCABULARY
+    known = None
+    if few_terms:
+        whole = {r["item"]: list(zip(map(bytes, r["terms"]), r["weights"])) for r in wanted.toLocalIterator()}
+        known = docs.sparkSession.sparkContext.broadcast(whole)
     spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pack = F.pmod(F.xxhash64("item"), F.lit(packs)).cast("int").alias("pack")
 
@@ -346,12 +353,19 @@ def ranked_search(
 
     def scored(pairs: DataFrame) -> DataFrame:
         """item, doc_id, key, score of the documents of ``pairs`` (item, key), from their whole texts."""
-        full = pairs.distinct().join(wanted, "item").groupBy("key", pack).agg(F.collect_list(F.struct("item", "terms", "weights")).alias("asked"))
+        if known is None:
+            full = pairs.distinct().join(wanted, "item").groupBy("key", pack).agg(F.collect_list(F.struct("item", "terms", "weights")).alias("asked"))
+        else:
+            # A pair is two numbers; the items' terms are at the tasks already.
+            full = pairs.groupBy("key").agg(F.collect_set("item").alias("asked"))
         full = stored(full, "asked")
-        keys = full.select("key").distinct()
-        few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-        near = texts.join(F.broadcast(keys), "key", "left_semi") if few else texts
-        return near.join(full, "key").select("doc_id", "key", "text", "asked").mapInArrow(_scorer(n, length), "item long, doc_id long, key long, score long")
+        if known is not None and (full.agg(F.sum(F.size("asked"))).first()[0] or 0) <= BROADCAST_KEYS:
+            asking = texts.join(F.broadcast(full), "key")
+        else:
+            keys = full.select("key").distinct()
+            few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+            asking = (texts.join(F.broadcast(keys), "key", "left_semi") if few else texts).join(full, "key")
+        return asking.select("doc_id", "key", "text", "asked").mapInArrow(_scorer(n, length, known), "item long, doc_id long, key long, score long")
 
     def first(rows: DataFrame, by: str, most: int) -> DataFrame:
         order = Window.partitionBy("item").orderBy(F.col(by).desc(), *([F.col("doc_id").asc_nulls_last()] if by == "score" else []), "key")

@@ -66,6 +66,18 @@ def test_small_tables(spark, monkeypatch, small):
     assert run(spark, docs, items) == want
 
 
+def test_pairs_carry_no_terms(spark, monkeypatch):
+    """A pair of an item and a document is two numbers, not the item's terms; more pairs than are broadcast give the same rows."""
+    docs, items = list(enumerate(sample(5, 60))) + [(100 + i, "cat dog w7") for i in range(40)], list(enumerate(["cat dog w7 " + t for t in sample(6, 10)]))
+    made, plain_stored = {}, ls.stored
+    monkeypatch.setattr(ls, "stored", lambda df, name: made.setdefault(name, plain_stored(df, name)))
+    want = run(spark, docs, items)
+    assert dict(made["asked"].dtypes) == {"key": "bigint", "asked": "array<bigint>"}
+    monkeypatch.setattr(ls, "stored", plain_stored)
+    monkeypatch.setattr(ls, "BROADCAST_KEYS", 3)
+    assert run(spark, docs, items) == want == plain(docs, items)
+
+
 def test_empty_tables(spark):
     assert run(spark, [], []) == []
     assert run(spark, [], [(1, "cat")]) == []
