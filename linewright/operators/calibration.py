@@ -36,6 +36,8 @@ _FINEST = _INTERVALS * 8**5
 _SETTLED = 1e-6
 _EXACT_ROWS = 1_000
 _CHUNK = 256
+# Numbers in one array of a fit on intervals: with many occupied intervals fewer rows are fitted at a time.
+_HELD = 1 << 18
 _MOMENTS = [f"t{k}" for k in range(_ORDER)]
 _ANGLES = (np.arange(_ORDER) + 0.5) * math.pi / _ORDER
 # Sums of polynomials -> weights on the nodes.
@@ -114,6 +116,11 @@ def _fit_rows(x: np.ndarray, w: np.ndarray, sy: np.ndarray, sxy: np.ndarray, sta
     return beta, np.isfinite(beta).all(1) & (size <= _SETTLED)
 
 
+def _together(points: int) -> int:
+    """Rows that are fitted at a time on so many points."""
+    return min(_CHUNK, max(1, _HELD // max(1, points)))
+
+
 def _start(sy: np.ndarray, n: np.ndarray) -> np.ndarray:
     rate = np.clip(sy / np.maximum(n, 1), 1e-6, 1 - 1e-6)
     return np.stack([np.log(rate / (1 - rate)), np.zeros_like(rate)], axis=1)
@@ -237,12 +244,14 @@ def _block_fits(slim: DataFrame, group: list[str], minimum_history: int, interva
         fitted, settled = np.zeros(len(index), bool), np.zeros(len(index), bool)
         reach = np.zeros(len(index))
         start = None
-        for lo in range(0, len(index), _CHUNK):
-            hi = min(lo + _CHUNK, len(index))
+        hi, together = 0, _together(len(nodes))
+        while hi < len(index):
+            lo, hi = hi, min(hi + _CHUNK, len(index))
+            exact = first == 0 and hi <= _EXACT_ROWS + _CHUNK
+            hi = hi if exact else min(lo + together, len(index))
             span = np.arange(lo, hi)
             n = index[span].astype(float)
             ok = (n >= minimum_history) & (sy_before[span] > 0) & (sy_before[span] < n)
-            exact = first == 0 and hi <= _EXACT_ROWS + _CHUNK
             if ok.any():
                 pick = span[ok]
                 if exact:

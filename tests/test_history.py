@@ -312,6 +312,13 @@ def test_faulty_versions_are_report_rows(spark):
     assert {r.model_version for r in fitted.predictions.select("model_version").distinct().collect()} == {"sound"}
 
 
+def test_rows_fitted_together_are_bounded_by_their_points():
+    """An array of a fit holds about as many numbers on the finest intervals as on the first ones."""
+    for points in (1, 12, 768, 12 * 512, 12 * 4096):
+        assert 1 <= calibration._together(points) <= 256 and calibration._together(points) * points <= 1 << 18
+    assert calibration._together(768) == 256
+
+
 def test_only_steep_groups_are_refined(spark):
     flat, steep = labelled(2000, seed=3), labelled(2000, seed=4, slope=40.0)
     data = [(g, i, float(r), int(o)) for g, (raw, _, y) in (("flat", flat), ("steep", steep)) for i, (r, o) in enumerate(zip(raw, y))]
