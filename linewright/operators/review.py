@@ -15,7 +15,7 @@ from linewright.functions.canonical import canonical_text, digest, document_text
 from linewright.functions.ordered import attach, latest_per_key, ordered_scan
 from linewright.operators import contracts
 from linewright.schemas import HUMAN_REVIEW
-from linewright.session import cut_lineage
+from linewright.session import written
 
 PREVIOUS, RECORD = "previous_record_sha256", "record_sha256"
 _NO_PREVIOUS = f'"{PREVIOUS}":null'
@@ -80,13 +80,16 @@ def build_chain(records: DataFrame, log: str, seq: str, columns: Sequence[str],
     return attach(records, placed.mapInPandas(fold, hashes), [log, seq])
 
 
-def verify_chain(log_rows: DataFrame, log: str, seq: str, columns: Sequence[str]) -> DataFrame:
-    """Add ``hash_ok`` and ``link_ok`` to every record, all records in parallel."""
-    linked = ordered_scan(log_rows, [log], [seq], previous={"_claimed": F.col(RECORD)})
-    own = digest(canonical_text(linked, [*columns, PREVIOUS]))
-    return linked.withColumn("hash_ok", own.eqNullSafe(F.col(RECORD))).withColumn(
-        "link_ok", F.col(PREVIOUS).eqNullSafe(F.col("_claimed"))
-    ).drop("_claimed")
+def verify_chain(log_rows: DataFrame, log: str, seq: str, columns: Sequence[str], *, keep: Sequence[str] | None = None) -> DataFrame:
+    """Add ``hash_ok`` and ``link_ok`` to every record, all records in parallel.
+
+    ``keep``: the columns wanted of the records, all if None; only they and the hashes go through the scan's shuffle.
+    """
+    keep = log_rows.columns if keep is None else list(keep)
+    own = digest(canonical_text(log_rows, [*columns, PREVIOUS]))
+    hashed = log_rows.withColumn("hash_ok", own.eqNullSafe(F.col(RECORD))).select(*dict.fromkeys([*keep, log, seq, PREVIOUS, RECORD, "hash_ok"]))
+    linked = ordered_scan(hashed, [log], [seq], previous={"_claimed": F.col(RECORD)})
+    return linked.withColumn("link_ok", F.col(PREVIOUS).eqNullSafe(F.col("_claimed"))).select(*keep, "hash_ok", "link_ok")
 
 
 def intake(reviews: DataFrame, log: DataFrame | None, *, arrival: str, log_id: str = "log_id") -> tuple[DataFrame, DataFrame]:
@@ -104,13 +107,13 @@ def intake(reviews: DataFrame, log: DataFrame | None, *, arrival: str, log_id: s
         F.when(F.size("_errors") > 0, F.concat(F.lit("contract: "), F.array_join(F.transform("_errors", lambda e: e["code"]), ", "))).otherwise(policy_fault()),
     ).drop("_doc", "_errors")
     if log is not None:
-        sound = verify_chain(log, log_id, "seq", fields)
+        sound = verify_chain(log, log_id, "seq", fields, keep=[log_id])
         broken = sound.where(~(F.col("hash_ok") & F.col("link_ok"))).select(log_id).distinct().withColumn("_broken", F.lit(True))
         faulted = attach(faulted, broken, [log_id]).withColumn(
             "rejection", F.when(F.col("rejection").isNull() & F.col("_broken"), "log.chain_broken").otherwise(F.col("rejection"))
         ).drop("_broken")
     # Judged once; accepted and rejected rows both read it.
-    faulted = cut_lineage(faulted)
+    faulted = written(faulted, "judged")
     passed = duplicates(faulted.where(F.col("rejection").isNull()), log, arrival=arrival).withColumn(
         "rejection", F.when(F.col("duplicate"), F.concat(F.lit("review_id.repeated: "), F.col("review_id")))
     ).drop("duplicate")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from linewright.operators import review
 from linewright.plans import views as v
 from linewright.plans.registry import over, query
-from linewright.session import cut_lineage
+from linewright.session import written
 
 
 def reviews(d):
@@ -84,7 +84,7 @@ def review_log_intake(spark, sf_dir):
     rows = review_rows(spark, sf_dir)
     sealed, _ = review.intake(rows.where("arrival % 2 = 0"), None, arrival="arrival")
     replaced = (F.substring("log_id", -1, 1) == "3") & (F.col("seq") == 0)
-    log = cut_lineage(sealed.withColumn(review.RECORD, F.when(replaced, F.sha2("reason", 256)).otherwise(F.col(review.RECORD))))
+    log = written(sealed.withColumn(review.RECORD, F.when(replaced, F.sha2("reason", 256)).otherwise(F.col(review.RECORD))), "log")
     accepted, rejected = review.intake(rows.where("arrival % 2 = 1"), log, arrival="arrival")
     return accepted.select("arrival", "log_id", F.lit(None).cast("string").alias("rejection"), "seq").unionByName(
         rejected.select("arrival", "log_id", "rejection", F.lit(None).cast("long").alias("seq"))

@@ -84,6 +84,17 @@ def test_intake_chains_rejects_and_continues(spark, folder, small_blocks):
     assert [r.rejection for r in broken.collect()] == ["log.chain_broken"]
 
 
+def test_chain_check_scans_no_review_fields(spark, monkeypatch, small_blocks):
+    """The log's reviews are hashed before the scan; only keys and hashes go through its shuffle, and the verdicts stay."""
+    log, _ = review.intake(table(spark, [("AB"[i % 2], changed(REVIEW, {"review_id": f"r{i}"})) for i in range(90)]), None, arrival="arrival")
+    log = log.withColumn(review.RECORD, F.when((F.col("log_id") == "B") & (F.col("seq") == 0), F.sha2("reason", 256)).otherwise(F.col(review.RECORD)))
+    scanned, plain = [], review.ordered_scan
+    monkeypatch.setattr(review, "ordered_scan", lambda df, *a, **k: scanned.append(df.columns) or plain(df, *a, **k))
+    accepted, rejected = review.intake(table(spark, [("A", changed(REVIEW, {"review_id": "x"})), ("B", changed(REVIEW, {"review_id": "y"}))]), log, arrival="arrival")
+    assert [(r.review_id, r.seq) for r in accepted.collect()] == [("x", 45)] and [r.rejection for r in rejected.collect()] == ["log.chain_broken"]
+    assert set(scanned[0]) == {"log_id", "seq", review.PREVIOUS, review.RECORD, "hash_ok"}
+
+
 def test_sample_hash_depends_on_values_and_order(spark):
     base = [("v", i, float(i % 7)) for i in range(300)]
     h = lambda rows, fan: artifacts.sample_hash(spark.createDataFrame(rows, "k string, pos long, x double"), ["k"], "pos", "x", fan=fan).first().artifact_sha256
