@@ -40,12 +40,16 @@ _TOKENS = {
 
 class VariantDoc:
     """A parsed JSON document. Top-level documents stage what rules ask for as
-    flat columns; array elements (lambda variables) are read in place."""
+    flat columns: every object is opened once, by one cast to a struct of the fields
+    that rules name, and a field is taken from there; array elements (lambda
+    variables) are read in place."""
 
     typed = False
 
     def __init__(self, column: str, *, staged: bool = True):
         self.column, self.staged = column, staged
+        self.apart = f"_{column}_apart" if staged else None
+        self.parts: dict[str, dict[str, None]] = {}
         self.kinds: dict[str, str] = {}
         self.values: dict[str, str] = {}
 
@@ -57,17 +61,43 @@ class VariantDoc:
         return name
 
     def stage(self, df: DataFrame) -> DataFrame:
-        return df.withColumns({n: F.expr(s) for n, s in self.kinds.items()}).withColumns(
-            {n: F.expr(s) for n, s in self.values.items()}
-        )
+        opened: dict[int, dict[str, str]] = {}
+        for path, names in self.parts.items():
+            fields = ",".join(f"`{n}`:variant" for n in names)
+            opened.setdefault(path.count(".") + 1 if path else 0, {})[self._part(path)] = f"try_variant_get({self._field(path)}, '$', 'struct<{fields}>')"
+        for depth in sorted(opened):
+            df = df.withColumns({n: F.expr(s) for n, s in opened[depth].items()})
+        kinds = {n: F.expr(self._kind(path)) for n, path in self.kinds.items()}
+        df = df.withColumns(kinds | {self.apart: F.expr(f"exists(array({self.column} IS NULL), x -> x)")})
+        return df.withColumns({n: F.expr(s) for n, s in self.values.items()} | {self.apart: F.expr(f"exists(array({self.apart}), x -> x)")})
+
+    def _part(self, path: str) -> str:
+        return f"_{self.column}_part_{path.replace('.', '_')}"
+
+    def _field(self, path: str) -> str:
+        """The VARIANT at a path of a staged document; NULL where the path is missing."""
+        if not path:
+            return self.column
+        parent, _, name = path.rpartition(".")
+        self._field(parent)
+        self.parts.setdefault(parent, {})[name] = None
+        return f"{self._part(parent)}.`{name}`"
 
     def _get(self, path: str, dtype: str) -> str:
+        if self.staged:
+            return self._field(path) if path and dtype == "variant" else f"try_variant_get({self._field(path)}, '$', '{dtype}')"
         return f"try_variant_get({self.column}, '{'$.' + path if path else '$'}', '{dtype}')"
 
     def _token(self, path: str) -> str:
         """First letters of the value's own type name; MIS for a missing path."""
-        sql = f"coalesce(substring(schema_of_variant({self._get(path, 'variant')}), 1, 3), 'MIS')"
-        return self._keep(self.kinds, "kind", path, sql)
+        if not self.staged:
+            return f"({self._kind(path)})"
+        self._field(path)
+        return self._keep(self.kinds, "kind", path, path)
+
+    def _kind(self, path: str) -> str:
+        kind = f"coalesce(substring(schema_of_variant({self._get(path, 'variant')}), 1, 3), 'MIS')"
+        return f"CASE WHEN {self._part(path)} IS NOT NULL THEN 'OBJ' ELSE {kind} END" if path in self.parts else kind
 
     def is_kind(self, path: str, *kinds: str) -> str:
         return in_list(self._token(path), [t for k in kinds for t in _TOKENS[k]])
@@ -88,9 +118,13 @@ class VariantDoc:
         return self._value("items", path, "array", "array<variant>")
 
     def unknown_keys(self, path: str, allowed: Sequence[str]) -> str | None:
-        fields = self._get(path, "map<string,variant>")
-        known = ", ".join(map(quoted, allowed))
-        return self._keep(self.values, "extra", path, f"size(array_except(map_keys({fields}), array({known})))")
+        if not self.staged:
+            known = ", ".join(map(quoted, allowed))
+            return f"size(array_except(map_keys({self._get(path, 'map<string,variant>')}), array({known})))"
+        # Only the number of keys is wanted; the map's values are a type that nothing is turned into.
+        size = f"size({self._get(path, 'map<string,array<struct<`-`:variant>>>')})"
+        known = " - ".join(f"int({self._field(f'{path}.{name}' if path else name)} IS NOT NULL)" for name in allowed)
+        return self._keep(self.values, "extra", path, f"{size} - {known}")
 
     def distinct_items(self, path: str) -> str:
         return f"size(array_distinct(transform({self.items(path)}, x -> to_json(x))))"
@@ -107,6 +141,7 @@ class StructDoc:
 
     def __init__(self, column: str, dtype: T.StructType):
         self.column, self.dtype = column, dtype
+        self.apart = f"{column} IS NULL"
 
     def stage(self, df: DataFrame) -> DataFrame:
         return df
@@ -161,19 +196,22 @@ class StructDoc:
         return f"size(array_distinct({self._at(path)}))"
 
     def element(self, variable: str) -> "StructDoc":
-        return StructDoc(variable, self._type("outcomes").elementType)
+        element = StructDoc(variable, self._type("outcomes").elementType)
+        element.apart = None
+        return element
 
 
-# ---- rules: (doc, path, guard) -> SQL texts, each NULL or one error -------------------------------
+# ---- rules: (doc, path, guard) -> SQL texts, each a list of no or one error -----------------------
+# Lists are joined by flatten, which Spark compiles; array_compact is a function of higher order, which it interprets with all inside.
+# One such function beside the rules (``apart``: over an empty list here) keeps a projection out of whole-stage code. There all rules are
+# one method, too long for the JVM to compile; outside they are split into short ones.
 
 Rule = Callable[[object, str, str], list[str]]
 
 
 def fires(condition: str, code: str, path: str, message: str) -> str:
-    return (
-        f"CASE WHEN {condition} THEN named_struct('code', {quoted(code)}, 'path', {quoted(path)}, "
-        f"'message', {quoted(message)}) END"
-    )
+    error = f"named_struct('code', {quoted(code)}, 'path', {quoted(path)}, 'message', {quoted(message)})"
+    return f"CASE WHEN {condition} THEN CAST(array({error}) AS {ERRORS_TYPE}) ELSE CAST(array() AS {ERRORS_TYPE}) END"
 
 
 def _breaks(condition: str, path: str, keyword: str, message: str) -> str:
@@ -321,11 +359,12 @@ def _outcome_errors(doc) -> str:
         "named_struct('code', concat('schema.outcomes.', i, substring(replace(e.code, 'schema..', 'schema.'), 7)), "
         "'path', concat_ws('.', 'outcomes', i, nullif(e.path, '')), 'message', e.message)"
     )
-    return f"coalesce(flatten(transform({doc.items('outcomes')}, (x, i) -> transform({collect(rules)}, e -> {placed}))), array())"
+    return f"coalesce(flatten(transform({doc.items('outcomes')}, (x, i) -> transform({collect(inner, rules)}, e -> {placed}))), array())"
 
 
-def collect(rules: Sequence[str]) -> str:
-    return f"CAST(array_compact(array({', '.join(rules)})) AS {ERRORS_TYPE})"
+def collect(doc, rules: Sequence[str], dtype: str = ERRORS_TYPE) -> str:
+    joined = f"flatten(array({', '.join(rules)}))"
+    return f"concat({joined}, filter(CAST(array() AS {dtype}), x -> {doc.apart}))" if doc.apart else joined
 
 
 def _when_status(status: str, rule: Rule) -> Rule:
@@ -380,7 +419,7 @@ def model_output(doc, namespace: str = fixed.NAMESPACE) -> str:
     extra = {name: _when_status("validated", rule) for name, rule in evidence.items()}
     extra["calibration_method"] = _all_of(extra["calibration_method"], _when_status("uncalibrated", a_const("none")))
     optional = ["training_data_version", "model_artifact_sha256", "calibration_artifact_sha256", "notes"]
-    return collect(an_object(fields, optional, extra)(doc, "", "true"))
+    return collect(doc, an_object(fields, optional, extra)(doc, "", "true"))
 
 
 def market_snapshot(doc, namespace: str = fixed.NAMESPACE) -> str:
@@ -397,7 +436,7 @@ def market_snapshot(doc, namespace: str = fixed.NAMESPACE) -> str:
     # The list's element errors belong right after the errors of the list itself.
     behind = sum(len(fields[n](doc, n, "true")) for n in fields if n > "outcomes")
     cut = len(rules) - behind
-    return f"concat({collect(rules[:cut])}, {_outcome_errors(doc)}, {collect(rules[cut:])})"
+    return f"concat({collect(doc, rules[:cut])}, {_outcome_errors(doc)}, {collect(doc, rules[cut:])})"
 
 
 def portfolio_state(doc, namespace: str = fixed.NAMESPACE) -> str:
@@ -410,7 +449,7 @@ def portfolio_state(doc, namespace: str = fixed.NAMESPACE) -> str:
         "open_positions_count": a_number(minimum=0, integer=True),
         "exposures": an_object({e: _AMOUNT for e in exposures}),
     }
-    return collect(an_object(fields)(doc, "", "true"))
+    return collect(doc, an_object(fields)(doc, "", "true"))
 
 
 def risk_policy(doc, namespace: str = fixed.NAMESPACE) -> str:
@@ -438,7 +477,7 @@ def risk_policy(doc, namespace: str = fixed.NAMESPACE) -> str:
         f"NOT ({warn} <= {review} AND {review} <= {pause})", "drawdown.order", "drawdown",
         "drawdown must satisfy warning <= review <= pause",
     )
-    return collect([*an_object(fields)(doc, "", "true"), disorder])
+    return collect(doc, [*an_object(fields)(doc, "", "true"), disorder])
 
 
 def mlb_context(doc, namespace: str = fixed.NAMESPACE) -> str:
@@ -458,7 +497,7 @@ def mlb_context(doc, namespace: str = fixed.NAMESPACE) -> str:
         "environment": an_object({"roof_matches_model": tri, "weather_matches_model": tri, "umpire_matches_model": tri}),
         "model_dependencies": an_object({n: a_boolean() for n in needs}),
     }
-    return collect(an_object(fields)(doc, "", "true"))
+    return collect(doc, an_object(fields)(doc, "", "true"))
 
 
 def human_review(doc) -> str:
@@ -469,7 +508,7 @@ def human_review(doc) -> str:
         "model_probability_changed": a_const(False), "proposed_stake": _AMOUNT, "approved_stake": _AMOUNT,
         "reason": _NAME, "notes": a_string(),
     }
-    return collect(an_object(fields, ["notes"])(doc, "", "true"))
+    return collect(doc, an_object(fields, ["notes"])(doc, "", "true"))
 
 
 def comparable(doc, path: str) -> str:
@@ -486,7 +525,7 @@ def line_kind(doc, path: str) -> str:
 
 def domain_match(doc) -> str:
     """Prediction target against its own validation domain; skipped if not an object."""
-    return collect([
+    return collect(doc, [
         fires(
             f"{doc.is_kind('validation_domain', 'object')} AND NOT "
             f"({comparable(doc, name)} <=> {comparable(doc, f'validation_domain.{name}')})",
@@ -517,7 +556,7 @@ def model_verdict(df: DataFrame, document: str, namespace: str = fixed.NAMESPACE
     doc = document_of(df, document)
     status = doc.text("calibration_status")
     contract, domain = model_output(doc, namespace), domain_match(doc)
-    unknown = collect([fires(
+    unknown = collect(doc, [fires(
         f"{status} = 'unknown'", "calibration_status.unknown", "calibration_status",
         "unknown calibration provenance is blocked from staking",
     )])
@@ -575,11 +614,11 @@ def _typed_row(doc: VariantDoc, dtype: T.StructType, path: str) -> str:
 
 
 def _code(condition: str, text: str) -> str:
-    return f"CASE WHEN {condition} THEN {quoted(text)} END"
+    return f"CASE WHEN {condition} THEN array({quoted(text)}) ELSE CAST(array() AS array<string>) END"
 
 
-def _codes(rules: Sequence[str]) -> str:
-    return f"array_compact(array({', '.join(rules)}))"
+def _codes(doc, rules: Sequence[str]) -> str:
+    return collect(doc, rules, "array<string>")
 
 
 def _readable(value: str) -> str:
@@ -613,7 +652,7 @@ def minimum_snapshot(doc: VariantDoc) -> str:
     for shown, (absent, value) in moments.items():
         out.append(_code(f"NOT {absent} AND NOT coalesce({_readable(value)}, false)", f"invalid_timestamp.{shown}"))
     out.append(_code(f"coalesce(size({doc.items('market.outcomes')}), 0) < 2", "invalid_market.outcomes"))
-    return _codes(out)
+    return _codes(doc, out)
 
 
 def packet_market(doc: VariantDoc) -> str:
@@ -631,5 +670,5 @@ def packet_market(doc: VariantDoc) -> str:
     ))
     return (
         f"CASE WHEN NOT {doc.is_kind('event', 'object')} THEN array('packet.event.object') "
-        f"WHEN NOT {doc.is_kind('market', 'object')} THEN array('packet.market.object') ELSE {_codes(out)} END"
+        f"WHEN NOT {doc.is_kind('market', 'object')} THEN array('packet.market.object') ELSE {_codes(doc, out)} END"
     )

@@ -143,15 +143,22 @@ def review_packets(
     """
     checked = contracts.contract_errors(markets, "market_snapshot", contracts.packet_market, "market_errors")
     verdict = contracts.model_verdict(models, "model_output", namespace)
-    paired = checked.join(verdict, key)
-    paired = attach(paired, notes.select(key, "notes"), [key]) if notes is not None else paired.withColumn("notes", F.lit(None).cast("string"))
+    # Documents are written as text once, before rows meet; parsed ones and hashes stay out of the shuffle.
+    sides, hashed = [], {}
+    for side, column in ((checked, "market_snapshot"), (verdict, "model_output")):
+        text, others = F.to_json(column).alias(column), [c for c in side.columns if c != column]
+        parsed = isinstance(side.schema[column].dataType, T.VariantType)
+        hashed[column] = F.col(column if parsed else f"_{column}")
+        sides.append(side.select(*others, text, *([] if parsed else [document_text(side, column).alias(f"_{column}")])))
+    paired = sides[0].join(sides[1], key)
+    # No key is NULL here, so an equality will do and the pairs stay where they are.
+    paired = paired.join(notes.select(key, "notes"), key, "left") if notes is not None else paired.withColumn("notes", F.lit(None).cast("string"))
     usable = (F.size("market_errors") == 0) & F.col("valid")
     packet = paired.select(
         key, F.lit(f"{namespace}.personal-review.v1").alias("packet_version"), F.lit(created_at).alias("created_at"),
         F.when(usable, "HUMAN_REVIEW_REQUIRED").otherwise("BLOCKED").alias("gate"),
-        digest(document_text(paired, "market_snapshot")).alias("market_snapshot_sha256"),
-        digest(document_text(paired, "model_output")).alias("model_output_sha256"),
-        F.to_json("market_snapshot").alias("market_snapshot"), F.to_json("model_output").alias("model_output"),
+        *[digest(text).alias(f"{column}_sha256") for column, text in hashed.items()],
+        "market_snapshot", "model_output",
         F.struct(
             (F.size("market_errors") == 0).alias("market_valid"), F.col("market_errors"),
             F.struct("valid", "decision", "domain_match", "errors").alias("model"),

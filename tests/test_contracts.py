@@ -147,3 +147,19 @@ def test_minimum_snapshot_and_packet_checks(spark):
     assert packet[3] == [
         "packet.participants.two", "packet.event_id.conflict",
     ]
+
+
+def test_objects_are_opened_once(spark):
+    """Fields come from one cast per object, not from a search of the document each; odd documents keep their faults."""
+    texts = ['{"a": {"x": 1, "more": null}, "b": null}', '{"a": {"x": "1"}, "b": "t", "c": 2}', '{"a": [1]}', "[1]", "nothing"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k int, t string").select("k", F.try_parse_json("t").alias("d"))
+    doc = contracts.VariantDoc("d")
+    inner = contracts.an_object({"x": contracts.a_number(minimum=2)})
+    rules = contracts.an_object({"a": inner, "b": contracts.a_string()})(doc, "", "true")
+    staged = doc.stage(df)
+    assert [c for c in staged.columns if "_part_" in c] == ["_d_part_", "_d_part_a"]
+    rows = staged.withColumn("e", F.expr(contracts.collect(doc, rules))).orderBy("k").collect()
+    assert [[e.code.removeprefix("schema.") for e in r.e] for r in rows] == [
+        ["a.additionalProperties", "a.x.minimum", "b.type"], ["$.additionalProperties", "a.x.type"],
+        ["$.required", "a.type"], ["$.required", "$.required"], ["$.required", "$.required"],
+    ]

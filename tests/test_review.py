@@ -123,6 +123,29 @@ def test_packets(spark):
     assert len({r.packet_sha256 for r in rows.values()}) == 3 and rows[1].human_review.status == "pending"
 
 
+def test_packets_meet_once_and_as_texts(spark):
+    """Pairs and notes share one shuffle of each side, and no parsed document goes through it; repeated keys still meet crosswise."""
+    from documents import MODEL
+    from test_contracts import NESTED
+
+    df = spark.createDataFrame([(k, json.dumps(NESTED), json.dumps(MODEL)) for k in (1, 1, 2, None)], "k int, m string, o string")
+    markets = df.select("k", F.try_parse_json("m").alias("market_snapshot"))
+    models = df.select("k", F.try_parse_json("o").alias("model_output"))
+    notes = spark.createDataFrame([(1, "a"), (1, "b"), (None, "c")], "k int, notes string")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        packets = review.review_packets(markets, models, notes, "k", created_at="2026-07-23T18:30:00Z")
+        plan = packets._jdf.queryExecution().executedPlan()
+        assert plan.toString().count("Exchange hashpartitioning") == 3
+        found = packets.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert sorted((r.k, r.analysis.notes or "") for r in found) == [(1, "a")] * 4 + [(1, "b")] * 4 + [(2, "")]
+    assert {r.gate for r in found} == {"HUMAN_REVIEW_REQUIRED"}
+    assert {r.market_snapshot_sha256 for r in found} == {hashlib.sha256(r.market_snapshot.encode()).hexdigest() for r in found}
+
+
 def test_number_texts_read_back_and_are_the_same_in_other_engines(spark):
     rnd = random.Random(1)
     known = {0.0: "0", -0.0: "0", 8.0: "8", -12345678.0: "-12345678", 0.1: "1e-01", 0.46: "4.6e-01", 1e15: "1e+15", 123456789012345.0: "123456789012345", 2.5: "2.5e+00", 1e23: "1e+23", 2e-3: "2e-03", 0.1 + 0.2: "5404319552844596p-54", -1 / 3: "-6004799503160661p-54", float("inf"): "Infinity"}
