@@ -20,11 +20,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linewright.llm.common import BLANK, byte_views, free_name, text_key, text_of
+from linewright.llm.common import BLANK, byte_views, free_name, stored, text_key, text_of
 from linewright.llm.repeats import RUN_SCHEMA, joined_ranges, repeated_runs, run_table
 
 WINDOW = 400
 ANCHOR = 48
+#: A passage that repeats: so many words, made of strings of so many bytes that start elsewhere too.
+PASSAGE_WORDS, PASSAGE_BYTES = 50, 200
 #: Depth in bytes of the multikey quicksort.
 SHALLOW = 64
 #: Contents of one anchor beyond which they are dealt by what they hold around it, in SLICES ranges of offsets.
@@ -295,6 +297,27 @@ def _cut_batches(parts: Iterator[pa.RecordBatch], least_words: int) -> Iterator[
         yield _table(rows, schema)
 
 
+def _passages(least_words: int, window: int):
+    """(key, text, ranges) -> passages of so many words, and the text if some range holds a whole window."""
+    schema = pa.schema([("key", pa.binary()), ("passage_bytes", pa.int64()), ("n_passages", pa.int64()), ("body", pa.binary())])
+
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            rows, size = [], 0
+            for key, view, flat in zip(part.column(0).to_pylist(), byte_views(part.column(1)), part.column(2).to_pylist()):
+                spans = joined_ranges([(r["start"], r["end"]) for r in flat])
+                body = bytes(view) if any(b - a >= window for a, b in spans) else None
+                spans = [(a, b) for a, b in spans if len(bytes(view[a:b]).split()) >= least_words]
+                rows.append((key, sum(b - a for a, b in spans), len(spans), body))
+                size += len(body or b"")
+                if size > BATCH:
+                    yield _table(rows, schema)
+                    rows, size = [], 0
+            yield _table(rows, schema)
+
+    return batches
+
+
 def once_each(docs: DataFrame, text: str) -> DataFrame:
     """key, body: the texts, each at most once for a task (which bounds the copies of a hot one)."""
     return docs.select(text_key(text).alias("key"), text_of(text).alias("body")).mapInArrow(once_per_task, "key binary, body string")
@@ -325,7 +348,13 @@ def repeated_spans(docs: DataFrame, *, text: str = "text", window: int = WINDOW,
     return known.union(inside).union(found)
 
 
-def without_repeats(docs: DataFrame, *, text: str = "text", window: int = WINDOW, anchor: int = ANCHOR, many: int = MANY_CONTENTS, with_text: bool = False, least_words: int = 0) -> DataFrame:
+def _listed(ranges: DataFrame) -> DataFrame:
+    return ranges.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
+
+
+def without_repeats(
+    docs: DataFrame, *, text: str = "text", window: int = WINDOW, anchor: int = ANCHOR, many: int = MANY_CONTENTS, with_text: bool = False, least_words: int = 0, passages: tuple[int, int] | None = None
+) -> DataFrame:
     """``docs`` with n_bytes, n_removed, n_spans, kept_sha256 (and ``kept``, the text left, if asked for).
 
     Removes every byte covered by a ``window``-byte string that also starts
@@ -335,28 +364,47 @@ def without_repeats(docs: DataFrame, *, text: str = "text", window: int = WINDOW
     bytes left; ``kept`` leaves out what a cut leaves of a multi-byte character.
     Columns of ``docs`` with the names of results are replaced. With ``least_words``
     only removed runs of so many blank-separated words (cut ones counted) go.
+
+    ``passages``, (words, bytes), adds n_passages and passage_bytes: the maximal runs
+    of so many words or more that consist of strings of so many bytes, at most
+    ``window``, that start elsewhere too. They are counted, not removed. Each string
+    of ``window`` bytes that repeats lies in such a run of any number of words, so
+    only texts with a run of that length are searched for the longer strings then.
     """
-    bodies = once_each(docs, text)
-    ranges = repeated_spans(docs, text=text, window=window, anchor=anchor, many=many, bodies=bodies)
-    lists = ranges.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
+    bodies = searched = once_each(docs, text)
+    words, least_bytes = passages or (least_words, window)
+    if passages:
+        runs = _listed(repeated_spans(docs, text=text, window=least_bytes, anchor=anchor, many=many, bodies=bodies))
+        noted = stored(bodies.join(runs, "key").mapInArrow(_passages(words, window), "key binary, passage_bytes long, n_passages long, body binary"), "passages")
+        searched = noted.where("body is not null").select("key", F.col("body").cast("string").alias("body"))
+        lists = _listed(repeated_spans(searched, text="body", window=window, anchor=anchor, many=many, bodies=searched))
+    else:
+        lists = _listed(repeated_spans(docs, text=text, window=window, anchor=anchor, many=many, bodies=bodies))
     columns = ["n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else [])]
+    counts = ["passage_bytes", "n_passages"] if passages else []
     cut = (
-        bodies.join(lists, "key")
+        searched.join(lists, "key")
         .mapInArrow(_cut(least_words), "key binary, n_removed long, n_spans long, kept_sha256 string, kept string, spans array<array<int>>")
         .groupBy("key")
         .agg(*[F.min(c).alias(c) for c in columns])
     )
-    results = {"n_bytes", *columns}
+    results = {"n_bytes", *columns, *counts}
     own, size, digest, count = (free_name(n, docs.columns) for n in ("suffix_key", "suffix_size", "suffix_digest", "suffix_words"))
     body = text_of(text)
     base = docs.withColumns({own: text_key(text), size: F.octet_length(body).cast("long"), digest: F.sha2(body, 256)})
-    base = base.withColumn(count, F.size(F.filter(F.split(body, BLANK), lambda w: w != "")) if least_words else F.lit(0))
-    copies = base.groupBy(own).agg(F.count("*").alias("n"), F.first(size).alias("size"), F.first(count).alias("words")).where((F.col("n") > 1) & (F.col("size") >= window) & (F.col("words") >= least_words))
-    copied = copies.select(F.col(own).alias("key"), F.col("size").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(hashlib.sha256(b"").hexdigest()).alias("kept_sha256"), *([F.lit("").alias("kept")] if with_text else []))
+    base = base.withColumn(count, F.size(F.filter(F.split(body, BLANK), lambda w: w != "")) if words else F.lit(0))
+    copies = base.groupBy(own).agg(F.count("*").alias("n"), F.first(size).alias("size"), F.first(count).alias("words")).where("n > 1")
+    copied = copies.where((F.col("size") >= window) & (F.col("words") >= least_words))
+    copied = copied.select(F.col(own).alias("key"), F.col("size").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(hashlib.sha256(b"").hexdigest()).alias("kept_sha256"), *([F.lit("").alias("kept")] if with_text else []))
+    found = copied.unionByName(cut)
+    if passages:
+        whole = copies.where((F.col("size") >= least_bytes) & (F.col("words") >= words))
+        whole = whole.select(F.col(own).alias("key"), F.col("size").alias("passage_bytes"), F.lit(1).cast("long").alias("n_passages"))
+        found = found.unionByName(whole.unionByName(noted.drop("body")), allowMissingColumns=True)
     # Both may know a text that is there twice; the whole removal has the larger count.
-    found = copied.unionByName(cut).groupBy("key").agg(F.max(F.struct(*columns)).alias("_found"))
-    side, told = free_name(own + "_side", base.columns), free_name("_told", base.columns)
-    joined = base.join(found.select(F.col("key").alias(side), F.col("_found").alias(told)), F.col(own) == F.col(side), "left")
+    side, told, seen = free_name(own + "_side", base.columns), free_name("_told", base.columns), free_name("_seen", base.columns)
+    found = found.groupBy("key").agg(F.max(F.struct(*columns)).alias(told), *([F.max(F.struct(*counts)).alias(seen)] if passages else []))
+    joined = base.join(found.withColumnRenamed("key", side), F.col(own) == F.col(side), "left")
     values = {
         "n_bytes": F.col(size),
         "n_removed": F.coalesce(f"{told}.n_removed", F.lit(0).cast("long")),
@@ -365,5 +413,7 @@ def without_repeats(docs: DataFrame, *, text: str = "text", window: int = WINDOW
     }
     if with_text:
         values["kept"] = F.coalesce(f"{told}.kept", body)
+    for c in counts:
+        values[c] = F.coalesce(f"{seen}.{c}", F.lit(0).cast("long"))
     names = [c for c in docs.columns if c.lower() not in results]
     return joined.select(*[F.col(f"`{c}`") for c in names], *[e.alias(n) for n, e in values.items()])

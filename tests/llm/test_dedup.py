@@ -6,7 +6,7 @@ import brute
 import numpy as np
 import pytest
 
-from linewright.llm import debruijn, simhash, suffixes
+from linewright.llm import debruijn, queries, simhash, suffixes
 from linewright.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -45,6 +45,35 @@ def test_suffixes(spark, seed, many):
         assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"]) == w, (i, texts[i])
 
 
+@pytest.mark.parametrize("many", [2000, 1])
+@pytest.mark.parametrize("seed", [1, 2])
+def test_passages(spark, seed, many):
+    """Shorter strings are counted where asked for; what is removed stays that of the window."""
+    texts = odd_texts(seed)
+    data = [(t or "").encode() for t in texts]
+    got = {r["doc_id"]: r for r in suffixes.without_repeats(frame(spark, texts), window=20, anchor=5, many=many, passages=(4, 12)).collect()}
+    left = brute.without_repeated_runs(data, 12, 4)
+    for i, w in enumerate(brute.repeated_bytes(data, 20)):
+        assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"]) == w, (i, texts[i])
+        assert got[i]["passage_bytes"] == len(data[i]) - len(left[i]), (i, texts[i])
+        assert (got[i]["n_passages"] > 0) == (got[i]["passage_bytes"] > 0)
+
+
+def test_passages_below_the_window(spark, tmp_path):
+    """op3 counts passages of over 50 words that are shorter than its 400 bytes, and removes none of their bytes."""
+    rng = random.Random(7)
+    words = lambda n: " ".join(f"{rng.randrange(10**4, 10**5)}" for _ in range(n))
+    shared = [words(n) for n in range(51, 61)]
+    texts = [f"{words(80)} {p} {words(80)}" for p in shared for _ in range(2)] + [words(200) for _ in range(10)]
+    texts += [f"{words(9)} {words(1)} {shared[0]} {words(30)} {shared[1]}", shared[2], shared[2], None]
+    frame(spark, texts).select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in queries.QUERIES["op3_suffix_array_dedup"](spark, str(tmp_path)).collect()}
+    data = [(t or "").encode() for t in texts]
+    for i, left in enumerate(brute.without_repeated_runs(data, 200, 50)):
+        passages = 1 if i < 20 else {30: 2, 31: 1, 32: 1}.get(i, 0)
+        assert (got[i]["n_passages"], got[i]["passage_bytes"], got[i]["n_removed"]) == (passages, len(data[i]) - len(left), 0), (i, texts[i])
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_words(spark, seed):
     texts = odd_texts(seed)
