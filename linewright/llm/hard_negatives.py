@@ -215,7 +215,8 @@ def hard_negatives(
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["anchor_id", "anchor_key", "positive_id", "positive_key", "score"])
 
-    both = candidates.join(asked.withColumn("block", spread), ["size", "block"])
+    # Packs are copied to every block: never by a broadcast, whose size Spark would judge before the copies are made.
+    both = candidates.join(asked.withColumn("block", spread).hint("merge"), ["size", "block"])
     columns = ["size", *[f"{s}{c}" for s in ("block", "pack") for c in ("", "_id", "_key", "_label", "_v")]]
     found = both.select(*columns).mapInArrow(nearest_of_label, "anchor_id long, anchor_key long, positive_id long, positive_key long, score long")
     order = Window.partitionBy("anchor_id", "anchor_key").orderBy(F.col("score").desc(), "positive_id", "positive_key")
@@ -248,7 +249,7 @@ def hard_negatives(
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out)], names=NEGATIVES)
 
-    both = candidates.join(sought.withColumn("block", spread), ["size", "block"])
+    both = candidates.join(sought.withColumn("block", spread).hint("merge"), ["size", "block"])
     found = both.select(*columns, "pack_ids", "pack_scores").mapInArrow(in_range, ", ".join(f"{c} long" for c in NEGATIVES))
     order = Window.partitionBy("anchor_id", "anchor_key", "nth").orderBy(F.col("negative_score").desc(), "negative_id", "negative_key")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= negatives)

@@ -84,3 +84,15 @@ def test_long_vectors_and_widest_scores():
 
 def test_fewest_primes():
     assert len(hn.base_for(4_194_304)) == 3 and len(hn.base_for(500)) == 1 and len(hn.base_for(511)) == 2
+
+
+def test_copied_packs_are_not_broadcast(spark, monkeypatch):
+    """The packs that meet every block go through a shuffle, however few they are before they are copied."""
+    monkeypatch.setattr(hn, "stored", lambda df, name: df)
+    rows = [(i, v, i % 3) for i, v in enumerate(vectors(random.Random(8), 400, 4))]
+    monkeypatch.setattr(hn, "BLOCK_COMPONENTS", 200)
+    found = hn.hard_negatives(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"))
+    assert sorted(map(tuple, found.collect())) == plain(rows)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0]
+    assert final.count("SortMergeJoin [size") == 2 and "BroadcastHashJoin [size" not in final, final
