@@ -199,3 +199,31 @@ def test_decision_queries_read_one_table(spark, monkeypatch):
     for name in ("stake_caps", "scan_summary", "decision_report"):
         assert decision_queries.QUERIES[name](spark, SF).count() > 0
     assert len(built) == 1
+
+
+def test_models_and_markets_are_shuffled_once(spark):
+    """Pairing moves each model and market once, whatever comes beside them; repeated keys and missing documents keep their rows."""
+    at = "2026-01-01T00:00:{:02d}Z"
+    models = spark.createDataFrame([(i % 50 if i % 13 else None, (f"m{i}",)) for i in range(60)], "candidate_id int, model struct<name:string>")
+    rows = [(i % 45 if i % 17 else None, (f"e{i % 4}" if i % 9 else None,), at.format(i % 60) if i % 11 else "soon", f"p{i % 3}", "g" if i % 7 else None, f"r{i % 2}") for i in range(70)]
+    markets = spark.createDataFrame([*rows, *rows[:5]], "candidate_id int, market struct<event_id:string>, evaluated_at string, portfolio_id string, correlation_key string, policy_id string")
+    moment = lambda df, name: df.withColumn(name, F.expr(f"try_to_timestamp({name})"))
+    books = moment(spark.createDataFrame([(f"p{n % 3}", "g", (n,), at.format(n * 3 % 60)) for n in range(40)], "portfolio_id string, correlation_key string, portfolio struct<n:int>, portfolio_at string"), "portfolio_at")
+    sports = moment(spark.createDataFrame([(f"e{n % 4}", (n,), at.format(n * 7 % 60)) for n in range(25)], "event_id string, context struct<n:int>, context_at string"), "context_at")
+    policies = spark.createDataFrame([("r0", (1,)), ("r2", (2,))], "policy_id string, policy struct<n:int>")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = decision.assemble_candidates(cut_lineage(models), cut_lineage(markets), books, policies, sports)
+        seen = nodes(out._jdf.queryExecution().executedPlan())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    moved = [n.output().mkString(",") for n in seen if n.getClass().getSimpleName() == "ShuffleExchangeExec"]
+    assert sum("market#" in m for m in moved) == 1 and sum("model#" in m for m in moved) == 1
+    known = decision.as_of(markets, books, sports).collect()
+    want = [(r.candidate_id, m.name, r.market.event_id, r.evaluated_at, r.portfolio, r.context, r.policy_id) for r in known for k, m in models.collect() if k is not None and k == r.candidate_id]
+    got = out.collect()
+    assert sorted(map(str, want)) == sorted(str((r.candidate_id, r.model.name, r.market.event_id, r.evaluated_at, r.portfolio, r.context, r.policy_id)) for r in got)
+    assert {(r.policy_id, r.policy) for r in got} == {("r0", (1,)), ("r1", None)} and len(want) > 70
+    assert all((r._sha_portfolio is None) == (r.portfolio is None) and (r._sha_context is None) == (r.context is None) for r in got)
